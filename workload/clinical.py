@@ -20,7 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_VIEWS: dict[tuple[SparkSession, str], ClinicalTables] = {}
+
+
 def clinical(spark: SparkSession, sf_dir: str) -> ClinicalTables:
+    """The views of one folder; unevaluated plans, built once per session."""
+    if (spark, sf_dir) not in _VIEWS:
+        _VIEWS[spark, sf_dir] = _views(spark, sf_dir)
+    return _VIEWS[spark, sf_dir]
+
+
+def _views(spark: SparkSession, sf_dir: str) -> ClinicalTables:
     orders = table(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")
     customer = table(spark, sf_dir, "customer")
