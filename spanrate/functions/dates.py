@@ -18,11 +18,11 @@ def days_between(start: Column | str, end: Column | str) -> Column:
     return F.datediff(end, start).cast("long")
 
 
-def slot_of(day: Column | str, width: int) -> Column:
-    """Number of the ``width``-day slot that holds ``day``."""
-    return F.floor(F.unix_date(day) / F.lit(width)).cast("int")
+def slot_of(day: str, width: int) -> str:
+    """SQL for the number of the ``width``-day slot that holds ``day``."""
+    return f"int(floor(unix_date({day}) / {width}))"
 
 
-def slots_of(start: Column | str, end: Column | str, width: int) -> Column:
-    """All slots an interval with ``start <= end`` touches."""
-    return F.sequence(slot_of(start, width), slot_of(end, width))
+def slots_of(start: str, end: str, width: int) -> str:
+    """SQL for all slots an interval with ``start <= end`` touches."""
+    return f"sequence({slot_of(start, width)}, {slot_of(end, width)})"

@@ -8,12 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import plus_days
 from ..schemas import COHORT_COLUMNS, EVENT_COLUMNS
 from ..sources.clinical import ClinicalTables
 from ..sources.durable import durable
-from ..specs import CohortSpec, Criterion, Group, Rule, shape_of
-from .criteria import ANCHOR, anchors_of, satisfying
+from ..specs import CohortSpec, ConceptSet, Criterion, Days, Group, Rule, families
+from .criteria import ANCHOR, anchors_of, satisfying, shifted
 from .events import OWNER, CohortBatch, criterion_events, within_observation
 from .intervals import interval_union
 from .sizing import broadcast_within
@@ -21,24 +20,27 @@ from .vocabulary import resolve_concept_sets
 
 
 def batches(cdm: ClinicalTables, specs: Sequence[CohortSpec]) -> list[tuple[CohortSpec, CohortBatch]]:
-    """Specs of one shape together, with their resolved codes."""
-    shapes: dict[CohortSpec, list[tuple[CohortSpec, dict[int, int]]]] = {}
-    for spec in specs:
-        shape, to = shape_of(spec)
-        shapes.setdefault(shape, []).append((spec, to))
-    found = []
-    for shape, members in shapes.items():
-        sets = [
-            (spec.cohort_id, type(s)(to[s.codeset_id], s.items))
-            for spec, to in members
-            for s in spec.concept_sets
-            if s.codeset_id in to
-        ]
-        codes = resolve_concept_sets(cdm.concept, cdm.concept_ancestor, sets)
-        if sets:
-            codes = broadcast_within(durable(codes))
-        found.append((shape, CohortBatch(cdm, tuple(s.cohort_id for s, _ in members), codes)))
-    return found
+    """One batch per family of specs.  All codes are resolved in one pass and kept."""
+    groups = families(specs)
+    number = {pair: new for family in groups for pair, new in family.codesets}
+    sets = [
+        (spec.cohort_id, ConceptSet(number[spec.cohort_id, s.codeset_id], s.items))
+        for spec in specs
+        for s in spec.concept_sets
+        if (spec.cohort_id, s.codeset_id) in number
+    ]
+    codes = resolve_concept_sets(cdm.concept, cdm.concept_ancestor, sets)
+    if sets:
+        codes = broadcast_within(durable(codes))
+    return [
+        (
+            f.merged,
+            CohortBatch(
+                cdm, f.cohort_ids, codes.where(F.col("cohort_definition_id").isin(*f.cohort_ids))
+            ),
+        )
+        for f in groups
+    ]
 
 
 # Event grain: every qualifying row, for reports on events and rules.
@@ -211,10 +213,10 @@ def included_anchors(batch: CohortBatch, spec: CohortSpec) -> DataFrame:
     return anchors
 
 
-def cohort_exits(anchors: DataFrame, offset: int) -> DataFrame:
+def cohort_exits(anchors: DataFrame, offset: Days) -> DataFrame:
     """End each index day ``offset`` days later, or with its observation period."""
     ends = anchors.withColumn(
-        "end_date", F.least(plus_days("start_date", offset), F.col("op_end"))
+        "end_date", F.least(shifted("start_date", offset), F.col("op_end"))
     )
     return ends.where(F.col("end_date") >= F.col("start_date"))
 
@@ -234,14 +236,14 @@ def as_cohort(periods: DataFrame) -> DataFrame:
 
 
 def build_cohorts(cdm: ClinicalTables, specs: Sequence[CohortSpec]) -> DataFrame:
-    """All cohorts of ``specs`` in one frame, one pass per shape."""
+    """All cohorts of ``specs`` in one frame, one pass per family."""
     frames = [
         as_cohort(
             collapse(
-                cohort_exits(included_anchors(batch, shape), shape.exit_offset), shape.era_pad
+                cohort_exits(included_anchors(batch, spec), spec.exit_offset), spec.era_pad
             )
         )
-        for shape, batch in batches(cdm, specs)
+        for spec, batch in batches(cdm, specs)
     ]
     return reduce(DataFrame.unionByName, frames)
 

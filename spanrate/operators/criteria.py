@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import plus_days
-from ..specs import Correlated, Group
+from ..specs import Correlated, Days, Group
 from .events import OWNER, CohortBatch, criterion_events, within_observation
 from .intervals import count_in_boxes, count_in_windows, latest_end_before, match_points
 
@@ -32,13 +32,23 @@ def anchors_of(
     return within_observation(batch, days, prior_days, post_days).select(*owner, *ANCHOR).distinct()
 
 
+def shifted(column: str, days: Days) -> Column:
+    """``column`` plus days, which may depend on the cohort of the row."""
+    if isinstance(days, int):
+        return plus_days(column, days)
+    per_cohort = F.create_map(
+        *[x for cohort, n in days.days for x in (F.lit(cohort).cast("long"), F.lit(n))]
+    )
+    return plus_days(column, F.element_at(per_cohort, F.col("cohort_definition_id")))
+
+
 def _bounds(test: Correlated) -> tuple[Column, Column]:
     """Allowed candidate start days of ``test``, clipped to the index observation period."""
     low = high = F.lit(None).cast("date")
     if test.window.start is not None:
-        low = plus_days("start_date", test.window.start)
+        low = shifted("start_date", test.window.start)
     if test.window.end is not None:
-        high = plus_days("start_date", test.window.end)
+        high = shifted("start_date", test.window.end)
     if not test.ignore_observation_period:
         low = F.greatest(low, F.col("op_start"))
         high = F.least(high, F.col("op_end"))
@@ -48,11 +58,11 @@ def _bounds(test: Correlated) -> tuple[Column, Column]:
 def _end_bounds(test: Correlated) -> tuple[Column, Column]:
     low = high = F.lit(None).cast("date")
     if test.end_window.start is not None:
-        low = plus_days("start_date", test.end_window.start)
+        low = shifted("start_date", test.end_window.start)
     elif not test.ignore_observation_period:
         low = F.col("op_start")
     if test.end_window.end is not None:
-        high = plus_days("start_date", test.end_window.end)
+        high = shifted("start_date", test.end_window.end)
     elif not test.ignore_observation_period:
         high = F.col("op_end")
     return low, high
@@ -148,9 +158,9 @@ def counted(
             rest,
             "start_date",
             "end_date",
-            _by_part(chosen, lambda t: plus_days("start_date", t.window.end)),
+            _by_part(chosen, lambda t: shifted("start_date", t.window.end)),
         )
-        needed = _by_part(chosen, lambda t: plus_days("start_date", t.end_window.start))
+        needed = _by_part(chosen, lambda t: shifted("start_date", t.end_window.start))
         results.append(
             latest.withColumn(
                 "n_events", F.coalesce((F.col("latest_end") >= needed).cast("long"), F.lit(0))
@@ -159,7 +169,7 @@ def counted(
     for i, test in boxes.items():
         mine, candidates = of({i: test})
         window = test.window
-        bounded = window.start is not None and window.end is not None
+        bounded = isinstance(window.start, int) and isinstance(window.end, int)
         results.append(
             count_in_boxes(
                 mine,

@@ -13,7 +13,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import plus_days
 from ..functions.predicates import compare
 from ..schemas import EVENT_COLUMNS
 from ..sources.clinical import ClinicalTables
@@ -26,7 +25,7 @@ PERIOD_SLOT_DAYS = 1827
 
 @dataclass(frozen=True)
 class CohortBatch:
-    """Cohorts of one shape: their ids, their codes and the tables they read.
+    """Cohorts built in one pass: their ids, their codes and the tables they read.
 
     ``codes`` has (cohort_definition_id, codeset_id, concept_id).
     """
@@ -37,34 +36,32 @@ class CohortBatch:
 
 
 def observation_spans(cdm: ClinicalTables) -> DataFrame:
-    return cdm.observation_period.select(
+    return cdm.observation_period.selectExpr(
         "person_id",
-        F.col("observation_period_start_date").alias("op_start"),
-        F.col("observation_period_end_date").alias("op_end"),
+        "observation_period_start_date AS op_start",
+        "observation_period_end_date AS op_end",
     )
 
 
 def _conditions(cdm: ClinicalTables, criterion: Criterion) -> DataFrame:
-    start = F.col("condition_start_date")
     rows = cdm.condition_occurrence
     if criterion.start is not None:
-        rows = rows.where(compare(start, criterion.start, "date"))
-    return rows.select(
+        rows = rows.where(compare(F.col("condition_start_date"), criterion.start, "date"))
+    return rows.selectExpr(
         "person_id",
-        F.col("condition_occurrence_id").alias("event_id"),
-        start.alias("start_date"),
-        F.coalesce("condition_end_date", plus_days(start, 1)).alias("end_date"),
+        "condition_occurrence_id AS event_id",
+        "condition_start_date AS start_date",
+        "coalesce(condition_end_date, date_add(condition_start_date, 1)) AS end_date",
         "visit_occurrence_id",
-        start.alias("sort_date"),
-        F.col("condition_concept_id").alias("concept_id"),
+        "condition_start_date AS sort_date",
+        "condition_concept_id AS concept_id",
     )
 
 
 def _measurements(cdm: ClinicalTables, criterion: Criterion) -> DataFrame:
-    day = F.col("measurement_date")
     rows = cdm.measurement
     if criterion.start is not None:
-        rows = rows.where(compare(day, criterion.start, "date"))
+        rows = rows.where(compare(F.col("measurement_date"), criterion.start, "date"))
     if criterion.value is not None:
         rows = rows.where(compare(F.col("value_as_number"), criterion.value, "double"))
     if criterion.range_low is not None:
@@ -73,50 +70,50 @@ def _measurements(cdm: ClinicalTables, criterion: Criterion) -> DataFrame:
         rows = rows.where(F.col("unit_concept_id").isin(*criterion.units))
     if criterion.value_concepts:
         rows = rows.where(F.col("value_as_concept_id").isin(*criterion.value_concepts))
-    return rows.select(
+    return rows.selectExpr(
         "person_id",
-        F.col("measurement_id").alias("event_id"),
-        day.alias("start_date"),
-        plus_days(day, 1).alias("end_date"),
+        "measurement_id AS event_id",
+        "measurement_date AS start_date",
+        "date_add(measurement_date, 1) AS end_date",
         "visit_occurrence_id",
-        day.alias("sort_date"),
-        F.col("measurement_concept_id").alias("concept_id"),
+        "measurement_date AS sort_date",
+        "measurement_concept_id AS concept_id",
     )
 
 
 def _visits(cdm: ClinicalTables, criterion: Criterion) -> DataFrame:
-    start = F.col("visit_start_date")
     rows = cdm.visit_occurrence
     if criterion.start is not None:
-        rows = rows.where(compare(start, criterion.start, "date"))
-    return rows.select(
+        rows = rows.where(compare(F.col("visit_start_date"), criterion.start, "date"))
+    return rows.selectExpr(
         "person_id",
-        F.col("visit_occurrence_id").alias("event_id"),
-        start.alias("start_date"),
-        F.col("visit_end_date").alias("end_date"),
+        "visit_occurrence_id AS event_id",
+        "visit_start_date AS start_date",
+        "visit_end_date AS end_date",
         "visit_occurrence_id",
-        start.alias("sort_date"),
-        F.col("visit_concept_id").alias("concept_id"),
+        "visit_start_date AS sort_date",
+        "visit_concept_id AS concept_id",
     )
 
 
 def _periods(cdm: ClinicalTables, criterion: Criterion) -> DataFrame:
-    first = F.col("observation_period_start_date")
-    last = F.col("observation_period_end_date")
     rows = cdm.observation_period
-    start, end = first, last
-    if criterion.on_dates is not None:
-        start, end = (F.lit(d).cast("date") for d in criterion.on_dates)
-        rows = rows.where(start.between(first, last) & end.between(first, last))
+    start, end = "observation_period_start_date", "observation_period_end_date"
     if criterion.start is not None:
-        rows = rows.where(compare(first, criterion.start, "date"))
-    return rows.select(
+        rows = rows.where(compare(F.col(start), criterion.start, "date"))
+    if criterion.on_dates is not None:
+        start, end = (f"DATE '{d}'" for d in criterion.on_dates)
+        for day in (start, end):
+            rows = rows.where(
+                f"{day} BETWEEN observation_period_start_date AND observation_period_end_date"
+            )
+    return rows.selectExpr(
         "person_id",
-        F.col("observation_period_id").alias("event_id"),
-        start.alias("start_date"),
-        end.alias("end_date"),
-        F.lit(None).cast("long").alias("visit_occurrence_id"),
-        first.alias("sort_date"),
+        "observation_period_id AS event_id",
+        f"{start} AS start_date",
+        f"{end} AS end_date",
+        "CAST(NULL AS BIGINT) AS visit_occurrence_id",
+        "observation_period_start_date AS sort_date",
     )
 
 
@@ -149,22 +146,21 @@ def criterion_events(batch: CohortBatch, parts: Sequence[tuple[int, Criterion]])
             if codeset is not None:
                 coded.setdefault(codeset, []).append(part)
         if coded:
-            to_parts = F.create_map(
-                *[x for c, ps in coded.items() for x in (F.lit(c), F.array(*map(F.lit, ps)))]
-            )
-            codes = batch.codes.where(F.col("codeset_id").isin(*coded)).select(
+            pairs = [f"{c}, array({', '.join(map(str, ps))})" for c, ps in coded.items()]
+            to_parts = f"map({', '.join(pairs)})"
+            codes = batch.codes.where(f"codeset_id IN ({', '.join(map(str, coded))})").selectExpr(
                 "cohort_definition_id",
                 "concept_id",
-                F.explode(F.element_at(to_parts, F.col("codeset_id"))).alias("part"),
+                f"explode(element_at({to_parts}, codeset_id)) AS part",
             )
-            frames.append((criterion, scan.join(codes, "concept_id").select(*columns)))
+            frames.append((criterion, scan.join(codes, "concept_id").selectExpr(*columns)))
         free = [part for part, codeset in uses if codeset is None]
         if free:
-            tagged = scan.withColumn(
-                "cohort_definition_id",
-                F.explode(F.array(*[F.lit(i).cast("long") for i in batch.cohort_ids])),
-            ).withColumn("part", F.explode(F.array(*map(F.lit, free))))
-            frames.append((criterion, tagged.select(*columns)))
+            ids = ", ".join(f"{i}L" for i in batch.cohort_ids)
+            numbers = ", ".join(map(str, free))
+            tagged = scan.selectExpr("*", f"explode(array({ids})) AS cohort_definition_id")
+            tagged = tagged.selectExpr("*", f"explode(array({numbers})) AS part")
+            frames.append((criterion, tagged.selectExpr(*columns)))
     events = None
     for criterion, frame in frames:
         if criterion.nested is not None:
@@ -184,10 +180,10 @@ def within_observation(
 
     The required days narrow the period before the join, so one range test does both.
     """
-    spans = (
-        observation_spans(batch.cdm)
-        .withColumn("_from", plus_days("op_start", prior_days))
-        .withColumn("_to", plus_days("op_end", -post_days))
+    spans = observation_spans(batch.cdm).selectExpr(
+        "*",
+        f"date_add(op_start, {prior_days}) AS _from",
+        f"date_sub(op_end, {post_days}) AS _to",
     )
     return match_points(
         events, spans, ["person_id"], "start_date", "_from", "_to", PERIOD_SLOT_DAYS

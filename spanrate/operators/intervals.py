@@ -11,9 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..functions.dates import FIRST_DAY, LAST_DAY, plus_days, slot_of, slots_of
+from ..functions.dates import FIRST_DAY, LAST_DAY, slot_of, slots_of
 
 SLOT_DAYS = 366
 
@@ -36,16 +35,17 @@ def interval_union(
         raise ValueError("a gap pad needs touch=True")
     keys = list(keys)
     by_day = [*keys, start] if touch else [*keys, start, "_long"]
-    rows = df.select(*keys, start, end, (F.col(end) > F.col(start)).alias("_long"))
+    rows = df.selectExpr(*keys, start, end, f"{end} > {start} AS _long")
     longest = rows.groupBy(*by_day).agg(F.max(end).alias(end))
 
-    ordered = W.partitionBy(*keys).orderBy(start, end)
-    reached = F.max(end).over(ordered.rowsBetween(W.unboundedPreceding, -1))
-    opens = F.col(start) > plus_days(reached, pad) if touch else F.col(start) >= reached
-    island = F.sum(F.col("_opens")).over(ordered.rowsBetween(W.unboundedPreceding, 0))
+    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {start}, {end} ROWS BETWEEN"
+    reached = f"max({end}) {over} UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    opens = f"{start} > date_add({reached}, {pad})" if touch else f"{start} >= {reached}"
     return (
-        longest.withColumn("_opens", F.coalesce(opens, F.lit(True)).cast("int"))
-        .withColumn("_island", island)
+        longest.selectExpr(*keys, start, end, f"int(coalesce({opens}, true)) AS _opens")
+        .selectExpr(
+            *keys, start, end, f"sum(_opens) {over} UNBOUNDED PRECEDING AND CURRENT ROW) AS _island"
+        )
         .groupBy(*keys, "_island")
         .agg(F.min(start).alias(start), F.max(end).alias(end))
         .drop("_island")
@@ -66,13 +66,13 @@ def match_points(
     The slot of the date is part of the equi-join key: a key with many rows is divided by
     time, and a row meets only the spans of its own slot.
     """
-    slotted_points = points.withColumn("_slot", slot_of(point, width))
-    slotted_spans = spans.where(F.col(start) <= F.col(end)).withColumn(
-        "_slot", F.explode(slots_of(start, end, width))
+    slotted_points = points.selectExpr("*", f"{slot_of(point, width)} AS _slot")
+    slotted_spans = spans.where(f"{start} <= {end}").selectExpr(
+        "*", f"explode({slots_of(start, end, width)}) AS _slot"
     )
     return (
         slotted_points.join(slotted_spans, [*on, "_slot"])
-        .where(F.col(point).between(F.col(start), F.col(end)))
+        .where(f"{point} BETWEEN {start} AND {end}")
         .drop("_slot")
     )
 
@@ -93,18 +93,16 @@ def interval_intersect(
     (ls, le), (rs, re) = left_span, right_span
 
     def slotted(df: DataFrame, s: str, e: str) -> DataFrame:
-        return df.where(F.col(s) <= F.col(e)).withColumn("_slot", F.explode(slots_of(s, e, width)))
+        return df.where(f"{s} <= {e}").selectExpr(
+            "*", f"explode({slots_of(s, e, width)}) AS _slot"
+        )
 
     joined = slotted(left, ls, le).join(slotted(right, rs, re), [*on, "_slot"])
-    first = F.greatest(F.col(ls), F.col(rs))
-    return (
-        joined.where((F.col(ls) <= F.col(re)) & (F.col(le) >= F.col(rs)))
-        .where(F.col("_slot") == slot_of(first, width))
-        .withColumn("_first", first)
-        .withColumn(le, F.least(F.col(le), F.col(re)))
-        .withColumn(ls, F.col("_first"))
-        .drop("_first", "_slot", rs, re)
-    )
+    first = f"greatest({ls}, {rs})"
+    rest = [c for c in joined.columns if c not in (ls, le, rs, re, "_slot")]
+    return joined.where(
+        f"{ls} <= {re} AND {le} >= {rs} AND _slot = {slot_of(first, width)}"
+    ).selectExpr(*rest, f"{first} AS {ls}", f"least({le}, {re}) AS {le}")
 
 
 def count_in_windows(
@@ -123,35 +121,29 @@ def count_in_windows(
     """
     keys, anchor_columns = list(keys), list(anchor_columns)
     totals = events.groupBy(*keys, F.col(day).alias("_day")).agg(F.count("*").alias("_n"))
-    edges = F.array(
-        F.struct(F.coalesce(high, F.lit(LAST_DAY).cast("date")).alias("day"), F.lit(1).alias("s")),
-        F.struct(plus_days(low, -1).alias("day"), F.lit(-1).alias("s")),
+    anchor = f"struct({', '.join(anchor_columns)}) AS _anchor"
+    edges = (
+        "explode(filter(array("
+        f"struct(coalesce(_high, DATE '{LAST_DAY}') AS day, 1 AS sign),"
+        "struct(date_sub(_low, 1) AS day, -1 AS sign)), e -> e.day IS NOT NULL)) AS _edge"
     )
     probes = (
-        anchors.select(*keys, *anchor_columns)
-        .withColumn("_edge", F.explode(F.filter(edges, lambda e: e["day"].isNotNull())))
-        .select(
-            *keys,
-            F.struct(*anchor_columns).alias("_anchor"),
-            F.col("_edge.day").alias("_day"),
-            F.col("_edge.s").alias("_sign"),
-        )
+        anchors.select("*", low.alias("_low"), high.alias("_high"))
+        .selectExpr(*keys, anchor, edges)
+        .selectExpr(*keys, "_anchor", "_edge.day AS _day", "_edge.sign AS _sign")
     )
-    timeline = totals.withColumn("_sign", F.lit(0)).unionByName(probes, allowMissingColumns=True)
+    timeline = totals.selectExpr("*", "0 AS _sign").unionByName(probes, allowMissingColumns=True)
     # On one day the events (sign 0) come before the edges.
-    running = F.sum(F.coalesce("_n", F.lit(0))).over(
-        W.partitionBy(*keys)
-        .orderBy("_day", F.abs("_sign"))
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = (
+        f"sum(coalesce(_n, 0)) OVER (PARTITION BY {', '.join(keys)} ORDER BY _day, abs(_sign)"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _running"
     )
     return (
-        timeline.withColumn("_running", running)
-        .where(F.col("_sign") != 0)
+        timeline.selectExpr(*keys, "_anchor", "_sign", running)
+        .where("_sign <> 0")
         .groupBy(*keys, "_anchor")
-        .agg(F.sum(F.col("_sign") * F.col("_running")).alias("_difference"))
-        .select(
-            *keys, "_anchor.*", F.greatest(F.col("_difference"), F.lit(0)).alias("n_events")
-        )
+        .agg(F.expr("greatest(sum(_sign * _running), 0) AS n_events"))
+        .selectExpr(*keys, "_anchor.*", "n_events")
     )
 
 
@@ -167,19 +159,17 @@ def latest_end_before(
     """For every anchor (distinct rows), the latest ``end`` of the events with ``start <= limit``."""
     keys, anchor_columns = list(keys), list(anchor_columns)
     ends = events.groupBy(*keys, F.col(start).alias("_day")).agg(F.max(end).alias("_end"))
-    probes = anchors.select(
-        *keys, F.struct(*anchor_columns).alias("_anchor"), limit.alias("_day")
-    )
+    anchor = f"struct({', '.join(anchor_columns)}) AS _anchor"
+    probes = anchors.select("*", limit.alias("_day")).selectExpr(*keys, anchor, "_day")
     timeline = ends.unionByName(probes, allowMissingColumns=True)
-    latest = F.max("_end").over(
-        W.partitionBy(*keys)
-        .orderBy("_day", F.col("_anchor").isNotNull())
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    latest = (
+        f"max(_end) OVER (PARTITION BY {', '.join(keys)} ORDER BY _day, _anchor IS NOT NULL"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latest_end"
     )
     return (
-        timeline.withColumn("latest_end", latest)
-        .where(F.col("_anchor").isNotNull())
-        .select(*keys, "_anchor.*", "latest_end")
+        timeline.selectExpr(*keys, "_anchor", latest)
+        .where("_anchor IS NOT NULL")
+        .selectExpr(*keys, "_anchor.*", "latest_end")
     )
 
 

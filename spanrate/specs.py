@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator, Sequence
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 
 DOMAINS = ("condition", "measurement", "visit", "observation_period")
 COMPARISONS = ("lt", "lte", "eq", "gt", "gte", "bt", "!bt")
@@ -73,8 +73,8 @@ class Criterion:
 class Window:
     """Days relative to the index start; None leaves that side open."""
 
-    start: int | None = None
-    end: int | None = None
+    start: Days | None = None
+    end: Days | None = None
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,7 @@ class CohortSpec:
     qualified_limit: str = "All"
     rules: tuple[Rule, ...] = ()
     inclusion_limit: str = "All"
-    exit_offset: int = 0
+    exit_offset: Days = 0
     era_pad: int = 0
 
     def __post_init__(self):
@@ -141,7 +141,7 @@ class CohortSpec:
             raise SpecError("a cohort needs at least one entry criterion")
         if len(self.rules) > 62:
             raise SpecError("the rule mask is a 64 bit integer")
-        if self.exit_offset < 0 or self.era_pad < 0:
+        if (isinstance(self.exit_offset, int) and self.exit_offset < 0) or self.era_pad < 0:
             raise SpecError("exit offset and era pad must not be negative")
         known = {s.codeset_id for s in self.concept_sets}
         missing = sorted({c for c in _codesets_used(self) if c not in known})
@@ -176,42 +176,101 @@ def _codesets_used(spec: CohortSpec) -> Iterator[int]:
         yield from _group_codesets(rule.group)
 
 
-def _renumber_criterion(criterion: Criterion, to: dict[int, int]) -> Criterion:
-    return replace(
-        criterion,
-        codeset_id=None if criterion.codeset_id is None else to[criterion.codeset_id],
-        nested=None if criterion.nested is None else _renumber_group(criterion.nested, to),
-    )
+@dataclass(frozen=True)
+class PerCohort:
+    """A number of days that differs between the cohorts of one merged spec."""
+
+    days: tuple[tuple[int, int], ...]
+
+
+Days = int | PerCohort
+
 
+def _renumbered(node, to: dict[int, int]):
+    """``node`` with the concept sets of its criteria renumbered."""
+    if isinstance(node, tuple):
+        return tuple(_renumbered(n, to) for n in node)
+    if isinstance(node, Criterion) and node.codeset_id is not None:
+        node = replace(node, codeset_id=to[node.codeset_id])
+    if isinstance(node, (Criterion, Correlated, Group, Rule)):
+        changes = {f.name: _renumbered(getattr(node, f.name), to) for f in fields(node)}
+        return replace(node, **changes)
+    return node
 
-def _renumber_group(group: Group, to: dict[int, int]) -> Group:
-    return replace(
-        group,
-        criteria=tuple(
-            replace(c, criterion=_renumber_criterion(c.criterion, to)) for c in group.criteria
-        ),
-        groups=tuple(_renumber_group(g, to) for g in group.groups),
-    )
 
+def _skeleton(node):
+    """``node`` with the days of its windows reduced to open or bounded."""
+    if isinstance(node, tuple):
+        return tuple(_skeleton(n) for n in node)
+    if isinstance(node, Window):
+        return Window(*[None if d is None else 0 for d in (node.start, node.end)])
+    if isinstance(node, (Criterion, Correlated, Group, Rule)):
+        return replace(node, **{f.name: _skeleton(getattr(node, f.name)) for f in fields(node)})
+    return node
 
-def shape_of(spec: CohortSpec) -> tuple[CohortSpec, dict[int, int]]:
-    """The spec without identity and codes, and the renumbering of its concept sets.
 
-    Specs of equal shape differ by their codes only, so one pass can build them all.
+def _merged(nodes: Sequence, ids: Sequence[int]):
+    """One node for many of equal skeleton, with days per cohort where they differ."""
+    first = nodes[0]
+    if all(n == first for n in nodes):
+        return first
+    if isinstance(first, int):
+        return PerCohort(tuple(zip(ids, nodes, strict=True)))
+    if isinstance(first, tuple):
+        return tuple(_merged(ns, ids) for ns in zip(*nodes, strict=True))
+    changes = {
+        f.name: _merged([getattr(n, f.name) for n in nodes], ids) for f in fields(first)
+    }
+    return replace(first, **changes)
+
+
+@dataclass(frozen=True)
+class Family:
+    """Specs that differ by codes, window days and exit offset only: one pass builds them.
+
+    ``codesets`` maps (cohort id, concept set id) to the number ``merged`` uses.
     """
-    to: dict[int, int] = {}
-    for codeset in _codesets_used(spec):
-        to.setdefault(codeset, len(to))
-    blank = replace(
-        spec,
-        cohort_id=0,
-        name="",
-        concept_sets=tuple(ConceptSet(n, ()) for n in to.values()),
-        primary=tuple(_renumber_criterion(c, to) for c in spec.primary),
-        additional=None if spec.additional is None else _renumber_group(spec.additional, to),
-        rules=tuple(Rule("", _renumber_group(r.group, to)) for r in spec.rules),
-    )
-    return blank, to
+
+    merged: CohortSpec
+    cohort_ids: tuple[int, ...]
+    codesets: tuple[tuple[tuple[int, int], int], ...]
+
+
+def families(specs: Sequence[CohortSpec]) -> list[Family]:
+    groups: dict[CohortSpec, list[CohortSpec]] = {}
+    numbering: dict[tuple[int, int], int] = {}
+    ids = [s.cohort_id for s in specs]
+    if len(set(ids)) != len(ids):
+        raise SpecError("two specs share a cohort id")
+    for spec in specs:
+        to: dict[int, int] = {}
+        for codeset in _codesets_used(spec):
+            to.setdefault(codeset, len(to))
+        numbering |= {(spec.cohort_id, old): new for old, new in to.items()}
+        plain = replace(
+            spec,
+            cohort_id=0,
+            name="",
+            concept_sets=tuple(ConceptSet(n, ()) for n in to.values()),
+            primary=_renumbered(spec.primary, to),
+            additional=_renumbered(spec.additional, to),
+            rules=tuple(Rule("", _renumbered(r.group, to)) for r in spec.rules),
+        )
+        skeleton = replace(
+            plain,
+            exit_offset=0,
+            primary=_skeleton(plain.primary),
+            additional=_skeleton(plain.additional),
+            rules=_skeleton(plain.rules),
+        )
+        groups.setdefault(skeleton, []).append(replace(plain, cohort_id=spec.cohort_id))
+    found = []
+    for members in groups.values():
+        member_ids = tuple(m.cohort_id for m in members)
+        merged = _merged([replace(m, cohort_id=0) for m in members], member_ids)
+        codesets = tuple((k, v) for k, v in numbering.items() if k[0] in member_ids)
+        found.append(Family(merged, member_ids, codesets))
+    return found
 
 
 @dataclass(frozen=True)

@@ -109,8 +109,8 @@ def cohort_query(*specs: CohortSpec) -> Query:
 
 
 def ruled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape, batch = batch_for(spark, sf_dir, D.RULED)
-    return C.events_with_mask(batch, shape)
+    spec, batch = batch_for(spark, sf_dir, D.RULED)
+    return C.events_with_mask(batch, spec)
 
 
 def inclusion_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,8 +154,8 @@ def best_event_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cohort_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape, batch = batch_for(spark, sf_dir, D.RULED)
-    return C.cohort_exits(C.included_anchors(batch, shape), shape.exit_offset).select(
+    spec, batch = batch_for(spark, sf_dir, D.RULED)
+    return C.cohort_exits(C.included_anchors(batch, spec), spec.exit_offset).select(
         "person_id", "start_date", "end_date", "op_end"
     )
 
