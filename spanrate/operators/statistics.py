@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import NORMAL_975, chi_square_quantile, t_quantile_975
+from ..sources.durable import durable
 
 PER_100K = 100_000.0
 
@@ -26,16 +27,23 @@ def is_finite(column: Column) -> Column:
 
 
 def pool_random_effects(
-    df: DataFrame, by: Sequence[str], y: str = "y", v: str = "v", df_offset: int = 2
+    df: DataFrame,
+    by: Sequence[str],
+    y: str = "y",
+    v: str = "v",
+    df_offset: int = 2,
+    keep: bool = True,
 ) -> DataFrame:
     """Random-effects mean of ``y`` with variances ``v`` per group (DerSimonian-Laird).
 
     Rows without a finite estimate and variance are left out.  The prediction limits use a t
-    quantile with k - ``df_offset`` degrees of freedom and need k >= 3.
+    quantile with k - ``df_offset`` degrees of freedom and need k >= 3.  The rows are read in
+    three passes, so ``keep`` writes them to the shared folder first.
     """
     by = list(by)
     rows = df.where(is_finite(F.col(y)) & is_finite(F.col(v)) & (F.col(v) > 0))
     rows = rows.select(*by, F.col(y).alias("_y"), (1.0 / F.col(v)).alias("_w"))
+    rows = durable(rows) if keep else rows
     fixed = rows.groupBy(*by).agg(
         F.count("*").alias("k"),
         F.sum("_w").alias("_sw"),

@@ -46,14 +46,17 @@ def frames(spark: SparkSession, sf_dir: str, by_site: bool = False) -> I.StudyFr
 
 
 def summary_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results table of all sites, written as a site would write it."""
     targets, outcomes, subgroups = study_cohorts(spark, sf_dir)
-    return I.incidence(
-        clinical(spark, sf_dir).observation_period,
-        targets,
-        outcomes,
-        subgroups,
-        D.SETTINGS,
-        sites=sites(spark, sf_dir),
+    return durable(
+        I.incidence(
+            clinical(spark, sf_dir).observation_period,
+            targets,
+            outcomes,
+            subgroups,
+            D.SETTINGS,
+            sites=sites(spark, sf_dir),
+        )
     )
 
 
