@@ -12,7 +12,7 @@ from ..schemas import COHORT_COLUMNS, EVENT_COLUMNS
 from ..sources.clinical import ClinicalTables
 from ..sources.durable import durable
 from ..specs import CohortSpec, ConceptSet, Criterion, Days, Group, Rule, families
-from .criteria import ANCHOR, anchors_of, satisfying, shifted
+from .criteria import ANCHOR, anchors_of, evaluated, satisfying, shifted
 from .events import OWNER, CohortBatch, criterion_events, within_observation
 from .intervals import interval_union
 from .sizing import broadcast_within
@@ -87,22 +87,17 @@ def qualified_events(batch: CohortBatch, spec: CohortSpec) -> DataFrame:
     return first_per_person(events, "start_date") if spec.qualified_limit == "First" else events
 
 
-def rule_matches(batch: CohortBatch, anchors: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(rule_id, owner, anchor): the rules each index day meets."""
-    frames = [
-        satisfying(batch, anchors, r.group).withColumn("rule_id", F.lit(i))
-        for i, r in enumerate(rules)
-    ]
-    return reduce(DataFrame.unionByName, frames)
-
-
-def rule_masks(matches: DataFrame) -> DataFrame:
-    """One bit per rule that is met; index days that meet none are absent."""
-    bit = F.expr("shiftleft(1L, rule_id)")
-    return matches.groupBy(*OWNER, *ANCHOR).agg(
-        F.bit_or(bit).alias("rule_mask"),
-        F.countDistinct("rule_id").alias("n_rules"),
-        F.min("rule_id").alias("first_rule"),
+def rule_masks(batch: CohortBatch, anchors: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Every index day with one bit per rule it meets, their number and the smallest one."""
+    wide, holds = evaluated(batch, anchors, [r.group for r in rules])
+    bits = [F.when(h, F.lit(1 << i).cast("long")).otherwise(0) for i, h in enumerate(holds)]
+    first = F.coalesce(*[F.when(h, F.lit(i)) for i, h in enumerate(holds)], F.lit(0))
+    return wide.select(
+        *OWNER,
+        *ANCHOR,
+        reduce(lambda a, b: a + b, bits).alias("rule_mask"),
+        reduce(lambda a, b: a + b, [h.cast("long") for h in holds]).alias("n_rules"),
+        first.alias("first_rule"),
     )
 
 
@@ -113,12 +108,8 @@ def events_with_mask(batch: CohortBatch, spec: CohortSpec) -> DataFrame:
         return events.withColumns(
             {"rule_mask": F.lit(0).cast("long"), "n_rules": F.lit(0).cast("long"), "first_rule": F.lit(0)}
         )
-    masks = rule_masks(
-        rule_matches(batch, events.select(*OWNER, *ANCHOR).distinct(), spec.rules)
-    )
-    return events.join(masks, [*OWNER, *ANCHOR], "left").fillna(
-        0, ["rule_mask", "n_rules", "first_rule"]
-    )
+    anchors = events.select(*OWNER, *ANCHOR).distinct()
+    return events.join(rule_masks(batch, anchors, spec.rules), [*OWNER, *ANCHOR])
 
 
 def best_event_per_person(events: DataFrame) -> DataFrame:
@@ -201,13 +192,14 @@ def _first_anchor(anchors: DataFrame, by: str) -> DataFrame:
 def included_anchors(batch: CohortBatch, spec: CohortSpec) -> DataFrame:
     """Index days that pass the additional criteria, every rule and the limits."""
     anchors = _entry_anchors(batch, spec)
-    if spec.additional is not None:
-        anchors = satisfying(batch, anchors, spec.additional)
-        if spec.qualified_limit == "First":
-            anchors = _first_anchor(anchors, "start_date")
-    if spec.rules:
-        # All rules must hold, so the rules together are one ALL group.
-        anchors = satisfying(batch, anchors, Group("ALL", (), tuple(r.group for r in spec.rules)))
+    groups = tuple(r.group for r in spec.rules)
+    if spec.additional is not None and spec.qualified_limit == "First":
+        anchors = _first_anchor(satisfying(batch, anchors, spec.additional), "start_date")
+    elif spec.additional is not None:
+        groups = (spec.additional, *groups)
+    if groups:
+        # Everything must hold, so it is one ALL group and one pass.
+        anchors = satisfying(batch, anchors, Group("ALL", (), groups))
     if spec.inclusion_limit == "First":
         anchors = _first_anchor(anchors, "start_date")
     return anchors

@@ -98,9 +98,6 @@ def counted(
     """
     owner = list(owner)
     numbered = dict(enumerate(tests))
-    events = criterion_events(batch, [(i, t.criterion) for i, t in numbered.items()])
-    # The candidates belong to the cohort, not to an outer criterion the anchors may carry.
-    events = events.withColumnRenamed("part", "test")
     plain = {i: t for i, t in numbered.items() if t.end_window is None}
     reach = {
         i: t
@@ -117,10 +114,15 @@ def counted(
     results = []
 
     def of(chosen: dict[int, Correlated]) -> tuple[DataFrame, DataFrame]:
-        ids = [F.lit(i) for i in chosen]
+        """The anchors once per test, and the candidates of each test.
+
+        Candidates belong to the cohort, whatever outer criterion the anchors stem from.
+        """
+        events = criterion_events(batch, [(i, t.criterion) for i, t in chosen.items()])
+        ids = ", ".join(map(str, chosen))
         return (
-            anchors.withColumn("test", F.explode(F.array(*ids))),
-            events.where(F.col("test").isin(*chosen)),
+            anchors.selectExpr("*", f"explode(array({ids})) AS test"),
+            events.withColumnRenamed("part", "test"),
         )
 
     if plain:
@@ -189,6 +191,43 @@ def counted(
 
 
 
+def _leaves(group: Group) -> list[Correlated]:
+    found = list(group.criteria)
+    for inner in group.groups:
+        found += _leaves(inner)
+    return list(dict.fromkeys(found))
+
+
+def _predicate(group: Group, column_of: dict[Correlated, str]) -> Column:
+    parts = [_holds(t, F.col(column_of[t])) for t in group.criteria]
+    parts += [_predicate(g, column_of) for g in group.groups]
+    return reduce((lambda a, b: a & b) if group.kind == "ALL" else (lambda a, b: a | b), parts)
+
+
+def evaluated(
+    batch: CohortBatch,
+    anchors: DataFrame,
+    groups: Sequence[Group],
+    owner: Sequence[str] = OWNER,
+) -> tuple[DataFrame, list[Column]]:
+    """Every anchor with the counts of all tests in ``groups``, and one predicate per group.
+
+    However deep the groups nest, their tests are counted together and brought to one row
+    per anchor; the groups are then boolean expressions over that row.
+    """
+    owner = list(owner)
+    tests = list(dict.fromkeys(t for g in groups for t in _leaves(g)))
+    found = counted(batch, anchors, tests, owner)
+    column_of = {t: f"_n{i}" for i, t in enumerate(tests)}
+    if len(tests) == 1:
+        wide = found.withColumnRenamed("n_events", "_n0").drop("test")
+    else:
+        wide = found.groupBy(*owner, *ANCHOR).agg(
+            *[F.expr(f"max(CASE WHEN test = {i} THEN n_events END) AS _n{i}") for i in range(len(tests))]
+        )
+    return wide, [_predicate(g, column_of) for g in groups]
+
+
 def satisfying(
     batch: CohortBatch,
     anchors: DataFrame,
@@ -196,22 +235,5 @@ def satisfying(
     owner: Sequence[str] = OWNER,
 ) -> DataFrame:
     """The anchors that meet ``group``: all of its tests, or any of them."""
-    owner = list(owner)
-    parts = []
-    if group.criteria:
-        found = counted(batch, anchors, group.criteria, owner)
-        holds = _by_part(dict(enumerate(group.criteria)), lambda t: _holds(t, F.col("n_events")))
-        parts.append(found.where(holds).select(*owner, *ANCHOR))
-    parts += [satisfying(batch, anchors, g, owner).select(*owner, *ANCHOR) for g in group.groups]
-    met = reduce(DataFrame.unionByName, parts)
-    wanted = len(group.criteria) + len(group.groups)
-    if wanted == 1:
-        return met
-    if group.kind == "ANY":
-        return met.distinct()
-    return (
-        met.groupBy(*owner, *ANCHOR)
-        .agg(F.count("*").alias("_met"))
-        .where(F.col("_met") == wanted)
-        .drop("_met")
-    )
+    wide, (holds,) = evaluated(batch, anchors, [group], owner)
+    return wide.where(holds).select(*owner, *ANCHOR)

@@ -14,12 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_between, plus_days
-from ..schemas import IR_SUMMARY_DDL, REFERENCE_DDL, conform, literal_frame
+from ..schemas import IR_SUMMARY_DDL, REFERENCE_DDL, conform, fan_out, literal_frame
 from ..sources.durable import durable
 from ..specs import Analysis, OutcomeSpec, SubgroupSpec, TargetSpec, TarSpec
 from .intervals import interval_intersect, interval_union, match_points
@@ -32,14 +33,33 @@ STRATUM = ["database_name", *DESIGN, "subgroup_cohort_definition_id"]
 CELL = [*STRATUM, "outcome_id"]
 
 
-# Settings as frames.  They are driver-side lists, so their size is known.
+@dataclass(frozen=True)
+class Settings:
+    targets: Sequence[TargetSpec]
+    tars: Sequence[TarSpec]
+    subgroups: Sequence[SubgroupSpec]
+    outcomes: Sequence[OutcomeSpec]
 
+    def chosen_by(self, analysis: Analysis) -> Settings:
+        return Settings(
+            [t for t in self.targets if t.target_cohort_definition_id in analysis.target_ids],
+            [t for t in self.tars if t.time_at_risk_id in analysis.time_at_risk_ids],
+            [
+                s
+                for s in self.subgroups
+                if s.subgroup_cohort_definition_id in analysis.subgroup_ids
+            ],
+            [o for o in self.outcomes if o.outcome_id in analysis.outcome_ids],
+        )
 
-def tar_frame(spark, tars: Sequence[TarSpec]) -> DataFrame:
-    rows = [
+
+# Settings as rows.  They are driver-side lists, so their size is known.
+
+
+def tar_rows(tars: Sequence[TarSpec]) -> list[tuple]:
+    return [
         (t.time_at_risk_id, t.start_offset, t.start_index, t.end_offset, t.end_index) for t in tars
     ]
-    return literal_frame(spark, rows, REFERENCE_DDL["time_at_risk"])
 
 
 def target_frame(spark, targets: Sequence[TargetSpec]) -> DataFrame:
@@ -47,6 +67,10 @@ def target_frame(spark, targets: Sequence[TargetSpec]) -> DataFrame:
     return literal_frame(spark, rows, REFERENCE_DDL["target_ref"])
 
 
+def tar_frame(spark, tars: Sequence[TarSpec]) -> DataFrame:
+    return literal_frame(spark, tar_rows(tars), REFERENCE_DDL["time_at_risk"])
+
+
 def subgroup_frame(spark, subgroups: Sequence[SubgroupSpec]) -> DataFrame:
     rows = [(s.subgroup_cohort_definition_id, s.subgroup_name) for s in subgroups]
     return literal_frame(spark, rows, REFERENCE_DDL["subgroup_ref"])
@@ -70,26 +94,25 @@ def outcome_frame(spark, outcomes: Sequence[OutcomeSpec]) -> DataFrame:
     return literal_frame(spark, rows, REFERENCE_DDL["outcome_ref"])
 
 
-def reference_cube(
-    spark,
-    targets: Sequence[TargetSpec],
-    tars: Sequence[TarSpec],
-    subgroups: Sequence[SubgroupSpec],
-    outcomes: Sequence[OutcomeSpec],
-) -> DataFrame:
-    """Every target x time at risk x subgroup (and 'All', id 0) x outcome."""
-    strata = [SubgroupSpec(0, "All"), *subgroups]
-    return (
-        target_frame(spark, targets)
-        .crossJoin(F.broadcast(tar_frame(spark, tars)))
-        .crossJoin(F.broadcast(subgroup_frame(spark, strata).distinct()))
-        .crossJoin(
-            F.broadcast(
-                outcome_frame(spark, outcomes).select(
-                    "outcome_id", "outcome_cohort_definition_id", "outcome_name", "clean_window"
-                )
-            )
-        )
+def reference_cube(databases: DataFrame, settings: Settings) -> DataFrame:
+    """Every database x target x time at risk x subgroup (and 'All', id 0) x outcome."""
+    strata = dict.fromkeys([SubgroupSpec(0, "All"), *settings.subgroups])
+    lists = [
+        ([(t.target_cohort_definition_id, t.target_name) for t in settings.targets], "target_ref"),
+        (tar_rows(settings.tars), "time_at_risk"),
+        ([(s.subgroup_cohort_definition_id, s.subgroup_name) for s in strata], "subgroup_ref"),
+    ]
+    cube = databases
+    for rows, name in lists:
+        cube = fan_out(cube, rows, REFERENCE_DDL[name])
+    outcomes = [
+        (o.outcome_id, o.outcome_cohort_definition_id, o.outcome_name, o.clean_window)
+        for o in settings.outcomes
+    ]
+    return fan_out(
+        cube,
+        outcomes,
+        "outcome_id long, outcome_cohort_definition_id long, outcome_name string, clean_window int",
     )
 
 
@@ -115,7 +138,7 @@ def time_at_risk(
         ).otherwise(F.col("cohort_end_date"))
         return F.least(plus_days(anchor, F.col(f"time_at_risk_{side}_offset")), F.col("op_end"))
 
-    return observed.crossJoin(F.broadcast(tar_frame(targets.sparkSession, tars))).select(
+    return fan_out(observed, tar_rows(tars), REFERENCE_DDL["time_at_risk"]).select(
         F.col("cohort_definition_id").alias("target_cohort_definition_id"),
         "time_at_risk_id",
         "subject_id",
@@ -375,104 +398,95 @@ def summary(cube: DataFrame, cells: dict[str, DataFrame]) -> DataFrame:
 # The analysis.
 
 
-@dataclass(frozen=True)
-class Settings:
-    targets: Sequence[TargetSpec]
-    tars: Sequence[TarSpec]
-    subgroups: Sequence[SubgroupSpec]
-    outcomes: Sequence[OutcomeSpec]
-
-    def chosen_by(self, analysis: Analysis) -> Settings:
-        return Settings(
-            [t for t in self.targets if t.target_cohort_definition_id in analysis.target_ids],
-            [t for t in self.tars if t.time_at_risk_id in analysis.time_at_risk_ids],
-            [
-                s
-                for s in self.subgroups
-                if s.subgroup_cohort_definition_id in analysis.subgroup_ids
-            ],
-            [o for o in self.outcomes if o.outcome_id in analysis.outcome_ids],
-        )
-
-
-@dataclass(frozen=True)
-class StudyFrames:
-    """The person-level frames of one analysis."""
-
-    eras: DataFrame
-    tagged: DataFrame
-    days: DataFrame
-    excluded: DataFrame
-    within: DataFrame
-    per_person: DataFrame
-    per_outcome: DataFrame
-
-
-def study_frames(
-    observation_period: DataFrame,
-    targets: DataFrame,
-    outcomes: DataFrame,
-    subgroups: DataFrame,
-    settings: Settings,
-    database_name: str = "",
-    sites: DataFrame | None = None,
-    keep: bool = True,
-) -> StudyFrames:
-    """``sites`` (subject_id, database_name) runs the analysis of all databases at once.
+class Study:
+    """The person-level frames of one analysis, each composed when first asked for.
 
+    ``sites`` (subject_id, database_name) runs the analysis of all databases at once.
     ``keep`` writes the frames that several measures read to the shared folder.
     """
-    hold = durable if keep else (lambda df: df)
-    target_ids = [t.target_cohort_definition_id for t in settings.targets]
-    subgroup_ids = [s.subgroup_cohort_definition_id for s in settings.subgroups]
-    outcome_ids = [o.outcome_id for o in settings.outcomes]
-    chosen = targets.where(F.col("cohort_definition_id").isin(*target_ids))
-    windows = time_at_risk(chosen, observation_period, settings.tars)
-    eras = hold(at_risk_eras(windows, sites, database_name))
-    tagged = in_subgroups(eras, subgroups.where(F.col("cohort_definition_id").isin(*subgroup_ids)))
-    days = outcome_days(outcomes, outcome_ids)
-    excluded = hold(excluded_at_risk(excluded_periods(outcomes, settings.outcomes), eras))
-    within = era_exclusions(eras, excluded)
-    per_person = person_time(tagged)
-    per_outcome = person_outcomes(
-        tagged,
-        [
-            era_outcomes(eras, days),
-            era_excluded_days(within),
-            era_excluded_outcomes(within, days),
-        ],
-    )
-    return StudyFrames(eras, tagged, days, excluded, within, per_person, hold(per_outcome))
-
-
-def incidence(
-    observation_period: DataFrame,
-    targets: DataFrame,
-    outcomes: DataFrame,
-    subgroups: DataFrame,
-    settings: Settings,
-    database_name: str = "",
-    sites: DataFrame | None = None,
-    keep: bool = True,
-) -> DataFrame:
+
+    def __init__(
+        self,
+        observation_period: DataFrame,
+        targets: DataFrame,
+        outcomes: DataFrame,
+        subgroups: DataFrame,
+        settings: Settings,
+        database_name: str = "",
+        sites: DataFrame | None = None,
+        keep: bool = True,
+    ):
+        self.observation_period = observation_period
+        self.targets = targets
+        self.outcomes = outcomes
+        self.subgroups = subgroups
+        self.settings = settings
+        self.database_name = database_name
+        self.sites = sites
+        self._hold = durable if keep else (lambda df: df)
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        ids = [t.target_cohort_definition_id for t in self.settings.targets]
+        chosen = self.targets.where(F.col("cohort_definition_id").isin(*ids))
+        return time_at_risk(chosen, self.observation_period, self.settings.tars)
+
+    @cached_property
+    def eras(self) -> DataFrame:
+        return self._hold(at_risk_eras(self.windows, self.sites, self.database_name))
+
+    @cached_property
+    def tagged(self) -> DataFrame:
+        ids = [s.subgroup_cohort_definition_id for s in self.settings.subgroups]
+        chosen = self.subgroups.where(F.col("cohort_definition_id").isin(*ids))
+        return in_subgroups(self.eras, chosen)
+
+    @cached_property
+    def days(self) -> DataFrame:
+        return outcome_days(self.outcomes, [o.outcome_id for o in self.settings.outcomes])
+
+    @cached_property
+    def excluded(self) -> DataFrame:
+        periods = excluded_periods(self.outcomes, self.settings.outcomes)
+        return self._hold(excluded_at_risk(periods, self.eras))
+
+    @cached_property
+    def within(self) -> DataFrame:
+        return era_exclusions(self.eras, self.excluded)
+
+    @cached_property
+    def per_person(self) -> DataFrame:
+        return person_time(self.tagged)
+
+    @cached_property
+    def per_outcome(self) -> DataFrame:
+        measures = [
+            era_outcomes(self.eras, self.days),
+            era_excluded_days(self.within),
+            era_excluded_outcomes(self.within, self.days),
+        ]
+        return self._hold(person_outcomes(self.tagged, measures))
+
+    def cube(self) -> DataFrame:
+        if self.sites is None:
+            one = self.targets.sparkSession.range(1)
+            databases = one.select(F.lit(self.database_name).alias("database_name"))
+        else:
+            databases = self.sites.select("database_name").distinct()
+        return reference_cube(databases, self.settings)
+
+    def summary(self) -> DataFrame:
+        cells = {
+            "at_risk": at_risk_cells(self.per_person),
+            "outcome": outcome_cells(self.per_outcome),
+            "excluded_time": excluded_time_cells(self.per_outcome),
+            "excluded_person": excluded_person_cells(self.per_person, self.per_outcome),
+            "excluded_outcome": excluded_outcome_cells(self.per_outcome),
+            "lost_outcome": lost_outcome_cells(self.per_outcome),
+        }
+        return summary(self.cube(), cells)
+
+
+def incidence(*args, **kwargs) -> DataFrame:
     """The incidence summary of one analysis, one row per cell of the reference cube."""
-    frames = study_frames(
-        observation_period, targets, outcomes, subgroups, settings, database_name, sites, keep
-    )
-    spark = targets.sparkSession
-    cube = reference_cube(
-        spark, settings.targets, settings.tars, settings.subgroups, settings.outcomes
-    )
-    if sites is None:
-        cube = cube.withColumn("database_name", F.lit(database_name))
-    else:
-        cube = sites.select("database_name").distinct().crossJoin(F.broadcast(cube))
-    cells = {
-        "at_risk": at_risk_cells(frames.per_person),
-        "outcome": outcome_cells(frames.per_outcome),
-        "excluded_time": excluded_time_cells(frames.per_outcome),
-        "excluded_person": excluded_person_cells(frames.per_person, frames.per_outcome),
-        "excluded_outcome": excluded_outcome_cells(frames.per_outcome),
-        "lost_outcome": lost_outcome_cells(frames.per_outcome),
-    }
-    return summary(cube, cells)
+    return Study(*args, **kwargs).summary()

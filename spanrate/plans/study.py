@@ -106,17 +106,20 @@ def database_metadata(
     cdm: ClinicalTables, database_id: str, database_name: str, description: str
 ) -> DataFrame:
     """One row about the database: vocabulary release and observed dates."""
-    version = (
-        cdm.vocabulary.where(F.col("vocabulary_id") == "None")
-        .agg(F.max("vocabulary_version").alias("_version"))
-        .select(F.coalesce("_version", F.lit("UNKNOWN")).alias("vocabulary_version"))
+    release = cdm.vocabulary.where("vocabulary_id = 'None'").selectExpr(
+        "vocabulary_version", "CAST(NULL AS DATE) AS first_day", "CAST(NULL AS DATE) AS last_day"
     )
-    dates = cdm.observation_period.agg(
-        F.min("observation_period_start_date").alias("min_obs_period_date"),
-        F.max("observation_period_end_date").alias("max_obs_period_date"),
+    observed = cdm.observation_period.selectExpr(
+        "CAST(NULL AS STRING) AS vocabulary_version",
+        "observation_period_start_date AS first_day",
+        "observation_period_end_date AS last_day",
     )
-    # Two frames of one row each.
-    return dates.crossJoin(version).select(
+    facts = release.unionByName(observed).agg(
+        F.coalesce(F.max("vocabulary_version"), F.lit("UNKNOWN")).alias("vocabulary_version"),
+        F.min("first_day").alias("min_obs_period_date"),
+        F.max("last_day").alias("max_obs_period_date"),
+    )
+    return facts.select(
         F.lit(database_id).alias("database_id"),
         F.lit(database_name).alias("database_name"),
         F.lit(description).alias("description"),

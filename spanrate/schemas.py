@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from typing import Any
@@ -115,6 +116,16 @@ def literal_frame(spark: SparkSession, rows: Sequence[Sequence[Any]], ddl: str)
     return spark.createDataFrame(table, schema=schema)
 
 
+def fan_out(df: DataFrame, rows: Sequence[Sequence[Any]], ddl: str) -> DataFrame:
+    """Every row of ``df`` once per settings row, without a join.
+
+    The settings travel as one literal.
+    """
+    names = [f.name for f in struct_type(ddl)]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    return df.select("*", F.inline(F.from_json(F.lit(text), f"array<struct<{ddl}>>")))
+
+
 def snake_case(name: str) -> str:
     """numOutcomes -> num_outcomes, incidenceRateP100py -> incidence_rate_p_100py."""
     spaced = re.sub(r"(?=[A-Z])", "_", name).lower()

@@ -31,18 +31,10 @@ def study_cohorts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return built.where(is_target), built.where(~is_target), subgroups
 
 
-def frames(spark: SparkSession, sf_dir: str, by_site: bool = False) -> I.StudyFrames:
+def frames(spark: SparkSession, sf_dir: str) -> I.Study:
     targets, outcomes, subgroups = study_cohorts(spark, sf_dir)
-    return I.study_frames(
-        clinical(spark, sf_dir).observation_period,
-        targets,
-        outcomes,
-        subgroups,
-        D.SETTINGS,
-        "all",
-        sites(spark, sf_dir) if by_site else None,
-        keep=False,
-    )
+    period = clinical(spark, sf_dir).observation_period
+    return I.Study(period, targets, outcomes, subgroups, D.SETTINGS, "all")
 
 
 def summary_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +108,7 @@ def era_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).within.drop("database_name")
 
 
-def cells(pick: Callable[[I.StudyFrames], DataFrame], overall: bool | None = None) -> Query:
+def cells(pick: Callable[[I.Study], DataFrame], overall: bool | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = pick(frames(spark, sf_dir)).drop("database_name")
         whole = F.col("subgroup_cohort_definition_id") == 0
@@ -125,12 +117,12 @@ def cells(pick: Callable[[I.StudyFrames], DataFrame], overall: bool | None = Non
     return run
 
 
-def at_risk(f: I.StudyFrames) -> DataFrame:
+def at_risk(f: I.Study) -> DataFrame:
     years = I.person_years(F.col("days_at_risk"))
     return I.at_risk_cells(f.per_person).withColumn("person_years", years)
 
 
-def excluded_time(f: I.StudyFrames) -> DataFrame:
+def excluded_time(f: I.Study) -> DataFrame:
     years = I.person_years(F.col("excluded_days"))
     return I.excluded_time_cells(f.per_outcome).withColumn("person_years", years)
 
