@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 from ..schemas import COHORT_COLUMNS, EVENT_COLUMNS
 from ..sources.clinical import ClinicalTables
 from ..sources.durable import durable
-from ..specs import CohortSpec, ConceptSet, Criterion, Days, Group, Rule, families
+from ..specs import CohortSpec, ConceptSet, Criterion, Days, Group, Rule, criteria_of, families
 from .criteria import ANCHOR, anchors_of, evaluated, satisfying, shifted
-from .events import OWNER, CohortBatch, criterion_events, within_observation
+from .events import (
+    OWNER,
+    CohortBatch,
+    criterion_events,
+    event_days,
+    share_days,
+    within_observation,
+)
 from .intervals import interval_union
 from .sizing import broadcast_within
 from .vocabulary import resolve_concept_sets
@@ -172,7 +179,7 @@ def inclusion_summary(events: DataFrame, n_rules: int) -> DataFrame:
 
 def _entry_anchors(batch: CohortBatch, spec: CohortSpec) -> DataFrame:
     """Index days of the entry events.  A person has at most one per day and period."""
-    events = criterion_events(batch, list(enumerate(spec.primary)))
+    events = event_days(batch, list(enumerate(spec.primary)))
     if spec.primary_limit == "All":
         return anchors_of(batch, events, OWNER, spec.prior_days, spec.post_days)
     days = events.select(*OWNER, "sort_date", "start_date").distinct()
@@ -191,6 +198,7 @@ def _first_anchor(anchors: DataFrame, by: str) -> DataFrame:
 
 def included_anchors(batch: CohortBatch, spec: CohortSpec) -> DataFrame:
     """Index days that pass the additional criteria, every rule and the limits."""
+    share_days(batch, list(criteria_of(spec)))
     anchors = _entry_anchors(batch, spec)
     groups = tuple(r.group for r in spec.rules)
     if spec.additional is not None and spec.qualified_limit == "First":

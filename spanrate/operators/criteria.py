@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import plus_days
 from ..specs import Correlated, Days, Group
-from .events import OWNER, CohortBatch, criterion_events, within_observation
+from .events import OWNER, CohortBatch, event_days, within_observation
 from .intervals import count_in_boxes, count_in_windows, latest_end_before, match_points
 
 ANCHOR = ["start_date", "op_start", "op_end"]
@@ -118,7 +118,7 @@ def counted(
 
         Candidates belong to the cohort, whatever outer criterion the anchors stem from.
         """
-        events = criterion_events(batch, [(i, t.criterion) for i, t in chosen.items()])
+        events = event_days(batch, [(i, t.criterion) for i, t in chosen.items()])
         ids = ", ".join(map(str, chosen))
         return (
             anchors.selectExpr("*", f"explode(array({ids})) AS test"),
@@ -136,6 +136,7 @@ def counted(
                 "start_date",
                 _by_part(plain, lambda t: _bounds(t)[0]),
                 _by_part(plain, lambda t: _bounds(t)[1]),
+                "n",
             )
         )
     for in_period in (True, False):
@@ -147,9 +148,8 @@ def counted(
         rest = [*outer, *ANCHOR]
         if in_period:
             spans = mine.select(*keys, "op_start", "op_end").distinct()
-            days = candidates.groupBy(*keys, "start_date", "end_date").agg(F.lit(1).alias("_"))
             candidates = match_points(
-                days, spans, keys, "start_date", "op_start", "op_end", 1827
+                candidates, spans, keys, "start_date", "op_start", "op_end", 1827
             ).where(F.col("end_date") <= F.col("op_end"))
             keys = [*keys, "op_start", "op_end"]
             rest = [*outer, "start_date"]
@@ -183,6 +183,7 @@ def counted(
                 _bounds(test),
                 _end_bounds(test),
                 max(32, window.end - window.start + 1) if bounded else 36525,
+                "n",
             )
         )
     columns = [*owner, *ANCHOR, "test", F.col("n_events").cast("long").alias("n_events")]

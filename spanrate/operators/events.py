@@ -8,7 +8,8 @@ cohorts likewise by ``cohort_definition_id``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import compare
 from ..schemas import EVENT_COLUMNS
 from ..sources.clinical import ClinicalTables
+from ..sources.durable import durable
 from ..specs import Criterion
 from .intervals import match_points
 
@@ -27,12 +29,14 @@ PERIOD_SLOT_DAYS = 1827
 class CohortBatch:
     """Cohorts built in one pass: their ids, their codes and the tables they read.
 
-    ``codes`` has (cohort_definition_id, codeset_id, concept_id).
+    ``codes`` has (cohort_definition_id, codeset_id, concept_id); ``shared`` holds the event
+    days of criteria that are used more than once.
     """
 
     cdm: ClinicalTables
     cohort_ids: tuple[int, ...]
     codes: DataFrame
+    shared: dict[Criterion, DataFrame] = field(default_factory=dict, compare=False)
 
 
 def observation_spans(cdm: ClinicalTables) -> DataFrame:
@@ -165,6 +169,7 @@ def criterion_events(batch: CohortBatch, parts: Sequence[tuple[int, Criterion]])
     for criterion, frame in frames:
         if criterion.nested is not None:
             owner = ["cohort_definition_id", "part", "person_id"]
+            frame = durable(frame)
             anchors = anchors_of(batch, frame, owner)
             kept = satisfying(batch, anchors, criterion.nested, owner)
             days = kept.select(*owner, "start_date").distinct()
@@ -173,6 +178,81 @@ def criterion_events(batch: CohortBatch, parts: Sequence[tuple[int, Criterion]])
     return events
 
 
+NO_CODES = -1
+
+
+def _event_days(batch: CohortBatch, criterion: Criterion, codesets: Sequence[int]) -> DataFrame:
+    """(cohort, codeset, person, start, end, sort_date, n): events of equal days as one row.
+
+    The first thing that happens to the events is this aggregate, keyed by day, so neither a
+    person nor a code with very many events reaches a single task.
+    """
+    from .criteria import anchors_of, satisfying
+
+    scan = _SCANS[criterion.domain](batch.cdm, criterion)
+    frames = []
+    coded = [c for c in codesets if c != NO_CODES]
+    if coded:
+        codes = batch.codes.where(f"codeset_id IN ({', '.join(map(str, coded))})")
+        frames.append(scan.join(codes, "concept_id"))
+    if NO_CODES in codesets:
+        ids = ", ".join(f"{i}L" for i in batch.cohort_ids)
+        frames.append(
+            scan.selectExpr(
+                "*", f"{NO_CODES} AS codeset_id", f"explode(array({ids})) AS cohort_definition_id"
+            )
+        )
+    owner = ["cohort_definition_id", "codeset_id", "person_id"]
+    key = [*owner, "start_date", "end_date", "sort_date"]
+    days = reduce(DataFrame.unionByName, [f.selectExpr(*key) for f in frames])
+    days = days.groupBy(*key).agg(F.count("*").alias("n"))
+    if criterion.nested is None:
+        return days
+    days = durable(days)
+    kept = satisfying(batch, anchors_of(batch, days, owner), criterion.nested, owner)
+    kept = kept.select(*owner, "start_date").distinct()
+    return days.join(kept, [*owner, "start_date"], "left_semi")
+
+
+def share_days(batch: CohortBatch, uses: Sequence[Criterion]) -> None:
+    """Keep the event days of criteria that differ at most by codes and occur repeatedly.
+
+    A clean window, for one, looks for the very events that enter the cohort: the table is
+    then scanned once for both.
+    """
+    codesets: dict[Criterion, list[int]] = {}
+    for criterion in uses:
+        number = NO_CODES if criterion.codeset_id is None else criterion.codeset_id
+        codesets.setdefault(replace(criterion, codeset_id=None), []).append(number)
+    # Nested criteria are listed after the one they belong to, and are needed first.
+    for criterion, numbers in reversed(codesets.items()):
+        if len(numbers) > 1 and criterion.domain != "observation_period":
+            distinct = sorted(set(numbers))
+            batch.shared[criterion] = durable(_event_days(batch, criterion, distinct))
+
+
+def event_days(batch: CohortBatch, parts: Sequence[tuple[int, Criterion]]) -> DataFrame:
+    """Events of all ``parts`` with equal days as one row: (owner, part, days, n)."""
+    groups: dict[Criterion, dict[int, list[int]]] = {}
+    for part, criterion in parts:
+        number = NO_CODES if criterion.codeset_id is None else criterion.codeset_id
+        uses = groups.setdefault(replace(criterion, codeset_id=None), {})
+        uses.setdefault(number, []).append(part)
+    columns = [*OWNER, "start_date", "end_date", "sort_date", "n"]
+    frames = []
+    for criterion, uses in groups.items():
+        days = batch.shared.get(criterion)
+        if days is None:
+            days = _event_days(batch, criterion, list(uses))
+        pairs = ", ".join(f"{c}, array({', '.join(map(str, ps))})" for c, ps in uses.items())
+        frames.append(
+            days.where(f"codeset_id IN ({', '.join(map(str, uses))})").selectExpr(
+                *columns, f"explode(element_at(map({pairs}), codeset_id)) AS part"
+            )
+        )
+    return reduce(DataFrame.unionByName, frames)
+
+
 def within_observation(
     batch: CohortBatch, events: DataFrame, prior_days: int = 0, post_days: int = 0
 ) -> DataFrame:

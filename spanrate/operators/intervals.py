@@ -113,14 +113,17 @@ def count_in_windows(
     day: str,
     low: Column,
     high: Column,
+    weight: str | None = None,
 ) -> DataFrame:
     """For every anchor (distinct rows), the number of events with ``low <= day <= high``.
 
     A null bound leaves that side open.  No pairs are formed: events and window edges are
     merged into one timeline per key and the count is a difference of two running totals.
+    ``weight`` names a column with the number of events a row stands for.
     """
     keys, anchor_columns = list(keys), list(anchor_columns)
-    totals = events.groupBy(*keys, F.col(day).alias("_day")).agg(F.count("*").alias("_n"))
+    number = F.sum(weight) if weight else F.count("*")
+    totals = events.groupBy(*keys, F.col(day).alias("_day")).agg(number.alias("_n"))
     anchor = f"struct({', '.join(anchor_columns)}) AS _anchor"
     edges = (
         "explode(filter(array("
@@ -183,6 +186,7 @@ def count_in_boxes(
     start_window: tuple[Column, Column],
     end_window: tuple[Column, Column],
     width: int = 36525,
+    weight: str | None = None,
 ) -> DataFrame:
     """Per anchor (distinct rows), events whose start lies in one window and whose end in another.
 
@@ -190,8 +194,9 @@ def count_in_boxes(
     """
     keys, anchor_columns = list(keys), list(anchor_columns)
     first, last = F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")
+    number = F.sum(weight) if weight else F.count("*")
     totals = events.groupBy(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).agg(
-        F.count("*").alias("_n")
+        number.alias("_n")
     )
     boxes = (
         anchors.select(*keys, *anchor_columns)

@@ -153,27 +153,31 @@ class CohortSpec:
         return hashlib.md5(text.encode()).hexdigest()
 
 
-def _criterion_codesets(criterion: Criterion) -> Iterator[int]:
-    if criterion.codeset_id is not None:
-        yield criterion.codeset_id
+def _with_inner(criterion: Criterion) -> Iterator[Criterion]:
+    yield criterion
     if criterion.nested is not None:
-        yield from _group_codesets(criterion.nested)
+        yield from _group_criteria(criterion.nested)
 
 
-def _group_codesets(group: Group) -> Iterator[int]:
+def _group_criteria(group: Group) -> Iterator[Criterion]:
     for correlated in group.criteria:
-        yield from _criterion_codesets(correlated.criterion)
+        yield from _with_inner(correlated.criterion)
     for inner in group.groups:
-        yield from _group_codesets(inner)
+        yield from _group_criteria(inner)
 
 
-def _codesets_used(spec: CohortSpec) -> Iterator[int]:
+def criteria_of(spec: CohortSpec) -> Iterator[Criterion]:
+    """Every use of a criterion, nested ones included."""
     for criterion in spec.primary:
-        yield from _criterion_codesets(criterion)
+        yield from _with_inner(criterion)
     if spec.additional is not None:
-        yield from _group_codesets(spec.additional)
+        yield from _group_criteria(spec.additional)
     for rule in spec.rules:
-        yield from _group_codesets(rule.group)
+        yield from _group_criteria(rule.group)
+
+
+def _codesets_used(spec: CohortSpec) -> Iterator[int]:
+    return (c.codeset_id for c in criteria_of(spec) if c.codeset_id is not None)
 
 
 @dataclass(frozen=True)

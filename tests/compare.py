@@ -31,9 +31,7 @@ def plain(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "NaN"
-        return 0.0 if value == 0 else float(f"{value:.9g}")
-    if isinstance(value, int):
-        return value
+        return value + 0.0
     return value
 
 

@@ -58,10 +58,14 @@ def incidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(I.incidence(period, targets, outcomes, subgroups, D.SETTINGS, "all"))
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to 6 digits, as the oracle has them."""
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to a number of digits, as the oracle has them."""
     return df.withColumns(
-        {f.name: F.round(f.name, 6) for f in df.schema if f.dataType.simpleString() == "double"}
+        {
+            f.name: F.round(f"`{f.name}`", digits)
+            for f in df.schema
+            if f.dataType.simpleString() == "double"
+        }
     )
 
 

@@ -298,7 +298,10 @@ def pooled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def pool_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pooled(spark, sf_dir)[1])
+    """Rates have fewer digits: their prediction limits may be very large."""
+    estimates = pooled(spark, sf_dir)[1]
+    rates = [c for c in estimates.columns if c.startswith("rate")]
+    return rounded(estimates).withColumns({c: F.round(c, 2) for c in rates})
 
 
 def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +330,7 @@ def pool_sir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pivot_age_sex(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide, _ = NR.age_sex_table(*pooled(spark, sf_dir))
-    return rounded(wide)
+    return rounded(wide, 2)
 
 
 def stack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
