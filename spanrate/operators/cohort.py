@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ..schemas import COHORT_COLUMNS, EVENT_COLUMNS
+from ..schemas import COHORT_COLUMNS
 from ..sources.clinical import ClinicalTables
 from ..sources.durable import durable
 from ..specs import CohortSpec, ConceptSet, Criterion, Days, Group, Rule, criteria_of, families
@@ -260,8 +261,6 @@ def event_ordinals(
     Rows are numbered within (owner, day, bucket) only; the offset of each such cell is a
     running sum over the owner's cells, whose number is bounded by days x buckets.
     """
-    from pyspark.sql.window import Window as W
-
     cell = [*owner, by, "_bucket"]
     cut = events.withColumn("_bucket", F.pmod(F.col("event_id"), F.lit(buckets)))
     sizes = cut.groupBy(*cell).agg(F.count("*").alias("_n"))
@@ -279,5 +278,3 @@ def event_ordinals(
         .drop("_bucket", "_before", "_within")
     )
 
-
-EVENT_REPORT = ["cohort_definition_id", *EVENT_COLUMNS, "op_start", "op_end"]

@@ -154,8 +154,3 @@ def append_results(
 def replace_site(df: DataFrame, path: str) -> None:
     """Replace all rows of the databases in ``df``; the table is partitioned by database."""
     _replace_partitions(df, path, "database_id")
-
-
-def empty_table(spark: SparkSession, path: str, ddl: str, partition: str | None = None) -> None:
-    writer = spark.createDataFrame([], struct_type(ddl)).write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)

@@ -108,6 +108,12 @@ def test_site_pivot_sums_and_keeps_missing_values(spark):
     assert (row.X_Male, row.Y_Male, row.Z_Male) == (3.5, None, 0.0)
 
 
+def test_sort_order_keeps_unknown_outcomes(spark):
+    df = literal_frame(spark, [("a",), ("b",)], "outcome_name string")
+    order = literal_frame(spark, [("a", 3)], "outcome_name string, sort_order int")
+    assert plain(R.with_sort_order(df, order)) == [("a", 3), ("b", None)]
+
+
 def test_ranking_is_descending(spark):
     df = literal_frame(spark, [("a", 1.0), ("b", None), ("c", 3.0)], "outcome_name string, sir double")
     assert [r.outcome_name for r in R.ranked_ratios(df).collect()] == ["c", "a", "b"]

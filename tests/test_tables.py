@@ -6,13 +6,23 @@ import pytest
 from pyspark.sql import functions as F
 
 from days import frame, plain
+from spanrate.operators import incidence as I
 from spanrate.operators import ledger as L
 from spanrate.operators import network as N
+from spanrate.operators.cohort import build_cohorts
 from spanrate.operators.incidence import Settings
 from spanrate.plans.recipes import clean_condition, concepts
 from spanrate.plans.study import package_metadata, run_cohorts, run_study
-from spanrate.schemas import COHORT_DDL, camel_case, literal_frame, snake_case
+from spanrate.schemas import (
+    CLINICAL_DDL,
+    COHORT_DDL,
+    REFERENCE_DDL,
+    camel_case,
+    literal_frame,
+    snake_case,
+)
 from spanrate.sources import settings as T
+from spanrate.sources.clinical import read_clinical_catalog, read_clinical_files
 from spanrate.sources.tables import (
     append_results,
     create_cohort_table,
@@ -165,6 +175,42 @@ def test_settings_files(tmp_path):
     assert analysis == Analysis("a", (1,), (21,), (1,), (5,))
 
 
+def test_clinical_tables_from_files_and_catalog(spark, tmp_path):
+    cdm = tables(spark, [(1, 1, 10, None)], persons=[(1, 8532, 1990)])
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS cdm_test LOCATION '{tmp_path}/db'")
+    for name in CLINICAL_DDL:
+        df = getattr(cdm, name)
+        df.write.parquet(f"{tmp_path}/parquet/{name}")
+        df.write.option("header", True).csv(f"{tmp_path}/csv/{name}")
+        # A catalog table may have more columns than the engine reads.
+        df.withColumn("extra", F.lit(1)).write.mode("overwrite").saveAsTable(f"cdm_test.{name}")
+    specs = [clean_condition(1, "a", concepts(1))]
+    for read in (
+        read_clinical_files(spark, f"{tmp_path}/parquet"),
+        read_clinical_files(spark, f"{tmp_path}/csv", "csv"),
+        read_clinical_catalog(spark, "cdm_test", "cdm_test"),
+    ):
+        assert plain(build_cohorts(read, specs)) == [(1, 1, 10, 11)]
+    spark.sql("DROP DATABASE cdm_test CASCADE")
+
+
+def test_reference_frames_of_the_settings(spark, tmp_path):
+    path = tmp_path / "tar.csv"
+    names = ["id", "start_offset", "start_index", "end_offset", "end_index"]
+    write_file(path, [[f"time_at_risk_{n}" for n in names], *map(list, TIME_AT_RISK_ROWS)])
+    tars = T.tar_specs(T.read_settings(path))
+    assert plain(I.tar_frame(spark, tars)) == [(1, 0, 0, 2, 0), (6, 1, 0, 90, 0)]
+    read = T.read_settings_frame(spark, str(path), REFERENCE_DDL["time_at_risk"])
+    assert plain(read) == plain(I.tar_frame(spark, tars))
+    assert plain(I.target_frame(spark, T.target_specs([{"cohortId": "1", "cohortName": "T"}]))) == [
+        (1, "T")
+    ]
+    assert T.subgroup_specs([{"cohortId": "21", "cohortName": "S"}]) == [SubgroupSpec(21, "S")]
+
+
+TIME_AT_RISK_ROWS = [(1, 0, 0, 2, 0), (6, 1, 0, 90, 0)]
+
+
 def test_a_study_from_tables_to_export(spark, tmp_path):
     cdm = tables(
         spark,

@@ -5,7 +5,7 @@ Interval unions are self joins, and every measure is its own aggregate over its
 
 from __future__ import annotations
 
-from .cohort_oracles import BASE, BIG, STUDY_PARTS, cohort_sql
+from .cohort_oracles import BASE, STUDY_PARTS, cohort_sql
 from .sql import FIXTURES, eras, statement
 
 GRID = """

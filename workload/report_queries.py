@@ -12,8 +12,9 @@ from spanrate.operators import ledger as L
 from spanrate.operators import network as N
 from spanrate.operators import report as R
 from spanrate.operators import statistics as S
-from spanrate.operators.incidence import CELL
+from spanrate.operators.incidence import CELL, outcome_frame
 from spanrate.plans import network_report as NR
+from spanrate.schemas import literal_frame
 
 from . import definitions as D
 from .clinical import sites, table
@@ -199,8 +200,6 @@ def allowed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocked_subgroups(spark: SparkSession) -> DataFrame:
-    from spanrate.schemas import literal_frame
-
     return literal_frame(spark, BLOCKED, "database_name string, subgroup_cohort_definition_id long")
 
 
@@ -301,7 +300,7 @@ def pool_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates have fewer digits: their prediction limits may be very large."""
     estimates = pooled(spark, sf_dir)[1]
     rates = [c for c in estimates.columns if c.startswith("rate")]
-    return rounded(estimates).withColumns({c: F.round(c, 2) for c in rates})
+    return rounded(estimates.withColumns({c: F.round(c, 2) for c in rates}))
 
 
 def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +321,8 @@ def sir_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool_sir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.pool_ratios(ratios(spark, sf_dir)))
+    results = X.min_cell(summary_by_site(spark, sf_dir))
+    return rounded(NR.ratio_analysis(results, [TARGET], [COMPARATOR], [TAR], ADULTS)[1])
 
 
 # Tables and plots.
@@ -370,8 +370,6 @@ def with_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratios and sentinel rows of censored outcomes, with the doubled ones removed."""
     hidden = X.censored_side(censor_matrix(spark, sf_dir), censored=True)
     names = D.SETTINGS.outcomes
-    from spanrate.operators.incidence import outcome_frame
-
     named = hidden.join(
         F.broadcast(outcome_frame(spark, names)).select(
             F.col("outcome_id").cast("string").alias("PHENOTYPE"), "outcome_name"
