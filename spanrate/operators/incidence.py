@@ -347,9 +347,10 @@ def lost_outcome_cells(per_outcome: DataFrame) -> DataFrame:
     )
 
 
-def person_years(days: Column) -> Column:
-    """Whole years, as the summary table stores them."""
-    return F.floor(days.cast("double") / DAYS_PER_YEAR).cast("long")
+def person_years(days: Column, exact: bool = False) -> Column:
+    """Whole years, as the summary table stores them, or the exact quotient."""
+    years = days.cast("double") / DAYS_PER_YEAR
+    return years if exact else F.floor(years).cast("long")
 
 
 def per_hundred(numerator: Column, denominator: Column) -> Column:
@@ -358,8 +359,13 @@ def per_hundred(numerator: Column, denominator: Column) -> Column:
     )
 
 
-def summary(cube: DataFrame, cells: dict[str, DataFrame]) -> DataFrame:
-    """The reference cube with every measure, zeros where nothing was found."""
+def summary(
+    cube: DataFrame, cells: dict[str, DataFrame], exact_years: bool = False
+) -> DataFrame:
+    """The reference cube with every measure, zeros where nothing was found.
+
+    Whole years lose small strata; ``exact_years`` makes both year columns doubles.
+    """
     out = cube.join(cells["at_risk"], STRATUM, "left")
     for name in ("outcome", "excluded_time", "excluded_person", "excluded_outcome", "lost_outcome"):
         out = out.join(cells[name], CELL, "left")
@@ -370,10 +376,10 @@ def summary(cube: DataFrame, cells: dict[str, DataFrame]) -> DataFrame:
     out = (
         out.withColumn("num_persons_pre_exclude", some("num_persons"))
         .withColumn("num_persons_at_risk", some("num_persons") - some("num_persons_w_no_tar"))
-        .withColumn("person_years_pre_exclude", person_years(some("days_at_risk")))
+        .withColumn("person_years_pre_exclude", person_years(some("days_at_risk"), exact_years))
         .withColumn(
             "person_years",
-            F.col("person_years_pre_exclude") - person_years(some("excluded_days")),
+            F.col("person_years_pre_exclude") - person_years(some("excluded_days"), exact_years),
         )
         .withColumn("num_persons_w_outcome_pre_exclude", some("num_persons_w_outcome"))
         .withColumn(
@@ -392,7 +398,12 @@ def summary(cube: DataFrame, cells: dict[str, DataFrame]) -> DataFrame:
             "incidence_rate_p100py", per_hundred(F.col("num_outcomes"), F.col("person_years"))
         )
     )
-    return conform(out, IR_SUMMARY_DDL)
+    if not exact_years:
+        return conform(out, IR_SUMMARY_DDL)
+    ddl = IR_SUMMARY_DDL
+    for name in ("person_years_pre_exclude", "person_years"):
+        ddl = ddl.replace(f"{name} long", f"{name} double")
+    return conform(out, ddl)
 
 
 # The analysis.
@@ -475,7 +486,7 @@ class Study:
             databases = self.sites.select("database_name").distinct()
         return reference_cube(databases, self.settings)
 
-    def summary(self) -> DataFrame:
+    def summary(self, exact_years: bool = False) -> DataFrame:
         cells = {
             "at_risk": at_risk_cells(self.per_person),
             "outcome": outcome_cells(self.per_outcome),
@@ -484,7 +495,7 @@ class Study:
             "excluded_outcome": excluded_outcome_cells(self.per_outcome),
             "lost_outcome": lost_outcome_cells(self.per_outcome),
         }
-        return summary(self.cube(), cells)
+        return summary(self.cube(), cells, exact_years)
 
 
 def incidence(*args, **kwargs) -> DataFrame:

@@ -19,7 +19,7 @@ from ..functions.labels import (
     interval_text,
     plot_age_group,
 )
-from .statistics import is_finite
+from .statistics import is_finite, log_or_infinity
 
 SENTINEL = 9999.0
 OFF_PLOT = -100.0
@@ -240,16 +240,13 @@ def forest_frame(
     """
     columns = ["outcome_name", "name", "type", "log_rr", "log_lower", "log_upper"]
 
-    def logs(estimate: Column) -> Column:
-        return F.when(estimate == 0, F.lit(float("-inf"))).when(estimate > 0, F.log(estimate))
-
     rows = ratios.select(
         "outcome_name",
         F.col("database_name").alias("name"),
         F.lit("db").alias("type"),
         F.col("log_sir").alias("log_rr"),
-        logs(F.col("sir_lower")).alias("log_lower"),
-        logs(F.col("sir_upper")).alias("log_upper"),
+        log_or_infinity(F.col("sir_lower")).alias("log_lower"),
+        log_or_infinity(F.col("sir_upper")).alias("log_upper"),
     )
     if pooled is not None:
         rows = rows.unionByName(
@@ -257,9 +254,9 @@ def forest_frame(
                 "outcome_name",
                 F.lit(summary_label).alias("name"),
                 F.lit("ma").alias("type"),
-                logs(F.col("sir")).alias("log_rr"),
-                logs(F.col("sir_lower")).alias("log_lower"),
-                logs(F.col("sir_upper")).alias("log_upper"),
+                log_or_infinity(F.col("sir")).alias("log_rr"),
+                log_or_infinity(F.col("sir_lower")).alias("log_lower"),
+                log_or_infinity(F.col("sir_upper")).alias("log_upper"),
             )
         )
     estimate = F.col("log_rr")
@@ -290,6 +287,19 @@ def forest_frame(
     )
 
 
+def pooled_forest(pooled: DataFrame) -> DataFrame:
+    """The forest frame of pooled ratios, one row per outcome."""
+    return forest_frame(
+        pooled.select(
+            "outcome_name",
+            F.col("outcome_name").alias("database_name"),
+            log_or_infinity(F.col("sir")).alias("log_sir"),
+            "sir_lower",
+            "sir_upper",
+        )
+    )
+
+
 def clean_names(df: DataFrame, column: str, patterns: Sequence[tuple[str, str]]) -> DataFrame:
     """Regular expression replacements, one after the other."""
     cleaned = reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), patterns, F.col(column))

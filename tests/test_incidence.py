@@ -71,6 +71,13 @@ def test_measures_of_one_person(spark):
     assert plain(s.per_person, "days_at_risk", "day_span") == [(40, 39)]
 
 
+def test_exact_years_keep_small_strata(spark):
+    s = study(spark, [(1, 1, 10, 10)], [(5, 1, 20, 21), (5, 1, 30, 31)])
+    r = row(s.summary(exact_years=True))
+    assert r.person_years == pytest.approx((40 - 29) / 365.25)
+    assert r.incidence_rate_p100py == pytest.approx(100 * 1 / ((40 - 29) / 365.25))
+
+
 def test_a_zero_day_exclusion_uses_up_a_zero_day_era(spark):
     # At risk 50..50, excluded 50..50: both measure 0 days.
     s = study(spark, [(1, 1, 49, 49)], [(5, 1, 49, 49)])

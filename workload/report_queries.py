@@ -395,6 +395,13 @@ def forest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pooled_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = R.pooled_forest(S.pool_ratios(ratios(spark, sf_dir)))
+    return rounded(frame).select(
+        "outcome_name", "name", "plot_rr", "plot_lower", "plot_upper", "label"
+    )
+
+
 def ranked_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled_ratios = S.pool_ratios(ratios(spark, sf_dir)).withColumn(
         "outcome_name", F.concat(F.lit("[NC] "), "outcome_name", F.lit("?"))
@@ -443,5 +450,6 @@ def queries() -> dict[str, Query]:
         "pivot_site": pivot_site,
         "sentinel_except": sentinel_except,
         "forest_frame": forest_frame,
+        "pooled_forest": pooled_forest,
         "ranked_ratios": ranked_ratios,
     }
