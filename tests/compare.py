@@ -31,7 +31,7 @@ def plain(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "NaN"
-        return value + 0.0
+        return 0.0 if value == 0 else float(f"{value:.10g}")
     return value
 
 
