@@ -5,10 +5,16 @@ Only reports use them, on one row per site and outcome or per pooled group.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+# The functions travel with the plan, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NORMAL_975 = 1.959963984540054
 
 
