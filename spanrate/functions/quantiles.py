@@ -35,7 +35,7 @@ def _gamma_cdf(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised lower incomplete gamma function, for a > 0 and x >= 0."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     front = np.exp(-x + a * np.log(np.where(x > 0, x, 1.0)) - _gamma_log(a))
-    steps = int(60 + 12 * np.sqrt(max(float(a.max(initial=1.0)), 1.0)))
+    steps = int(200 + 20 * np.sqrt(max(float(a.max(initial=1.0)), 1.0)))
     # Below a + 1 the power series converges, above it the continued fraction does.
     low = x < a + 1
     xs = np.where(low, x, 0.0)
@@ -46,6 +46,8 @@ def _gamma_cdf(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         total = total + term
         if np.all(term <= total * 1e-16):
             break
+    else:
+        raise ArithmeticError("the gamma series did not converge")
     series = total * front
     xf = np.where(low, a + 2.0, x)
     tiny = 1e-300
@@ -61,8 +63,10 @@ def _gamma_cdf(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         c = b + an / c
         c = np.where(np.abs(c) < tiny, tiny, c)
         h = h * d * c
-        if np.all(np.abs(d * c - 1.0) < 1e-15):
+        if np.all(np.abs(d * c - 1.0) < 1e-14):
             break
+    else:
+        raise ArithmeticError("the gamma fraction did not converge")
     fraction = 1.0 - front * h
     return np.where(x <= 0, 0.0, np.where(low, series, fraction))
 
@@ -74,20 +78,29 @@ def chi_square_quantiles(p: float, df: np.ndarray) -> np.ndarray:
     todo = df > 0
     if not todo.any():
         return out
-    a = df[todo] / 2.0
-    low = np.zeros_like(a)
-    high = a + 20.0 * np.sqrt(a) + 20.0
-    for _ in range(200):
-        middle = (low + high) / 2.0
-        under = _gamma_cdf(a, middle) < p
-        low = np.where(under, middle, low)
-        high = np.where(under, high, middle)
-        if np.all(high - low <= 1e-14 * np.maximum(high, 1e-12)):
-            break
-    out[todo] = low + high
+    out[todo] = 2.0 * _gamma_quantiles(p, df[todo] / 2.0)
     return out
 
 
+def _gamma_quantiles(p: float, a: np.ndarray) -> np.ndarray:
+    """Newton steps from a cube-root normal start, kept inside a shrinking bracket."""
+    low, high = np.zeros_like(a), a + 20.0 * np.sqrt(a) + 20.0
+    z = -NORMAL_975 if p < 0.5 else NORMAL_975
+    x = a * np.maximum(1 - 1 / (9 * a) + z / (3 * np.sqrt(a)), 0.05) ** 3
+    for _ in range(100):
+        miss = _gamma_cdf(a, x) - p
+        low, high = np.where(miss < 0, x, low), np.where(miss < 0, high, x)
+        slope = np.exp((a - 1) * np.log(x) - x - _gamma_log(a))
+        step = x - miss / np.maximum(slope, 1e-300)
+        inside = (step > low) & (step < high)
+        after = np.where(inside, step, (low + high) / 2.0)
+        done = (np.abs(after - x) <= 1e-13 * x) | (high - low <= 1e-14 * high) | (miss == 0)
+        x = np.where(miss == 0, x, after)
+        if done.all():
+            return x
+    raise ArithmeticError("the chi-square quantile did not converge")
+
+
 def _t_upper(t: np.ndarray, df: int) -> np.ndarray:
     """P(|T| <= t) for whole degrees of freedom, a finite cosine sum."""
     angle = np.arctan(t / np.sqrt(df))
@@ -135,13 +148,28 @@ def chi_square_quantile(p: float, df):
     return quantile(df.cast("double"))
 
 
-def t_quantile_975(df):
-    """Column of 97.5 % t quantiles; NULL below one degree of freedom."""
+#: Degrees of freedom whose quantiles are literals of the plan; groups are databases, so few.
+LITERAL_DEGREES = 64
 
-    @F.pandas_udf("double")
-    def quantile(degrees: pd.Series) -> pd.Series:
-        values, where = np.unique(degrees.fillna(0).to_numpy(int), return_inverse=True)
-        found = np.array([t_quantile(0.975, int(v)) for v in values])[where]
-        return pd.Series(np.where(np.isnan(found), None, found), dtype="object").astype("Float64")
 
-    return quantile(df.cast("long"))
+def t_quantile_975(df):
+    """Column of 97.5 % t quantiles; NULL below one degree of freedom.
+
+    The first ``LITERAL_DEGREES`` come from a list in the plan, any others from the expansion in
+    powers of 1 / df, which is exact to nine digits there.
+    """
+    listed = F.array(*[F.lit(t_quantile(0.975, n)) for n in range(1, LITERAL_DEGREES + 1)])
+    near = F.get(listed, (df - 1).cast("int"))
+    z = NORMAL_975
+    # Coefficients of the expansion of Student's quantile about the normal one.
+    terms = [
+        z,
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+    far = F.lit(0.0)
+    for term in reversed(terms):
+        far = F.lit(term) + far / df
+    return F.when(df <= LITERAL_DEGREES, near).otherwise(far)

@@ -9,9 +9,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.quantiles import NORMAL_975, chi_square_quantile, t_quantile_975
-from ..sources.durable import durable
 
 PER_100K = 100_000.0
 
@@ -32,76 +32,60 @@ def pool_random_effects(
     y: str = "y",
     v: str = "v",
     df_offset: int = 2,
-    keep: bool = True,
 ) -> DataFrame:
     """Random-effects mean of ``y`` with variances ``v`` per group (DerSimonian-Laird).
 
     Rows without a finite estimate and variance are left out.  The prediction limits use a t
-    quantile with k - ``df_offset`` degrees of freedom and need k >= 3.  The rows are read in
-    three passes, so ``keep`` writes them to the shared folder first.
+    quantile with k - ``df_offset`` degrees of freedom and need k >= 3.  Group figures are
+    windows over the groups, whose rows are databases, so the rows are shuffled once.
     """
     by = list(by)
+    group = W.partitionBy(*by)
     rows = df.where(is_finite(F.col(y)) & is_finite(F.col(v)) & (F.col(v) > 0))
-    rows = rows.select(*by, F.col(y).alias("_y"), (1.0 / F.col(v)).alias("_w"))
-    rows = durable(rows) if keep else rows
-    fixed = rows.groupBy(*by).agg(
-        F.count("*").alias("k"),
-        F.sum("_w").alias("_sw"),
-        F.sum(F.col("_w") * F.col("_w")).alias("_sw2"),
-        (F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_mu"),
-    )
-    # Second pass: squared distances from the fixed mean, free of cancellation.
-    spread = (
-        rows.join(fixed.select(*by, "_mu"), by)
-        .groupBy(*by)
-        .agg(F.sum(F.col("_w") * F.pow(F.col("_y") - F.col("_mu"), F.lit(2.0))).alias("q"))
+    rows = rows.select(*by, F.col(y).alias("_y"), F.col(v).alias("_v"), (1.0 / F.col(v)).alias("_w"))
+    rows = rows.withColumns(
+        {
+            "k": F.count("*").over(group),
+            "_sw": F.sum("_w").over(group),
+            "_sw2": F.sum(F.col("_w") * F.col("_w")).over(group),
+            "_mu": F.sum(F.col("_w") * F.col("_y")).over(group) / F.sum("_w").over(group),
+        }
     )
+    # Squared distances from the fixed mean, free of cancellation.
+    distance = F.col("_w") * F.pow(F.col("_y") - F.col("_mu"), F.lit(2.0))
+    rows = rows.withColumn("q", F.sum(distance).over(group))
+    several = F.col("k") > 1
     excess = F.col("q") - (F.col("k") - 1)
     scale = F.col("_sw") - F.col("_sw2") / F.col("_sw")
-    between = (
-        fixed.join(spread, by)
-        .withColumn(
-            "tau2",
-            F.when((F.col("k") > 1) & (scale > 0), F.greatest(F.lit(0.0), excess / scale)).otherwise(
-                0.0
-            ),
-        )
-        .withColumn(
-            "i2",
-            F.when(
-                F.col("k") > 1,
-                F.when(F.col("q") > 0, F.greatest(F.lit(0.0), excess / F.col("q"))).otherwise(0.0),
-            ),
-        )
+    share = F.when(F.col("q") > 0, F.greatest(F.lit(0.0), excess / F.col("q"))).otherwise(0.0)
+    rows = rows.withColumns(
+        {
+            "tau2": F.when(several & (scale > 0), F.greatest(F.lit(0.0), excess / scale)).otherwise(0.0),
+            "i2": F.when(several, share),
+        }
     )
-    weight = 1.0 / (1.0 / F.col("_w") + F.col("tau2"))
-    pooled = (
-        rows.join(between.select(*by, "tau2"), by)
-        .withColumn("_rw", weight)
-        .groupBy(*by)
-        .agg(
-            (F.sum(F.col("_rw") * F.col("_y")) / F.sum("_rw")).alias("estimate"),
-            (1.0 / F.sqrt(F.sum("_rw"))).alias("se"),
-        )
+    weight = 1.0 / (F.col("_v") + F.col("tau2"))
+    pooled = rows.groupBy(*by).agg(
+        *[F.max(c).alias(c) for c in ("k", "tau2", "q", "i2")],
+        (F.sum(weight * F.col("_y")) / F.sum(weight)).alias("estimate"),
+        (1.0 / F.sqrt(F.sum(weight))).alias("se"),
     )
     margin = F.lit(NORMAL_975) * F.col("se")
     reach = F.col("_t") * F.sqrt(F.col("tau2") + F.col("se") * F.col("se"))
-    return (
-        between.join(pooled, by)
-        .withColumn("_t", F.when(F.col("k") >= 3, t_quantile_975(F.col("k") - df_offset)))
-        .select(
-            *by,
-            "k",
-            "estimate",
-            "se",
-            (F.col("estimate") - margin).alias("lower"),
-            (F.col("estimate") + margin).alias("upper"),
-            "tau2",
-            "q",
-            "i2",
-            (F.col("estimate") - reach).alias("predict_lower"),
-            (F.col("estimate") + reach).alias("predict_upper"),
-        )
+    return pooled.withColumn(
+        "_t", F.when(F.col("k") >= 3, t_quantile_975(F.col("k") - df_offset))
+    ).select(
+        *by,
+        "k",
+        "estimate",
+        "se",
+        (F.col("estimate") - margin).alias("lower"),
+        (F.col("estimate") + margin).alias("upper"),
+        "tau2",
+        "q",
+        "i2",
+        (F.col("estimate") - reach).alias("predict_lower"),
+        (F.col("estimate") + reach).alias("predict_upper"),
     )
 
 
@@ -202,7 +186,6 @@ def standardised_strata(
             (weight * F.col("target_rate")).alias("target_weighted_rate"),
             (rate * F.col("target_person_years").cast("double") / 100.0).alias("expected"),
         )
-        .distinct()
     )
 
 
