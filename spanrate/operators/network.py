@@ -105,17 +105,20 @@ def duplicate_key_count(df: DataFrame, key: Sequence[str]) -> DataFrame:
 def first_file_wins(df: DataFrame, key: Sequence[str], file_column: str = SITE_FILE) -> DataFrame:
     """Keep, for every key, the rows of the first file that has it (all of them)."""
     owner = df.groupBy(*key).agg(F.min(file_column).alias(file_column))
-    # NULL keys are keys too, so the comparison is null safe.
-    keep = reduce(
-        lambda a, b: a & b,
-        [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*key, file_column]],
+    return by_key(df, owner, [*key, file_column], "left_semi")
+
+
+def by_key(df: DataFrame, keys: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+    """Rows of ``df`` whose key is (or is not) among ``keys``; NULL keys are keys too."""
+    same = reduce(
+        lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key]
     )
-    return df.alias("l").join(owner.alias("r"), keep, "left_semi")
+    return df.alias("l").join(keys.select(*key).distinct().alias("r"), same, how)
 
 
 def append_new_rows(data: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """``data`` and the rows of ``new`` whose key it lacks; missing columns become NULL."""
-    fresh = new.join(data.select(*key).distinct(), list(key), "left_anti")
+    fresh = by_key(new, data, key, "left_anti")
     return data.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -165,5 +168,5 @@ def split_conflicts(
     key = list(key)
     replaces = "database_id" in key if overwrite is None else overwrite
     if replaces:
-        return existing.join(new.select(*key).distinct(), key, "left_anti"), new
-    return existing, new.join(existing.select(*key).distinct(), key, "left_anti")
+        return by_key(existing, new, key, "left_anti"), new
+    return existing, by_key(new, existing, key, "left_anti")

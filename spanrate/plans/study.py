@@ -12,17 +12,18 @@ from ..operators.cohort import build_cohorts
 from ..operators.disclosure import MIN_CELL_COUNT, min_cell
 from ..operators.incidence import Settings, incidence
 from ..operators.ledger import check_ledger, record_tasks, required_tasks
-from ..operators.subgroups import age_sex_subgroups
+from ..operators.subgroups import age_sex_subgroups, subgroup_specs
 from ..schemas import literal_frame
 from ..sources.clinical import ClinicalTables
-from ..sources.durable import durable
+from ..sources.durable import durable, swap_table, use_work_dir
 from ..sources.tables import (
-    append_summary,
     create_cohort_table,
     delete_cohort_range,
     read_cohort_table,
+    read_ledger,
     write_cohorts,
     write_csv,
+    write_summary,
 )
 from ..specs import Analysis, CohortSpec, check_analysis
 
@@ -43,6 +44,10 @@ def run_cohorts(
 ) -> tuple[list[int], DataFrame]:
     """Build the cohorts whose definition changed; returns their ids and the new ledger."""
     spark = cdm.person.sparkSession
+    if not specs:
+        if ledger is None:
+            create_cohort_table(spark, cohort_path)
+        return [], ledger if ledger is not None else record_tasks(None, task_frame(spark, []), TASK_KEY)
     tasks = task_frame(spark, specs)
     if ledger is not None:
         check_ledger(ledger, TASK_KEY)
@@ -61,9 +66,7 @@ def run_subgroups(cdm: ClinicalTables, path: str) -> None:
     create_cohort_table(cdm.person.sparkSession, path)
     delete_cohort_range(cdm.person.sparkSession, path, 10, 150)
     cohorts = age_sex_subgroups(cdm.person, cdm.observation_period)
-    ids = [r[0] for r in cohorts.select("cohort_definition_id").distinct().collect()]
-    if ids:
-        write_cohorts(cohorts, path, ids)
+    write_cohorts(cohorts, path, [s.subgroup_cohort_definition_id for s in subgroup_specs()])
 
 
 def incidence_of_analyses(
@@ -88,14 +91,16 @@ def incidence_of_analyses(
         if missing:
             raise ValueError(f"analysis {analysis.name!r}: {'; '.join(missing)}")
     frames = [
-        incidence(
-            cdm.observation_period,
-            targets,
-            outcomes,
-            subgroups,
-            settings.chosen_by(a),
-            database_name,
-            sites,
+        durable(
+            incidence(
+                cdm.observation_period,
+                targets,
+                outcomes,
+                subgroups,
+                settings.chosen_by(a),
+                database_name,
+                sites,
+            )
         )
         for a in analyses
     ]
@@ -154,22 +159,49 @@ def run_study(
     database_name: str,
     description: str = "",
     minimum: int = MIN_CELL_COUNT,
-    ledgers: tuple[DataFrame | None, DataFrame | None] = (None, None),
-) -> tuple[DataFrame, DataFrame]:
-    """Cohorts to exported, censored results.  Returns the ledgers for the next run."""
+    *,
+    work_dir: str,
+    package: tuple[str, str] = ("package", "0"),
+) -> None:
+    """Cohorts to exported, censored results under ``folder``, which all machines share.
+
+    Ledgers of what was built are kept under ``folder/ledger`` and used by later runs, in other
+    sessions too.  A repeated run leaves the same summary.  ``work_dir`` takes intermediate
+    tables; ``clear_work_dir`` removes them.
+    """
     spark = cdm.person.sparkSession
-    _, target_ledger = run_cohorts(cdm, target_specs, f"{folder}/target_cohort", ledgers[0])
+    use_work_dir(spark, work_dir)
+    _run_with_ledger(cdm, target_specs, folder, "target")
     run_subgroups(cdm, f"{folder}/subgroup_cohort")
-    _, outcome_ledger = run_cohorts(cdm, outcome_specs, f"{folder}/outcome_cohort", ledgers[1])
-    tables = [read_cohort_table(spark, f"{folder}/{t}_cohort") for t in ("target", "outcome", "subgroup")]
-    summary = durable(
-        incidence_of_analyses(cdm, *tables, settings, analyses, database_name)
+    _run_with_ledger(cdm, outcome_specs, folder, "outcome")
+    kinds = ("target", "outcome", "subgroup")
+    tables = [read_cohort_table(spark, f"{folder}/{t}_cohort") for t in kinds]
+    write_summary(
+        incidence_of_analyses(cdm, *tables, settings, analyses, database_name), f"{folder}/summary"
     )
-    append_summary(summary, f"{folder}/summary")
+    summary = spark.read.parquet(f"{folder}/summary")
     write_csv(min_cell(summary, minimum=minimum), f"{folder}/export/incidence_analysis")
+    params = {
+        "databaseId": database_id,
+        "databaseName": database_name,
+        "description": description,
+        "minCellCount": str(minimum),
+        "targets": ",".join(str(s.cohort_id) for s in target_specs),
+        "outcomes": ",".join(str(s.cohort_id) for s in outcome_specs),
+        "analyses": ",".join(a.name for a in analyses),
+    }
+    write_csv(package_metadata(spark, *package, params), f"{folder}/export/package")
     if cdm.vocabulary is not None:
         write_csv(
             database_metadata(cdm, database_id, database_name, description),
             f"{folder}/export/database",
         )
-    return durable(target_ledger), durable(outcome_ledger)
+
+
+def _run_with_ledger(
+    cdm: ClinicalTables, specs: Sequence[CohortSpec], folder: str, kind: str
+) -> None:
+    path = f"{folder}/ledger/{kind}"
+    before = read_ledger(cdm.person.sparkSession, path)
+    _, after = run_cohorts(cdm, specs, f"{folder}/{kind}_cohort", before)
+    swap_table(after, path)

@@ -2,37 +2,75 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+WORK_DIR = "spanrate.work.dir"
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured and context.master.startswith("local"):
-        configured = tempfile.mkdtemp(prefix="spanrate-")
-    if not configured:
-        return None
-    context.setCheckpointDir(configured)
-    return context.getCheckpointDir()
+
+def use_work_dir(spark: SparkSession, path: str) -> None:
+    """Name the folder for intermediate tables; all machines must share it.
+
+    ``spark.checkpoint.dir`` of the session comes first.
+    """
+    spark.conf.set(WORK_DIR, path)
+
+
+def work_dir(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(WORK_DIR, None)
+    if not folder:
+        raise ValueError(
+            "intermediate tables need a folder that all machines share:"
+            " set spark.checkpoint.dir or call use_work_dir"
+        )
+    return folder.rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+    """Write ``df`` to the work folder and read it back.
 
     A table, unlike a cached frame, outlives its executors; the scan that replaces the
     lineage is columnar and knows its size, which the planner uses for later joins.
-    Without a shared folder the frame stays lazy.
     """
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder}/spanrate-{uuid.uuid4().hex}"
+    path = f"{work_dir(df.sparkSession)}/spanrate-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_work_dir(spark: SparkSession) -> None:
+    """Remove all intermediate tables; no frame made with them can be read any more."""
+    pattern = hadoop_path(spark, f"{work_dir(spark)}/spanrate-*")
+    system = file_system(spark, pattern)
+    for found in system.globStatus(pattern) or []:
+        system.delete(found.getPath(), True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def file_system(spark: SparkSession, path):
+    return path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = hadoop_path(spark, path)
+    return file_system(spark, target).exists(target)
+
+
+def swap_table(df: DataFrame, path: str) -> None:
+    """Replace the table at ``path``, from which ``df`` may be read.
+
+    The new content is complete beside the old before either is moved, so a failed write
+    leaves the table as it was.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    fresh, old, here = (hadoop_path(spark, f"{path}{end}") for end in (f".new-{mark}", f".old-{mark}", ""))
+    df.write.parquet(fresh.toString())
+    system = file_system(spark, here)
+    if system.exists(here) and not system.rename(here, old):
+        raise OSError(f"{path} cannot be moved; its new content is in {fresh.toString()}")
+    if not system.rename(fresh, here):
+        raise OSError(f"{fresh.toString()} cannot be moved; the old content is in {old.toString()}")
+    system.delete(old, True)

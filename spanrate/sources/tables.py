@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.network import (
@@ -19,8 +19,9 @@ from ..operators.network import (
     split_conflicts,
 )
 from ..schemas import COHORT_DDL, IR_SUMMARY_DDL, conform, rename_all, snake_case, struct_type
-from .durable import durable
+from .durable import exists, swap_table
 
+SITE_LINE = "site_line"
 COHORT_PARTITION = "cohort_definition_id"
 
 
@@ -81,8 +82,14 @@ def result_columns(df: DataFrame) -> DataFrame:
     return conform(df, IR_SUMMARY_DDL)
 
 
-def append_summary(df: DataFrame, path: str) -> None:
-    result_columns(df).write.mode("append").parquet(path)
+def write_summary(df: DataFrame, path: str) -> None:
+    """The summary of a run in place of an earlier run's, so a run can be repeated."""
+    swap_table(result_columns(df), path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The tasks that earlier runs recorded, or None before the first."""
+    return spark.read.parquet(path) if exists(spark, path) else None
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -93,32 +100,45 @@ def write_csv(df: DataFrame, path: str) -> None:
 def read_site_files(
     spark: SparkSession, pattern: str, spec: Sequence[FieldSpec]
 ) -> DataFrame:
-    """All sites' CSV files of one table, every field as text, with the file it came from.
+    """All sites' CSV files of one table, every field as text, with file and line number.
 
     Types are the specification's business (``coerce_types``), so nothing is guessed.  Each
-    file's own header decides its columns; optional columns a file lacks are NULL.
+    file's own header decides its columns; optional columns a file lacks are NULL.  Files with
+    equal headers are read by one scan, so there is a scan per layout, not per file.
     """
-    files = [
-        r[0]
-        for r in spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
-        .load(pattern)
-        .select("path")
-        .orderBy("path")
-        .toLocalIterator()
-    ]
-    if not files:
+    lines = (
+        spark.read.option("pathGlobFilter", "*.csv")
+        .text(pattern)
+        .select("value", F.col("_metadata.file_path").alias("path"), _position().alias("at"))
+    )
+    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    layouts = first.groupBy("header").agg(F.min("path").alias("example")).orderBy("header").collect()
+    if not layouts:
         raise FileNotFoundError(pattern)
     merged = None
-    for path in files:
-        frame = spark.read.option("header", True).csv(path)
-        frame = check_columns(frame, spec, path).withColumn(SITE_FILE, F.lit(path))
+    for header, example in layouts:
+        parsed = spark.read.option("header", True).csv(example)
+        check_columns(parsed, spec, example)
+        ddl = ", ".join(f"`{c}` STRING" for c in parsed.columns)
+        own = lines.join(first.where(F.col("header") == header).select("path"), "path")
+        start = own.groupBy("path").agg(F.min("at").alias("start"))
+        own = own.join(start, "path").where(F.col("at") > F.col("start"))
+        row = F.from_csv("value", ddl).alias("row")
+        frame = own.select(row, F.col("path").alias(SITE_FILE), F.col("at").alias(SITE_LINE))
+        frame = frame.select("row.*", SITE_FILE, SITE_LINE)
         merged = (
             frame if merged is None else merged.unionByName(frame, allowMissingColumns=True)
         )
     return merged
 
 
+def _position() -> Column:
+    """Order of a line in its file: the block it is in, then the row within the scan task."""
+    return F.struct(
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+
+
 def merge_site_files(
     spark: SparkSession, pattern: str, spec: Sequence[FieldSpec], unique: bool = False
 ) -> DataFrame:
@@ -126,7 +146,8 @@ def merge_site_files(
     rows = coerce_types(read_site_files(spark, pattern, spec), spec)
     key = primary_key(spec)
     rows = first_file_wins(rows, key) if key else rows
-    return drop_duplicate_keys(rows, key, [SITE_FILE]) if unique and key else rows
+    rows = drop_duplicate_keys(rows, key, [SITE_FILE, SITE_LINE]) if unique and key else rows
+    return rows.drop(SITE_LINE)
 
 
 def append_results(
@@ -134,19 +155,20 @@ def append_results(
 ) -> None:
     """Add rows to a result table; keys both sides have are settled by ``split_conflicts``.
 
-    Old rows that must give way make a full rewrite necessary; otherwise this appends.
+    Old rows that must give way make a rewrite necessary, after which the tables are swapped;
+    otherwise this appends.  ``replace_site`` rewrites only the partitions of its databases.
     """
     spark = new.sparkSession
     key = primary_key(spec)
     rows = fill_key_nulls(coerce_types(check_columns(new, spec), spec), spec)
-    rows = drop_duplicate_keys(rows, key, [])
+    order = [c for c in (SITE_FILE, SITE_LINE) if c in new.columns]
+    rows = drop_duplicate_keys(rows, key, order)
     names = [f.name for f in spec if f.name in rows.columns]
     existing = spark.read.parquet(path).select(*names)
     kept, added = split_conflicts(existing, rows.select(*names), key, overwrite)
     replaces = "database_id" in key if overwrite is None else overwrite
     if replaces:
-        # The table is read and rewritten, so the new content is kept elsewhere first.
-        durable(kept.unionByName(added)).write.mode("overwrite").parquet(path)
+        swap_table(kept.unionByName(added), path)
     else:
         added.write.mode("append").parquet(path)
 

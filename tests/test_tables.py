@@ -22,7 +22,9 @@ from spanrate.schemas import (
     snake_case,
 )
 from spanrate.sources import settings as T
+from spanrate.sources import durable as durable_module
 from spanrate.sources.clinical import read_clinical_catalog, read_clinical_files
+from spanrate.sources.durable import swap_table, use_work_dir, work_dir
 from spanrate.sources.tables import (
     append_results,
     create_cohort_table,
@@ -98,18 +100,75 @@ def test_site_files_are_checked_coerced_and_merged(spark, tmp_path):
     write_file(tmp_path / "a" / "t.csv", [["database_id", "cell", "n"], ["a", "1", "5"], ["a", "1", "6"], ["s", "2", "x"]])
     write_file(tmp_path / "b" / "t.csv", [["n", "note", "database_id", "cell"], ["7", "hi", "b", "1"], ["8", "", "s", "2"]])
     merged = merge_site_files(spark, f"{tmp_path}/*", SPEC)
+    assert merged.columns == ["database_id", "cell", "n", "site_file", "note"]
     assert plain(merged, "database_id", "cell", "n", "note") == [
         ("a", 1, 5, None),
         ("a", 1, 6, None),
         ("b", 1, 7, "hi"),
         ("s", 2, None, None),
     ]
-    assert merge_site_files(spark, f"{tmp_path}/*", SPEC, unique=True).count() == 3
+    once = merge_site_files(spark, f"{tmp_path}/*", SPEC, unique=True)
+    assert plain(once, "database_id", "cell", "n") == [("a", 1, 5), ("b", 1, 7), ("s", 2, None)]
     write_file(tmp_path / "c" / "t.csv", [["database_id", "n"], ["a", "1"]])
     with pytest.raises(N.ColumnMismatch):
         merge_site_files(spark, f"{tmp_path}/*", SPEC)
 
 
+def test_the_first_row_of_a_key_in_a_file_is_kept(spark, tmp_path):
+    rows = [["database_id", "cell", "n"], *[["a", "1", str(n)] for n in (6, 5, 9, 1)]]
+    write_file(tmp_path / "a" / "t.csv", rows)
+    write_file(tmp_path / "b" / "t.csv", [["database_id", "cell", "n"], ["a", "1", "0"]])
+    kept = merge_site_files(spark, f"{tmp_path}/*", SPEC, unique=True)
+    assert plain(kept, "database_id", "cell", "n") == [("a", 1, 6)]
+
+
+def test_a_failed_write_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    literal_frame(spark, [("a", 1, 1)], "database_id string, cell long, n int").write.parquet(path)
+    broken = spark.read.parquet(path).withColumn("n", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        swap_table(broken, path)
+    assert plain(spark.read.parquet(path)) == [("a", 1, 1)]
+
+
+def test_intermediate_tables_need_a_folder(spark, monkeypatch, tmp_path):
+    class Bare:
+        class conf:
+            settings = {}
+
+            @classmethod
+            def get(cls, name, default=None):
+                return cls.settings.get(name, default)
+
+            @classmethod
+            def set(cls, name, value):
+                cls.settings[name] = value
+
+    with pytest.raises(ValueError, match="share"):
+        work_dir(Bare)
+    use_work_dir(Bare, "/shared/")
+    assert work_dir(Bare) == "/shared"
+    Bare.conf.settings["spark.checkpoint.dir"] = "hdfs://first"
+    assert work_dir(Bare) == "hdfs://first"
+
+
+def test_intermediate_tables_can_be_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(durable_module, "work_dir", lambda _: str(tmp_path))
+    (tmp_path / "other").mkdir()
+    durable_module.durable(spark.range(3))
+    assert len(list(tmp_path.glob("spanrate-*"))) == 1
+    durable_module.clear_work_dir(spark)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["other"]
+
+
+def test_null_keys_are_settled_once(spark):
+    old = literal_frame(spark, [(None, 1)], "database_id string, n int")
+    assert N.append_new_rows(old, old, ["database_id"]).count() == 1
+    for overwrite in (True, False):
+        kept, added = N.split_conflicts(old, old, ["database_id"], overwrite)
+        assert kept.unionByName(added).count() == 1
+
+
 def test_results_are_appended_by_key(spark, tmp_path):
     ddl = "database_id string, cell long, n int"
     spec = SPEC[:3]
@@ -226,23 +285,36 @@ def test_a_study_from_tables_to_export(spark, tmp_path):
         [OutcomeSpec(5, 5, "O", 30)],
     )
     analysis = Analysis("a", (1,), (31, 52), (6,), (5,))
-    ledgers = run_study(
-        cdm,
-        [clean_condition(1, "T", concepts(1))],
-        [clean_condition(5, "O", concepts(2))],
-        settings,
-        [analysis],
-        folder,
-        "db",
-        "Database",
-    )
-    assert [ledger.count() for ledger in ledgers] == [1, 1]
+
+    def run(outcome=concepts(2)):
+        run_study(
+            cdm,
+            [clean_condition(1, "T", concepts(1))],
+            [clean_condition(5, "O", outcome)],
+            settings,
+            [analysis],
+            folder,
+            "db",
+            "Database",
+            work_dir=f"{folder}/work",
+        )
+
+    def ledger(kind):
+        return {r.cohort_id: r.time_stamp for r in spark.read.parquet(f"{folder}/ledger/{kind}").collect()}
+
+    expected = [("All", 2, 1), ("Girls", 1, 1), ("Men", 1, 0)]
+    run()
+    first = {kind: ledger(kind) for kind in ("target", "outcome")}
+    # A second run builds nothing anew and leaves the summary as it is; a changed cohort is built.
+    run()
+    assert first == {kind: ledger(kind) for kind in ("target", "outcome")}
     summary = spark.read.parquet(f"{folder}/summary")
-    assert plain(summary, "subgroup_name", "num_persons_at_risk", "num_outcomes") == [
-        ("All", 2, 1),
-        ("Girls", 1, 1),
-        ("Men", 1, 0),
-    ]
+    assert plain(summary, "subgroup_name", "num_persons_at_risk", "num_outcomes") == expected
+    run(concepts(3))
+    assert ledger("target") == first["target"] and ledger("outcome") != first["outcome"]
+    assert {r.num_outcomes for r in spark.read.parquet(f"{folder}/summary").collect()} == {0}
+    record = spark.read.option("header", True).csv(f"{folder}/export/package").collect()[0]
+    assert record.package_id == "package" and '"targets":"1"' in record.params.replace("\\", "")
     exported = spark.read.option("header", True).csv(f"{folder}/export/incidence_analysis")
     assert {r.num_persons_at_risk for r in exported.collect()} == {"-5"}
     database = spark.read.option("header", True).csv(f"{folder}/export/database").collect()[0]
@@ -250,7 +322,8 @@ def test_a_study_from_tables_to_export(spark, tmp_path):
     params = package_metadata(spark, "p", "1", {"folder": folder}).collect()[0].params
     assert params == f'{{"folder":"{folder}"}}'
     with pytest.raises(ValueError):
-        run_study(cdm, [], [], settings, [Analysis("b", (9,), (), (6,), (5,))], folder, "db", "d")
+        analysis = Analysis("b", (9,), (), (6,), (5,))
+        run_study(cdm, [], [], settings, [analysis], folder, "db", "d", work_dir=f"{folder}/work")
 
 
 def test_checksum_is_md5_of_the_text(spark):
