@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..schemas import COHORT_COLUMNS
+from ..schemas import COHORT_COLUMNS, literal_frame
 from ..sources.clinical import ClinicalTables
 from ..sources.durable import durable
 from ..specs import CohortSpec, ConceptSet, Criterion, Days, Group, Rule, criteria_of, families
@@ -23,7 +23,6 @@ from .events import (
     within_observation,
 )
 from .intervals import interval_union
-from .sizing import broadcast_within
 from .vocabulary import resolve_concept_sets
 
 
@@ -39,7 +38,8 @@ def batches(cdm: ClinicalTables, specs: Sequence[CohortSpec]) -> list[tuple[Coho
     ]
     codes = resolve_concept_sets(cdm.concept, cdm.concept_ancestor, sets)
     if sets:
-        codes = broadcast_within(durable(codes))
+        # A written table has a known size: the planner broadcasts it only under its own limit.
+        codes = durable(codes)
     return [
         (
             f.merged,
@@ -144,14 +144,25 @@ def inclusion_result(events: DataFrame) -> DataFrame:
     )
 
 
-def inclusion_stats(events: DataFrame, n_rules: int) -> DataFrame:
+def _listed(cohort_ids: Sequence[int], counts: DataFrame, n_rules: int | None = None) -> DataFrame:
+    """The cohorts (and their rules) with what was counted, zeros where nothing was."""
+    rows = [(i, r) for i in cohort_ids for r in range(1 if n_rules is None else n_rules)]
+    listed = literal_frame(
+        counts.sparkSession, rows, "cohort_definition_id long, rule_sequence int"
+    )
+    key = ["cohort_definition_id"] + ([] if n_rules is None else ["rule_sequence"])
+    listed = listed.select(*key)
+    return listed.join(counts, key, "left").fillna(0)
+
+
+def inclusion_stats(events: DataFrame, n_rules: int, cohort_ids: Sequence[int]) -> DataFrame:
     """Per rule: events that meet it, events that fail only it, and all events."""
     bit = F.expr("shiftleft(1L, rule_sequence)")
     full = (1 << n_rules) - 1
     by_mask = inclusion_result(events)
     rules = F.explode(F.array(*[F.lit(i) for i in range(n_rules)]))
     n = F.col("person_count")
-    return (
+    counts = (
         by_mask.withColumn("rule_sequence", rules)
         .groupBy("cohort_definition_id", "rule_sequence")
         .agg(
@@ -165,14 +176,16 @@ def inclusion_stats(events: DataFrame, n_rules: int) -> DataFrame:
         )
         .withColumnRenamed("met", "person_count")
     )
+    return _listed(cohort_ids, counts, n_rules)
 
 
-def inclusion_summary(events: DataFrame, n_rules: int) -> DataFrame:
+def inclusion_summary(events: DataFrame, n_rules: int, cohort_ids: Sequence[int]) -> DataFrame:
     """All qualified events, and those that meet every rule."""
-    return events.groupBy("cohort_definition_id").agg(
+    counts = events.groupBy("cohort_definition_id").agg(
         F.count("*").alias("base_count"),
         F.count_if(F.col("rule_mask") == (1 << n_rules) - 1).alias("final_count"),
     )
+    return _listed(cohort_ids, counts)
 
 
 # Day grain: what the cohort periods need.
@@ -254,27 +267,26 @@ def cohort_union(*cohorts: DataFrame) -> DataFrame:
 
 
 def event_ordinals(
-    events: DataFrame, owner: Sequence[str] = OWNER, by: str = "sort_date", buckets: int = 61
+    events: DataFrame, owner: Sequence[str] = OWNER, by: str = "sort_date"
 ) -> DataFrame:
-    """Number the events of each owner 1, 2, ... by date, then id bucket, then id.
+    """Number the events of each owner 1, 2, ... by date, then event id.
 
-    Rows are numbered within (owner, day, bucket) only; the offset of each such cell is a
-    running sum over the owner's cells, whose number is bounded by days x buckets.
+    Rows are numbered within (owner, day) only; the offset of each day is a running sum over
+    the owner's days, whose number the calendar bounds.
     """
-    cell = [*owner, by, "_bucket"]
-    cut = events.withColumn("_bucket", F.pmod(F.col("event_id"), F.lit(buckets)))
-    sizes = cut.groupBy(*cell).agg(F.count("*").alias("_n"))
+    cell = [*owner, by]
+    sizes = events.groupBy(*cell).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(
-        W.partitionBy(*owner).orderBy(by, "_bucket").rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy(*owner).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
     )
     offsets = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
     within = F.row_number().over(
         W.partitionBy(*cell).orderBy("event_id", *(["part"] if "part" in events.columns else []))
     )
     return (
-        cut.withColumn("_within", within)
+        events.withColumn("_within", within)
         .join(offsets, cell)
         .withColumn("ordinal", F.col("_before") + F.col("_within"))
-        .drop("_bucket", "_before", "_within")
+        .drop("_before", "_within")
     )
 

@@ -129,10 +129,24 @@ _SCANS = {
 }
 
 
+SALTS = 16
+
+
+def with_codes(scan: DataFrame, codes: DataFrame) -> DataFrame:
+    """Events of the listed codes.
+
+    The few codes are repeated per salt and the events carry one by person, so a code that most
+    events have is spread over many tasks where the codes are too many to be broadcast.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = scan.withColumn("_salt", F.pmod(F.xxhash64("person_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(codes.withColumn("_salt", salts), ["concept_id", "_salt"]).drop("_salt")
+
+
 def criterion_events(batch: CohortBatch, parts: Sequence[tuple[int, Criterion]]) -> DataFrame:
     """Events of all ``parts``: cohort_definition_id, part and the event columns.
 
-    Criteria that differ by their code set only share one scan, with the codes broadcast.
+    Criteria that differ by their code set only share one scan.
     """
     from .criteria import anchors_of, satisfying  # nested criteria are groups themselves
 
@@ -157,7 +171,7 @@ def criterion_events(batch: CohortBatch, parts: Sequence[tuple[int, Criterion]])
                 "concept_id",
                 f"explode(element_at({to_parts}, codeset_id)) AS part",
             )
-            frames.append((criterion, scan.join(codes, "concept_id").selectExpr(*columns)))
+            frames.append((criterion, with_codes(scan, codes).selectExpr(*columns)))
         free = [part for part, codeset in uses if codeset is None]
         if free:
             ids = ", ".join(f"{i}L" for i in batch.cohort_ids)
@@ -194,7 +208,7 @@ def _event_days(batch: CohortBatch, criterion: Criterion, codesets: Sequence[int
     coded = [c for c in codesets if c != NO_CODES]
     if coded:
         codes = batch.codes.where(f"codeset_id IN ({', '.join(map(str, coded))})")
-        frames.append(scan.join(codes, "concept_id"))
+        frames.append(with_codes(scan, codes))
     if NO_CODES in codesets:
         ids = ", ".join(f"{i}L" for i in batch.cohort_ids)
         frames.append(

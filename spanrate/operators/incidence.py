@@ -148,12 +148,21 @@ def time_at_risk(
 
 
 def at_risk_eras(windows: DataFrame, sites: DataFrame | None, database_name: str) -> DataFrame:
-    """Merged at-risk windows per person, with the database the person belongs to."""
+    """Merged at-risk windows per person, with the database the person belongs to.
+
+    A person with windows must have exactly one site; anything else stops the run.
+    """
     eras = interval_union(windows, [*DESIGN, "subject_id"])
     eras = eras.withColumnsRenamed({"start_date": "era_start", "end_date": "era_end"})
     if sites is None:
         return eras.withColumn("database_name", F.lit(database_name)).select(*ERA)
-    return eras.join(sites, "subject_id").select(*ERA)
+    placed = sites.groupBy("subject_id").agg(
+        F.count("*").alias("_n"), F.min("database_name").alias("database_name")
+    )
+    site = F.when(F.col("_n") == 1, F.col("database_name"))
+    wrong = F.concat(F.lit("not exactly one site for person "), F.col("subject_id").cast("string"))
+    one = F.coalesce(site, F.raise_error(wrong).cast("string"))
+    return eras.join(placed, "subject_id", "left").withColumn("database_name", one).select(*ERA)
 
 
 def in_subgroups(eras: DataFrame, subgroups: DataFrame) -> DataFrame:
@@ -293,58 +302,58 @@ def at_risk_cells(per_person: DataFrame) -> DataFrame:
     )
 
 
-def outcome_cells(per_outcome: DataFrame) -> DataFrame:
-    return (
-        per_outcome.where(F.col("n_outcomes") > 0)
-        .groupBy(*CELL)
-        .agg(F.count("*").alias("num_persons_w_outcome"), F.sum("n_outcomes").alias("num_outcomes"))
+def measure_cells(per_person: DataFrame, per_outcome: DataFrame) -> DataFrame:
+    """Every measure of a cell by one aggregate.
+
+    A person's excluded time and outcomes count against the whole person (subgroup 0), in every
+    subgroup the person has time in.
+    """
+    measured = per_outcome.where(F.col("subgroup_cohort_definition_id") == 0)
+    whole = measured.select(
+        *PERSON,
+        "outcome_id",
+        F.col("excluded_days").alias("_all_days"),
+        F.col("n_exclusions").alias("_all_exclusions"),
+        F.col("n_excluded").alias("_all_excluded"),
+    )
+    key = [*PERSON, "subgroup_cohort_definition_id", "outcome_id"]
+    rows = per_person.join(whole, PERSON).join(per_outcome, key, "left")
+    had = F.col("n_outcomes") > 0
+    no_time = (F.col("_all_exclusions") > 0) & (F.col("day_span") == F.col("_all_days"))
+    lost = had & (F.col("_all_excluded") > 0) & (F.col("n_outcomes") == F.col("_all_excluded"))
+    return rows.groupBy(*CELL).agg(
+        F.count_if(had).alias("num_persons_w_outcome"),
+        F.sum("n_outcomes").alias("num_outcomes"),
+        F.sum("excluded_days").alias("excluded_days"),
+        F.sum("n_exclusions").alias("num_exclusions"),
+        F.count_if(no_time).alias("num_persons_w_no_tar"),
+        F.sum("n_excluded").alias("num_excluded_outcomes"),
+        F.count_if(lost).alias("num_persons_excluded_outcomes"),
     )
 
 
-def excluded_time_cells(per_outcome: DataFrame) -> DataFrame:
-    return (
-        per_outcome.where(F.col("n_exclusions") > 0)
-        .groupBy(*CELL)
-        .agg(F.sum("excluded_days").alias("excluded_days"))
-    )
+def outcome_cells(cells: DataFrame) -> DataFrame:
+    counts = ["num_persons_w_outcome", "num_outcomes"]
+    return cells.where(F.col("num_outcomes") > 0).select(*CELL, *counts)
 
 
-def excluded_person_cells(per_person: DataFrame, per_outcome: DataFrame) -> DataFrame:
-    """Persons whose time in the subgroup equals all their excluded time for the outcome.
+def excluded_time_cells(cells: DataFrame) -> DataFrame:
+    return cells.where(F.col("num_exclusions") > 0).select(*CELL, "excluded_days")
 
-    The excluded side is the whole person (subgroup 0), in every subgroup.
-    """
-    whole = per_outcome.where(
-        (F.col("subgroup_cohort_definition_id") == 0) & (F.col("n_exclusions") > 0)
-    ).select(*PERSON, "outcome_id", "excluded_days")
-    return (
-        per_person.join(whole, PERSON)
-        .where(F.col("day_span") == F.col("excluded_days"))
-        .groupBy(*CELL)
-        .agg(F.count("*").alias("num_persons_w_no_tar"))
-    )
 
+def excluded_person_cells(cells: DataFrame) -> DataFrame:
+    """Persons whose time in the subgroup equals all their excluded time for the outcome."""
+    return cells.where(F.col("num_persons_w_no_tar") > 0).select(*CELL, "num_persons_w_no_tar")
 
-def excluded_outcome_cells(per_outcome: DataFrame) -> DataFrame:
-    return (
-        per_outcome.where(F.col("n_excluded") > 0)
-        .groupBy(*CELL)
-        .agg(F.sum("n_excluded").alias("num_excluded_outcomes"))
-    )
 
+def excluded_outcome_cells(cells: DataFrame) -> DataFrame:
+    return cells.where(F.col("num_excluded_outcomes") > 0).select(*CELL, "num_excluded_outcomes")
 
-def lost_outcome_cells(per_outcome: DataFrame) -> DataFrame:
+
+def lost_outcome_cells(cells: DataFrame) -> DataFrame:
     """Persons whose outcomes in the subgroup equal all their excluded outcomes."""
-    whole = per_outcome.where(
-        (F.col("subgroup_cohort_definition_id") == 0) & (F.col("n_excluded") > 0)
-    ).select(*PERSON, "outcome_id", F.col("n_excluded").alias("_all_excluded"))
-    return (
-        per_outcome.where(F.col("n_outcomes") > 0)
-        .join(whole, [*PERSON, "outcome_id"])
-        .where(F.col("n_outcomes") == F.col("_all_excluded"))
-        .groupBy(*CELL)
-        .agg(F.count("*").alias("num_persons_excluded_outcomes"))
-    )
+    name = "num_persons_excluded_outcomes"
+    return cells.where(F.col(name) > 0).select(*CELL, name)
 
 
 def person_years(days: Column, exact: bool = False) -> Column:
@@ -360,15 +369,13 @@ def per_hundred(numerator: Column, denominator: Column) -> Column:
 
 
 def summary(
-    cube: DataFrame, cells: dict[str, DataFrame], exact_years: bool = False
+    cube: DataFrame, at_risk: DataFrame, cells: DataFrame, exact_years: bool = False
 ) -> DataFrame:
     """The reference cube with every measure, zeros where nothing was found.
 
     Whole years lose small strata; ``exact_years`` makes both year columns doubles.
     """
-    out = cube.join(cells["at_risk"], STRATUM, "left")
-    for name in ("outcome", "excluded_time", "excluded_person", "excluded_outcome", "lost_outcome"):
-        out = out.join(cells[name], CELL, "left")
+    out = cube.join(at_risk, STRATUM, "left").join(cells, CELL, "left")
 
     def some(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0)).cast("long")
@@ -478,6 +485,10 @@ class Study:
         ]
         return self._hold(person_outcomes(self.tagged, measures))
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        return measure_cells(self.per_person, self.per_outcome)
+
     def cube(self) -> DataFrame:
         if self.sites is None:
             one = self.targets.sparkSession.range(1)
@@ -487,15 +498,8 @@ class Study:
         return reference_cube(databases, self.settings)
 
     def summary(self, exact_years: bool = False) -> DataFrame:
-        cells = {
-            "at_risk": at_risk_cells(self.per_person),
-            "outcome": outcome_cells(self.per_outcome),
-            "excluded_time": excluded_time_cells(self.per_outcome),
-            "excluded_person": excluded_person_cells(self.per_person, self.per_outcome),
-            "excluded_outcome": excluded_outcome_cells(self.per_outcome),
-            "lost_outcome": lost_outcome_cells(self.per_outcome),
-        }
-        return summary(self.cube(), cells, exact_years)
+        at_risk = at_risk_cells(self.per_person)
+        return summary(self.cube(), at_risk, self.cells, exact_years)
 
 
 def incidence(*args, **kwargs) -> DataFrame:

@@ -67,7 +67,7 @@ def test_measures_of_one_person(spark):
     assert (r.num_persons_w_outcome_pre_exclude, r.num_persons_w_outcome) == (1, 1)
     assert (r.person_years, r.incidence_rate_p100py) == (0, None)
     assert r.incidence_proportion_p100p == 100.0
-    assert plain(I.excluded_time_cells(s.per_outcome), "excluded_days") == [(29,)]
+    assert plain(I.excluded_time_cells(s.cells), "excluded_days") == [(29,)]
     assert plain(s.per_person, "days_at_risk", "day_span") == [(40, 39)]
 
 
@@ -179,3 +179,13 @@ def test_censor_matrix_and_lists(spark):
         ("x", 5, 21),
         ("y", 6, 71),
     ]
+
+
+@pytest.mark.parametrize(
+    "rows", [[(1, "a"), (2, "a")], [(1, "a"), (2, "a"), (3, "a"), (3, "b")]], ids=["none", "two"]
+)
+def test_a_person_without_exactly_one_site_stops_the_run(spark, rows):
+    s = study(spark, [(1, p, 1, 1) for p in (1, 2, 3)], [(5, 1, 20, 20)])
+    s.sites = literal_frame(spark, rows, "subject_id long, database_name string")
+    with pytest.raises(Exception, match="not exactly one site for person 3"):
+        s.summary().collect()

@@ -12,11 +12,15 @@ from pyspark.sql.window import Window as W
 
 from spanrate.functions.dates import plus_days
 from spanrate.sources.clinical import ClinicalTables
+from spanrate.sources.durable import use_work_dir
 
 BRAND_BASE = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        # The warehouse is shared too; used only where the session names no other folder.
+        use_work_dir(spark, spark.conf.get("spark.sql.warehouse.dir") + "/_work")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

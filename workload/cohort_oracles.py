@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from .sql import BRANDS_A, BRANDS_B, CODES, FIXTURES, below, coded, eras, expanded, listed, statement
+from .sql import (
+    BRANDS_A,
+    BRANDS_B,
+    CODES,
+    FIXTURES,
+    GRID,
+    MEMBER,
+    below,
+    coded,
+    eras,
+    expanded,
+    listed,
+    statement,
+)
 
 BASE = {**FIXTURES, **CODES}
 BIG = ("codes", "meas")
@@ -128,17 +141,22 @@ RULED = {
         having("ridx", A, between(-120, 30), "n >= 1"),
         having("ridx", B, between(-120, 30), "n >= 1"),
     ),
-    "matches": " UNION ALL ".join(f"SELECT {n} AS rule_id, * FROM rule{n}" for n in range(3)),
+    # A flag per rule and event; masks and ranks are read off the flags.
+    "flagged": "SELECT q.*, "
+    + ", ".join(
+        f"EXISTS (SELECT 1 FROM rule{n} r WHERE r.person_id = q.person_id AND r.s = q.s"
+        f" AND r.op_start = q.op_start AND r.op_end = q.op_end) AS met{n}"
+        for n in range(3)
+    )
+    + " FROM qualified q",
     "masked": """
-  SELECT q.part, q.person_id, q.id, q.s, q.op_start, q.op_end,
-         CAST(SUM(COALESCE(pow(2, m.rule_id), 0)) AS BIGINT) AS mask,
-         COUNT(DISTINCT m.rule_id) AS n_rules, COALESCE(MIN(m.rule_id), 0) AS first_rule
-  FROM qualified q LEFT JOIN matches m ON m.person_id = q.person_id AND m.s = q.s
-       AND m.op_start = q.op_start AND m.op_end = q.op_end
-  GROUP BY q.part, q.person_id, q.id, q.s, q.op_start, q.op_end""",
+  SELECT *, CAST(list_sum([if(met0, 1, 0), if(met1, 2, 0), if(met2, 4, 0)]) AS BIGINT) AS mask,
+         CAST(len(list_filter([met0, met1, met2], lambda m: m)) AS BIGINT) AS n_rules
+  FROM flagged""",
     "best": """
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person_id
-    ORDER BY n_rules DESC, first_rule, s, part, id) AS place FROM masked) WHERE place = 1""",
+  SELECT unnest(arg_max(q, [n_rules, -coalesce(list_position([met0, met1, met2], true), 1),
+    DATE '2100-01-01' - s, -part, -id]), max_depth := 2)
+  FROM masked q GROUP BY person_id""",
 }
 RULED_BASE = {**BASE, **RULED}
 
@@ -148,14 +166,17 @@ def ruled_sql(select: str) -> str:
 
 
 def gain_sql(source: str) -> str:
-    return ruled_sql(
-        f"""
-SELECT CAST(r AS BIGINT) AS rule_sequence,
-       (SELECT COUNT(*) FROM {source} WHERE (mask >> CAST(r AS INTEGER)) % 2 = 1) AS person_count,
-       (SELECT COUNT(*) FROM {source} WHERE mask = 8 - pow(2, r) - 1) AS gain_count,
-       (SELECT COUNT(*) FROM {source}) AS person_total
-FROM range(3) t(r)"""
-    )
+    """Per rule: met, the only one not met, all."""
+    flags = ["met0", "met1", "met2"]
+    parts = []
+    for n, own in enumerate(flags):
+        others = " AND ".join(f for f in flags if f != own)
+        parts.append(
+            f"SELECT CAST({n} AS BIGINT) AS rule_sequence, count(*) FILTER (WHERE {own}) AS person_count,"
+            f" count(*) FILTER (WHERE NOT {own} AND {others}) AS gain_count, count(*) AS person_total"
+            f" FROM {source}"
+        )
+    return ruled_sql(" UNION ALL ".join(parts))
 
 
 def cohort_sql(*parts: tuple[int, str, int]) -> tuple[dict[str, str], str]:
@@ -287,22 +308,10 @@ def oracles() -> dict[str, str]:
     tested_2 = nested(C2, lambda i: having(i, A, between(-200, 200), "n >= 1"))
     full = "(SELECT person_id, s, op_start, op_end FROM masked WHERE mask = 7)"
     era_rows = {"era_rows": "SELECT person_id, s, e FROM cond"}
-    grid = """
-  SELECT a.age * 10 + g.gender AS subgroup_id, a.low, a.high, g.concept_id,
-         'Persons aged ' || a.low || ' to ' || a.high || ' with gender = ' || g.name AS name
-  FROM (VALUES (2, 0, 5), (3, 6, 17), (4, 18, 34), (5, 35, 54), (6, 55, 64), (7, 65, 74),
-               (8, 75, 84), (9, 85, 114), (10, 0, 4), (11, 5, 11), (12, 12, 17)) a(age, low, high),
-       (VALUES (1, 8532, 'Female'), (2, 8507, 'Male')) g(gender, concept_id, name)"""
-    member = """
-  SELECT CAST(g.subgroup_id AS BIGINT) AS cohort_definition_id, op.person_id AS subject_id,
-         CASE WHEN year(op.op_start) - p.year_of_birth >= g.low THEN op.op_start
-              ELSE make_date(p.year_of_birth + g.low, 1, 1) END AS cohort_start_date,
-         CASE WHEN year(op.op_end) - p.year_of_birth <= g.high THEN op.op_end
-              ELSE make_date(p.year_of_birth + g.high, 12, 31) END AS cohort_end_date
-  FROM op JOIN person p ON op.person_id = p.person_id
-  JOIN grid g ON p.gender_concept_id = g.concept_id
-   AND make_date(p.year_of_birth + g.low, 1, 1) <= op.op_end
-   AND make_date(p.year_of_birth + g.high, 12, 31) >= op.op_start"""
+    member = (
+        "SELECT CAST(subgroup_id AS BIGINT) AS cohort_definition_id, subject_id,"
+        f" s AS cohort_start_date, e AS cohort_end_date FROM ({MEMBER})"
+    )
     return {
         "concept_set_resolve": statement(FIXTURES, resolve + ")"),
         "criterion_condition": events_sql(C1, coded("cond", 2, "s > DATE '1997-06-30'")),
@@ -322,7 +331,7 @@ def oracles() -> dict[str, str]:
         "event_ordinals": statement(
             BASE,
             "SELECT person_id, id AS event_id, s AS start_date, row_number() OVER ("
-            "PARTITION BY person_id ORDER BY s, id % 61, id, part) AS ordinal"
+            "PARTITION BY person_id ORDER BY s, id, part) AS ordinal"
             f" FROM ({joined_to_period(union(C1, C2))})",
             BIG,
         ),
@@ -370,6 +379,17 @@ def oracles() -> dict[str, str]:
             "SELECT CAST(301 AS BIGINT) AS cohort_definition_id, COUNT(*) AS base_count,"
             " CAST(SUM(CASE WHEN mask = 7 THEN 1 ELSE 0 END) AS BIGINT) AS final_count FROM masked"
         ),
+        "inclusion_result_person": ruled_sql(
+            "SELECT CAST(301 AS BIGINT) AS cohort_definition_id, mask AS inclusion_rule_mask,"
+            " COUNT(*) AS person_count FROM best GROUP BY mask"
+        ),
+        "inclusion_summary_person": ruled_sql(
+            "SELECT CAST(301 AS BIGINT) AS cohort_definition_id, COUNT(*) AS base_count,"
+            " COUNT(*) FILTER (WHERE met0 AND met1 AND met2) AS final_count FROM best"
+        ),
+        "inclusion_of_nothing": "SELECT CAST(301 AS BIGINT) AS cohort_definition_id,"
+        " CAST(n AS INTEGER) AS rule_sequence, CAST(0 AS BIGINT) AS person_count,"
+        " CAST(0 AS BIGINT) AS gain_count, CAST(0 AS BIGINT) AS person_total FROM range(3) r(n)",
         "best_event": ruled_sql(
             "SELECT person_id, id AS event_id, s AS start_date, mask AS rule_mask FROM best"
         ),
@@ -392,9 +412,9 @@ def oracles() -> dict[str, str]:
         "cohort_calendar_days": built([(102, CALENDAR, 0)]),
         "cohort_low_value": built([(206, "chosen", 1)], low_value()),
         "cohort_union": built(STUDY_PARTS),
-        "subgroup_membership": statement({**FIXTURES, "grid": grid}, member),
+        "subgroup_membership": statement({**FIXTURES, "grid": GRID}, member),
         "subgroup_sizes": statement(
-            {**FIXTURES, "grid": grid, "member": member},
+            {**FIXTURES, "grid": GRID, "member": member},
             """
 SELECT CAST(g.subgroup_id AS BIGINT) AS subgroup_cohort_definition_id, g.name AS subgroup_name,
        m.num_persons, m.days_observed

@@ -13,6 +13,7 @@ from spanrate.operators.events import CohortBatch, criterion_events
 from spanrate.operators.incidence import subgroup_frame
 from spanrate.operators.subgroups import age_sex_subgroups, subgroup_specs
 from spanrate.operators.vocabulary import resolve_concept_sets
+from spanrate.sources.durable import durable
 from spanrate.specs import (
     CohortSpec,
     Comparison,
@@ -33,7 +34,7 @@ EVENTS = ["person_id", "event_id", "start_date", "end_date", "visit_occurrence_i
 def batch_of(spark: SparkSession, sf_dir: str, sets: tuple[ConceptSet, ...] = D.SETS) -> CohortBatch:
     cdm = clinical(spark, sf_dir)
     codes = resolve_concept_sets(cdm.concept, cdm.concept_ancestor, [(0, s) for s in sets])
-    return CohortBatch(cdm, (0,), F.broadcast(codes))
+    return CohortBatch(cdm, (0,), durable(codes))
 
 
 def batch_for(spark: SparkSession, sf_dir: str, spec: CohortSpec) -> tuple[CohortSpec, CohortBatch]:
@@ -109,6 +110,30 @@ def cohort_query(*specs: CohortSpec) -> Query:
     return run
 
 
+def cohort_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and outcome cohorts, built apart, as one table."""
+    cdm = clinical(spark, sf_dir)
+    targets = C.build_cohorts(cdm, [D.TARGET_EVENTS, D.TARGET_CALENDAR])
+    return C.cohort_union(targets, C.build_cohorts(cdm, D.OUTCOMES))
+
+
+def inclusion_result_person(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons per rule mask, each by their best event."""
+    return C.inclusion_result(C.best_event_per_person(ruled_events(spark, sf_dir)))
+
+
+def inclusion_summary_person(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = C.best_event_per_person(ruled_events(spark, sf_dir))
+    return C.inclusion_summary(best, len(D.RULES), [D.RULED.cohort_id])
+
+
+def inclusion_of_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cohort that no event enters still has a row for each rule, all zero."""
+    spec, batch = batch_for(spark, sf_dir, D.RULED)
+    none = C.events_with_mask(batch, spec).where(F.col("person_id").isNull())
+    return C.inclusion_stats(none, len(D.RULES), [D.RULED.cohort_id])
+
+
 def ruled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec, batch = batch_for(spark, sf_dir, D.RULED)
     return C.events_with_mask(batch, spec)
@@ -125,7 +150,7 @@ def inclusion_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inclusion_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = C.inclusion_stats(ruled_events(spark, sf_dir), len(D.RULES))
+    stats = C.inclusion_stats(ruled_events(spark, sf_dir), len(D.RULES), [D.RULED.cohort_id])
     return stats.select(
         F.col("rule_sequence").cast("long").alias("rule_sequence"),
         "person_count",
@@ -135,7 +160,7 @@ def inclusion_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inclusion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.inclusion_summary(ruled_events(spark, sf_dir), len(D.RULES))
+    return C.inclusion_summary(ruled_events(spark, sf_dir), len(D.RULES), [D.RULED.cohort_id])
 
 
 def best_event(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +171,7 @@ def best_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_event_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = C.best_event_per_person(ruled_events(spark, sf_dir))
-    return C.inclusion_stats(best, len(D.RULES)).select(
+    return C.inclusion_stats(best, len(D.RULES), [D.RULED.cohort_id]).select(
         F.col("rule_sequence").cast("long").alias("rule_sequence"),
         "person_count",
         "gain_count",
@@ -219,6 +244,9 @@ def queries() -> dict[str, Query]:
         "inclusion_result": inclusion_result,
         "inclusion_gain": inclusion_gain,
         "inclusion_summary": inclusion_summary,
+        "inclusion_result_person": inclusion_result_person,
+        "inclusion_summary_person": inclusion_summary_person,
+        "inclusion_of_nothing": inclusion_of_nothing,
         "best_event": best_event,
         "best_event_gain": best_event_gain,
         "cohort_exit": cohort_exit,
@@ -230,7 +258,7 @@ def queries() -> dict[str, Query]:
         "cohort_earliest_confirmed": cohort_query(D.CONFIRMED),
         "cohort_calendar_days": cohort_query(D.TARGET_CALENDAR),
         "cohort_low_value": cohort_query(D.LOW_VALUE),
-        "cohort_union": cohort_query(D.TARGET_EVENTS, D.TARGET_CALENDAR, *D.OUTCOMES),
+        "cohort_union": cohort_union,
         "subgroup_membership": subgroup_membership,
         "subgroup_sizes": subgroup_sizes,
     }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from spanrate.operators.incidence import Settings
 from spanrate.operators.subgroups import subgroup_specs
 from spanrate.plans.recipes import (
+    TIME_AT_RISK_DAYS,
     absent,
     all_of,
     any_of,
@@ -146,7 +147,7 @@ LOW_VALUE = condition_with_low_value(
     180,
 )
 
-TARS = [TarSpec(1, 0, 0, 2, 0), TarSpec(6, 1, 0, 90, 0), TarSpec(7, 1, 0, 365, 0)]
+TARS = [TarSpec(i, first, 0, last, 0) for i, first, last in TIME_AT_RISK_DAYS]
 SETTINGS = Settings(
     targets=[TargetSpec(101, "Urgent"), TargetSpec(102, "Start of year")],
     tars=TARS,

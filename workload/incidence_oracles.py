@@ -1,29 +1,13 @@
 """Oracle SQL for the incidence queries.
 
-Interval unions are self joins, and every measure is its own aggregate over its own joins.
+Interval unions are self joins. What happens in an era is counted by correlated counts per era and
+outcome; persons and cells are sums of those, and the cube is filled by one aggregate.
 """
 
 from __future__ import annotations
 
 from .cohort_oracles import BASE, STUDY_PARTS, cohort_sql
-from .sql import FIXTURES, eras, statement
-
-GRID = """
-  SELECT a.age * 10 + g.gender AS subgroup_id, a.low, a.high, g.concept_id,
-         'Persons aged ' || a.low || ' to ' || a.high || ' with gender = ' || g.name AS name
-  FROM (VALUES (2, 0, 5), (3, 6, 17), (4, 18, 34), (5, 35, 54), (6, 55, 64), (7, 65, 74),
-               (8, 75, 84), (9, 85, 114), (10, 0, 4), (11, 5, 11), (12, 12, 17)) a(age, low, high),
-       (VALUES (1, 8532, 'Female'), (2, 8507, 'Male')) g(gender, concept_id, name)"""
-MEMBER = """
-  SELECT g.subgroup_id, op.person_id AS subject_id,
-         CASE WHEN year(op.op_start) - p.year_of_birth >= g.low THEN op.op_start
-              ELSE make_date(p.year_of_birth + g.low, 1, 1) END AS s,
-         CASE WHEN year(op.op_end) - p.year_of_birth <= g.high THEN op.op_end
-              ELSE make_date(p.year_of_birth + g.high, 12, 31) END AS e
-  FROM op JOIN person p ON op.person_id = p.person_id
-  JOIN grid g ON p.gender_concept_id = g.concept_id
-   AND make_date(p.year_of_birth + g.low, 1, 1) <= op.op_end
-   AND make_date(p.year_of_birth + g.high, 12, 31) >= op.op_start"""
+from .sql import FIXTURES, GRID, MEMBER, eras, statement
 
 _cohorts, _select = cohort_sql(*STUDY_PARTS)
 COHORTS = {
@@ -34,143 +18,127 @@ COHORTS = {
     "outcome": "SELECT * FROM cohort WHERE cohort_definition_id NOT IN (101, 102)",
     "grid": GRID,
     "member": MEMBER,
-    "tar": "SELECT * FROM (VALUES (1, 0, 2), (6, 1, 90), (7, 1, 365)) v(tar_id, first, last)",
+    "tar": """
+  SELECT id AS tar_id, CASE id WHEN 1 THEN 0 ELSE 1 END AS first,
+         [2, 7, 14, 21, 28, 90, 365][id] AS last
+  FROM (SELECT unnest(range(1, 8)) AS id)""",
     "outcome_ref": """
-  SELECT * FROM (VALUES (201, 'High', 30, NULL), (202, 'Medium', 183, NULL),
-                        (203, 'Unspecified', 0, 201), (204, 'Low', 365, 202))
-         v(outcome_id, outcome_name, clean_window, excluded_id)""",
-    "target_ref": "SELECT * FROM (VALUES (101, 'Urgent'), (102, 'Start of year')) v(t, target_name)",
+  SELECT 200 + n AS outcome_id, ['High', 'Medium', 'Unspecified', 'Low'][n] AS outcome_name,
+         [30, 183, 0, 365][n] AS clean_window
+  FROM (SELECT unnest(range(1, 5)) AS n)""",
+    "target_ref": "SELECT unnest([101, 102]) AS t, unnest(['Urgent', 'Start of year']) AS target_name",
+    # Which cohort's periods block which outcome: days from the start, to a day or to the end.
+    "blocks": """
+  SELECT outcome_id, outcome_id AS by_cohort, 1 AS from_day, clean_window AS to_day
+  FROM outcome_ref WHERE clean_window > 0
+  UNION ALL SELECT unnest([203, 204]), unnest([201, 202]), 0, NULL""",
+    "exc": """
+  SELECT blocks.outcome_id, subject_id, cohort_start_date + CAST(from_day AS INTEGER) AS s,
+         coalesce(cohort_start_date + CAST(to_day AS INTEGER), cohort_end_date) AS e
+  FROM blocks JOIN outcome ON cohort_definition_id = by_cohort""",
     "ttar": """
-  SELECT c.cohort_definition_id AS t, tar.tar_id AS tar, c.subject_id,
-         CASE WHEN c.cohort_start_date + tar.first < op.op_end
-              THEN c.cohort_start_date + tar.first ELSE op.op_end END AS s,
-         CASE WHEN c.cohort_start_date + tar.last < op.op_end
-              THEN c.cohort_start_date + tar.last ELSE op.op_end END AS e
-  FROM target c CROSS JOIN tar JOIN op ON op.person_id = c.subject_id
-   AND c.cohort_start_date BETWEEN op.op_start AND op.op_end""",
+  SELECT cohort_definition_id AS t, tar_id AS tar, subject_id,
+         least(cohort_start_date + CAST(first AS INTEGER), op_end) AS s,
+         least(cohort_start_date + CAST(last AS INTEGER), op_end) AS e
+  FROM tar, target JOIN op ON person_id = subject_id
+  WHERE cohort_start_date >= op_start AND cohort_start_date <= op_end""",
     "bare_era": eras("ttar", "t, tar, subject_id"),
-    "exc": """
-  SELECT r.outcome_id, o.subject_id, o.cohort_start_date + 1 AS s,
-         o.cohort_start_date + r.clean_window AS e
-  FROM outcome o JOIN outcome_ref r ON o.cohort_definition_id = r.outcome_id
-  WHERE r.clean_window >= 1
-  UNION ALL
-  SELECT r.outcome_id, o.subject_id, o.cohort_start_date, o.cohort_end_date
-  FROM outcome o JOIN outcome_ref r ON o.cohort_definition_id = r.excluded_id""",
 }
 MEASURES = {
-    "sub": """
-  SELECT era.*, 0 AS sg FROM era
-  UNION ALL
-  SELECT era.*, m.subgroup_id FROM era JOIN member m
-    ON era.subject_id = m.subject_id AND era.s BETWEEN m.s AND m.e""",
     "cut": """
-  SELECT era.db, era.t, era.tar, exc.outcome_id AS o, era.subject_id,
-         CASE WHEN exc.s > era.s THEN exc.s ELSE era.s END AS s,
-         CASE WHEN exc.e < era.e THEN exc.e ELSE era.e END AS e
-  FROM era JOIN exc ON era.subject_id = exc.subject_id AND exc.s <= era.e AND exc.e >= era.s""",
+  SELECT db, t, tar, outcome_id AS o, subject_id, greatest(exc.s, era.s) AS s, least(exc.e, era.e) AS e
+  FROM era JOIN exc USING (subject_id)
+  WHERE greatest(exc.s, era.s) <= least(exc.e, era.e)""",
     "xcl": eras("cut", "db, t, tar, o, subject_id"),
-    "m_risk": """
-  SELECT db, t, tar, sg, COUNT(DISTINCT subject_id) AS persons,
-         CAST(SUM(e - s + 1) AS BIGINT) AS days
-  FROM sub GROUP BY db, t, tar, sg""",
-    "m_out": """
-  SELECT a.db, a.t, a.tar, a.sg, o.cohort_definition_id AS o,
-         COUNT(DISTINCT o.subject_id) AS persons, COUNT(*) AS events
-  FROM sub a JOIN outcome o ON a.subject_id = o.subject_id
-   AND o.cohort_start_date BETWEEN a.s AND a.e
-  GROUP BY a.db, a.t, a.tar, a.sg, o.cohort_definition_id""",
-    "m_xtime": """
-  SELECT a.db, a.t, a.tar, a.sg, x.o, CAST(SUM(x.e - x.s) AS BIGINT) AS days
-  FROM sub a JOIN xcl x ON a.db = x.db AND a.t = x.t AND a.tar = x.tar
-   AND a.subject_id = x.subject_id AND a.s <= x.s AND a.e >= x.e
-  GROUP BY a.db, a.t, a.tar, a.sg, x.o""",
-    "m_xperson": """
-  SELECT p.db, p.t, p.tar, p.sg, q.o, COUNT(DISTINCT p.subject_id) AS persons
-  FROM (SELECT db, t, tar, sg, subject_id, SUM(e - s) AS days FROM sub
-        GROUP BY db, t, tar, sg, subject_id) p
-  JOIN (SELECT db, t, tar, o, subject_id, SUM(e - s) AS days FROM xcl
-        GROUP BY db, t, tar, o, subject_id) q
-    ON p.db = q.db AND p.t = q.t AND p.tar = q.tar AND p.subject_id = q.subject_id
-   AND p.days = q.days
-  GROUP BY p.db, p.t, p.tar, p.sg, q.o""",
-    "hidden": """
-  SELECT a.db, a.t, a.tar, a.sg, x.o, a.subject_id, COUNT(*) AS events
-  FROM sub a JOIN xcl x ON a.db = x.db AND a.t = x.t AND a.tar = x.tar
-   AND a.subject_id = x.subject_id AND a.s <= x.s AND a.e >= x.e
-  JOIN outcome o ON o.subject_id = x.subject_id AND o.cohort_definition_id = x.o
-   AND o.cohort_start_date BETWEEN x.s AND x.e
-  GROUP BY a.db, a.t, a.tar, a.sg, x.o, a.subject_id""",
-    "m_xout": """
-  SELECT db, t, tar, sg, o, CAST(SUM(events) AS BIGINT) AS events FROM hidden
-  GROUP BY db, t, tar, sg, o""",
-    "m_lost": """
-  SELECT p.db, p.t, p.tar, p.sg, p.o, COUNT(DISTINCT p.subject_id) AS persons
-  FROM (SELECT a.db, a.t, a.tar, a.sg, o.cohort_definition_id AS o, a.subject_id,
-               COUNT(*) AS events
-        FROM sub a JOIN outcome o ON a.subject_id = o.subject_id
-         AND o.cohort_start_date BETWEEN a.s AND a.e
-        GROUP BY a.db, a.t, a.tar, a.sg, o.cohort_definition_id, a.subject_id) p
-  JOIN hidden h ON h.sg = 0 AND p.db = h.db AND p.t = h.t AND p.tar = h.tar AND p.o = h.o
-   AND p.subject_id = h.subject_id AND p.events = h.events
-  GROUP BY p.db, p.t, p.tar, p.sg, p.o""",
+    # What happened in an era, for every outcome: counted per era, whatever the subgroup.
+    "fact": """
+  SELECT era.*, outcome_id AS o,
+         (SELECT count(*) FROM outcome x WHERE x.subject_id = era.subject_id
+            AND x.cohort_definition_id = outcome_id AND x.cohort_start_date BETWEEN era.s AND era.e) AS n,
+         (SELECT count(*) FROM xcl x WHERE x.db = era.db AND x.t = era.t AND x.tar = era.tar
+            AND x.o = outcome_id AND x.subject_id = era.subject_id AND x.s >= era.s AND x.e <= era.e) AS n_blocks,
+         (SELECT coalesce(sum(x.e - x.s), 0) FROM xcl x WHERE x.db = era.db AND x.t = era.t
+            AND x.tar = era.tar AND x.o = outcome_id AND x.subject_id = era.subject_id
+            AND x.s >= era.s AND x.e <= era.e) AS blocked,
+         (SELECT count(*) FROM xcl x JOIN outcome y ON y.subject_id = x.subject_id
+            AND y.cohort_definition_id = x.o AND y.cohort_start_date BETWEEN x.s AND x.e
+            WHERE x.db = era.db AND x.t = era.t AND x.tar = era.tar AND x.o = outcome_id
+            AND x.subject_id = era.subject_id AND x.s >= era.s AND x.e <= era.e) AS hidden
+  FROM era, outcome_ref""",
+    # Eras belong to everybody's subgroup 0 and to those the person is in when they begin.
+    "held": """
+  SELECT DISTINCT era.subject_id, era.s, subgroup_id AS sg
+  FROM era JOIN member m ON m.subject_id = era.subject_id AND era.s BETWEEN m.s AND m.e""",
+    "placed": """
+  SELECT 0 AS sg, fact.* FROM fact UNION ALL
+  SELECT sg, fact.* FROM fact JOIN held USING (subject_id, s)""",
+    "personal": """
+  SELECT db, t, tar, sg, o, subject_id, sum(e - s) AS span, sum(e - s + 1) AS days, sum(n) AS n,
+         sum(n_blocks) AS n_blocks, sum(blocked) AS blocked, sum(hidden) AS hidden
+  FROM placed GROUP BY db, t, tar, sg, o, subject_id""",
+    "compared_person": """
+  SELECT *, max(n_blocks) FILTER (WHERE sg = 0) OVER whole AS all_blocks,
+         max(blocked) FILTER (WHERE sg = 0) OVER whole AS all_blocked,
+         max(hidden) FILTER (WHERE sg = 0) OVER whole AS all_hidden
+  FROM personal WINDOW whole AS (PARTITION BY db, t, tar, o, subject_id)""",
+    "cells": """
+  SELECT db, t, tar, sg, o, count(*) AS persons, CAST(sum(days) AS BIGINT) AS days,
+         count(*) FILTER (WHERE n > 0) AS with_outcome, CAST(sum(n) AS BIGINT) AS events,
+         CAST(sum(n_blocks) AS BIGINT) AS n_blocks, CAST(sum(blocked) AS BIGINT) AS blocked,
+         count(*) FILTER (WHERE all_blocks > 0 AND span = all_blocked) AS without_time,
+         CAST(sum(hidden) AS BIGINT) AS hidden,
+         count(*) FILTER (WHERE n > 0 AND all_hidden > 0 AND n = all_hidden) AS lost
+  FROM compared_person GROUP BY db, t, tar, sg, o""",
 }
-KEEP = ("codes", "meas", "cohort", "era", "sub", "xcl", "hidden", "summary")
+KEEP = ("codes", "meas", "cohort", "era", "xcl", "fact", "cells", "summary")
 
 
 def study(by_site: bool) -> dict[str, str]:
     era = (
-        "SELECT d.database_name AS db, b.* FROM bare_era b JOIN sites d ON b.subject_id = d.subject_id"
+        "SELECT database_name AS db, b.* FROM bare_era b JOIN sites USING (subject_id)"
         if by_site
         else "SELECT 'all' AS db, * FROM bare_era"
     )
     dbs = "SELECT DISTINCT database_name AS db FROM sites" if by_site else "SELECT 'all' AS db"
-    y = "CAST(floor(COALESCE({}, 0) / 365.25) AS BIGINT)"
+    figures = ("persons", "days", "with_outcome", "events", "blocked", "without_time", "hidden", "lost")
+    blank = ", ".join(f"0 AS {f}" for f in figures)
+    summed = ", ".join(f"sum({f}) AS {f}" for f in figures)
     return {
         **COHORTS,
         "era": era,
         **MEASURES,
         "dbs": dbs,
-        "counts": f"""
-  SELECT dbs.db, CAST(tr.t AS BIGINT) AS t, tr.target_name, CAST(tar.tar_id AS BIGINT) AS tar,
-         CAST(tar.first AS BIGINT) AS first, CAST(tar.last AS BIGINT) AS last,
-         CAST(g.sg AS BIGINT) AS sg, g.name, CAST(r.outcome_id AS BIGINT) AS o, r.outcome_name,
-         CAST(r.clean_window AS BIGINT) AS clean_window,
-         COALESCE(a.persons, 0) AS p0,
-         COALESCE(a.persons, 0) - COALESCE(xp.persons, 0) AS p1,
-         {y.format("a.days")} AS y0,
-         {y.format("a.days")} - {y.format("xt.days")} AS y1,
-         COALESCE(b.persons, 0) AS w0,
-         COALESCE(b.persons, 0) - COALESCE(l.persons, 0) AS w1,
-         COALESCE(b.events, 0) AS n0,
-         COALESCE(b.events, 0) - COALESCE(xo.events, 0) AS n1
-  FROM dbs CROSS JOIN target_ref tr CROSS JOIN tar
-  CROSS JOIN (SELECT subgroup_id AS sg, name FROM grid UNION SELECT 0, 'All') g
-  CROSS JOIN outcome_ref r
-  LEFT JOIN m_risk a ON a.db = dbs.db AND a.t = tr.t AND a.tar = tar.tar_id AND a.sg = g.sg
-  LEFT JOIN m_out b ON b.db = dbs.db AND b.t = tr.t AND b.tar = tar.tar_id AND b.sg = g.sg
-        AND b.o = r.outcome_id
-  LEFT JOIN m_xtime xt ON xt.db = dbs.db AND xt.t = tr.t AND xt.tar = tar.tar_id
-        AND xt.sg = g.sg AND xt.o = r.outcome_id
-  LEFT JOIN m_xperson xp ON xp.db = dbs.db AND xp.t = tr.t AND xp.tar = tar.tar_id
-        AND xp.sg = g.sg AND xp.o = r.outcome_id
-  LEFT JOIN m_xout xo ON xo.db = dbs.db AND xo.t = tr.t AND xo.tar = tar.tar_id
-        AND xo.sg = g.sg AND xo.o = r.outcome_id
-  LEFT JOIN m_lost l ON l.db = dbs.db AND l.t = tr.t AND l.tar = tar.tar_id
-        AND l.sg = g.sg AND l.o = r.outcome_id""",
+        "levels": "SELECT subgroup_id AS sg, name FROM grid UNION ALL SELECT 0, 'All'",
+        # The cube and the cells stacked, so that one aggregate brings them together.
+        "stacked_cells": f"""
+  SELECT db, t, tar_id AS tar, sg, outcome_id AS o, {blank} FROM dbs, target_ref, tar, levels, outcome_ref
+  UNION ALL SELECT db, t, tar, sg, o, {", ".join(figures)} FROM cells""",
+        "figures": f"SELECT db, t, tar, sg, o, {summed} FROM stacked_cells GROUP BY db, t, tar, sg, o",
+        "named_figures": """
+  SELECT *, floor(days / 365.25) AS years, floor(days / 365.25) - floor(blocked / 365.25) AS years_left,
+         persons - without_time AS persons_left, events - hidden AS events_left
+  FROM figures JOIN target_ref USING (t) JOIN tar ON tar_id = tar JOIN levels USING (sg)
+  JOIN outcome_ref ON outcome_id = o""",
         "summary": """
-  SELECT db AS database_name, t AS target_cohort_definition_id, target_name,
-         tar AS time_at_risk_id, first AS time_at_risk_start_offset,
-         CAST(0 AS BIGINT) AS time_at_risk_start_index, last AS time_at_risk_end_offset,
-         CAST(0 AS BIGINT) AS time_at_risk_end_index, sg AS subgroup_cohort_definition_id,
-         name AS subgroup_name, o AS outcome_id, o AS outcome_cohort_definition_id, outcome_name,
-         clean_window, p0 AS num_persons_pre_exclude, p1 AS num_persons_at_risk,
-         y0 AS person_years_pre_exclude, y1 AS person_years,
-         w0 AS num_persons_w_outcome_pre_exclude, w1 AS num_persons_w_outcome,
-         n0 AS num_outcomes_pre_exclude, n1 AS num_outcomes,
-         CASE WHEN p1 > 0 THEN CAST(100 AS DOUBLE) * w1 / p1 END AS incidence_proportion_p100p,
-         CASE WHEN y1 > 0 THEN CAST(100 AS DOUBLE) * n1 / y1 END AS incidence_rate_p100py
-  FROM counts""",
+  SELECT db AS database_name, CAST(t AS BIGINT) AS target_cohort_definition_id, target_name,
+         CAST(tar AS BIGINT) AS time_at_risk_id, CAST(first AS BIGINT) AS time_at_risk_start_offset,
+         CAST(0 AS BIGINT) AS time_at_risk_start_index, CAST(last AS BIGINT) AS time_at_risk_end_offset,
+         CAST(0 AS BIGINT) AS time_at_risk_end_index, CAST(sg AS BIGINT) AS subgroup_cohort_definition_id,
+         name AS subgroup_name, CAST(o AS BIGINT) AS outcome_id,
+         CAST(o AS BIGINT) AS outcome_cohort_definition_id, outcome_name,
+         CAST(clean_window AS BIGINT) AS clean_window,
+         CAST(persons AS BIGINT) AS num_persons_pre_exclude,
+         CAST(persons_left AS BIGINT) AS num_persons_at_risk,
+         CAST(years AS BIGINT) AS person_years_pre_exclude, CAST(years_left AS BIGINT) AS person_years,
+         CAST(with_outcome AS BIGINT) AS num_persons_w_outcome_pre_exclude,
+         CAST(with_outcome - lost AS BIGINT) AS num_persons_w_outcome,
+         CAST(events AS BIGINT) AS num_outcomes_pre_exclude, CAST(events_left AS BIGINT) AS num_outcomes,
+         CASE WHEN persons_left > 0
+              THEN 100.0::DOUBLE * CAST(with_outcome - lost AS DOUBLE) / CAST(persons_left AS DOUBLE)
+         END AS incidence_proportion_p100p,
+         CASE WHEN years_left > 0 THEN 100.0::DOUBLE * CAST(events_left AS DOUBLE) / CAST(years_left AS DOUBLE)
+         END AS incidence_rate_p100py
+  FROM named_figures""",
     }
 
 
@@ -214,8 +182,9 @@ OUT = f"{CELL}, CAST(o AS BIGINT) AS outcome_id"
 
 def oracles() -> dict[str, str]:
     years = "CAST(floor(days / 365.25) AS BIGINT) AS person_years"
-    risk = f"SELECT {CELL}, persons AS num_persons, days AS days_at_risk, {years} FROM m_risk"
-    outs = f"SELECT {OUT}, persons AS num_persons_w_outcome, events AS num_outcomes FROM m_out"
+    # Time at risk is the same for every outcome.
+    risk = f"SELECT {CELL}, persons AS num_persons, days AS days_at_risk, {years} FROM cells WHERE o = 201"
+    outs = f"SELECT {OUT}, with_outcome AS num_persons_w_outcome, events AS num_outcomes FROM cells WHERE events > 0"
     day_rows = {
         "day_rows": """
   SELECT user_id, event_type, CAST(ts AS DATE) AS s,
@@ -255,15 +224,22 @@ def oracles() -> dict[str, str]:
             " x.e AS end_date FROM era a JOIN xcl x ON a.t = x.t AND a.tar = x.tar"
             " AND a.subject_id = x.subject_id AND a.s <= x.s AND a.e >= x.e"
         ),
-        "at_risk_overall": ask(f"{risk} WHERE sg = 0"),
-        "at_risk_subgroup": ask(f"{risk} WHERE sg <> 0"),
-        "outcomes_overall": ask(f"{outs} WHERE sg = 0"),
-        "outcomes_subgroup": ask(f"{outs} WHERE sg <> 0"),
-        "excluded_person_time": ask(f"SELECT {OUT}, days AS excluded_days, {years} FROM m_xtime"),
-        "excluded_persons": ask(f"SELECT {OUT}, persons AS num_persons_w_no_tar FROM m_xperson"),
-        "excluded_outcomes": ask(f"SELECT {OUT}, events AS num_excluded_outcomes FROM m_xout"),
+        "at_risk_overall": ask(f"{risk} AND sg = 0"),
+        "at_risk_subgroup": ask(f"{risk} AND sg <> 0"),
+        "outcomes_overall": ask(f"{outs} AND sg = 0"),
+        "outcomes_subgroup": ask(f"{outs} AND sg <> 0"),
+        "excluded_person_time": ask(
+            f"SELECT {OUT}, blocked AS excluded_days,"
+            " CAST(floor(blocked / 365.25) AS BIGINT) AS person_years FROM cells WHERE n_blocks > 0"
+        ),
+        "excluded_persons": ask(
+            f"SELECT {OUT}, without_time AS num_persons_w_no_tar FROM cells WHERE without_time > 0"
+        ),
+        "excluded_outcomes": ask(
+            f"SELECT {OUT}, hidden AS num_excluded_outcomes FROM cells WHERE hidden > 0"
+        ),
         "persons_losing_outcome": ask(
-            f"SELECT {OUT}, persons AS num_persons_excluded_outcomes FROM m_lost"
+            f"SELECT {OUT}, lost AS num_persons_excluded_outcomes FROM cells WHERE lost > 0"
         ),
         "remaining_time": ask(
             f"""

@@ -37,7 +37,9 @@ def frames(spark: SparkSession, sf_dir: str) -> I.Study:
     return I.Study(period, targets, outcomes, subgroups, D.SETTINGS, "all")
 
 
-def summary_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+def summary_by_site(
+    spark: SparkSession, sf_dir: str, settings: I.Settings = D.SETTINGS
+) -> DataFrame:
     """The results table of all sites, written as a site would write it."""
     targets, outcomes, subgroups = study_cohorts(spark, sf_dir)
     return durable(
@@ -46,7 +48,7 @@ def summary_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
             targets,
             outcomes,
             subgroups,
-            D.SETTINGS,
+            settings,
             sites=sites(spark, sf_dir),
         )
     )
@@ -128,7 +130,7 @@ def at_risk(f: I.Study) -> DataFrame:
 
 def excluded_time(f: I.Study) -> DataFrame:
     years = I.person_years(F.col("excluded_days"))
-    return I.excluded_time_cells(f.per_outcome).withColumn("person_years", years)
+    return I.excluded_time_cells(f.cells).withColumn("person_years", years)
 
 
 def remaining_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,12 +177,12 @@ def queries() -> dict[str, Query]:
         "interval_containment": era_exclusions,
         "at_risk_overall": cells(at_risk, True),
         "at_risk_subgroup": cells(at_risk, False),
-        "outcomes_overall": cells(lambda f: I.outcome_cells(f.per_outcome), True),
-        "outcomes_subgroup": cells(lambda f: I.outcome_cells(f.per_outcome), False),
+        "outcomes_overall": cells(lambda f: I.outcome_cells(f.cells), True),
+        "outcomes_subgroup": cells(lambda f: I.outcome_cells(f.cells), False),
         "excluded_person_time": cells(excluded_time),
-        "excluded_persons": cells(lambda f: I.excluded_person_cells(f.per_person, f.per_outcome)),
-        "excluded_outcomes": cells(lambda f: I.excluded_outcome_cells(f.per_outcome)),
-        "persons_losing_outcome": cells(lambda f: I.lost_outcome_cells(f.per_outcome)),
+        "excluded_persons": cells(lambda f: I.excluded_person_cells(f.cells)),
+        "excluded_outcomes": cells(lambda f: I.excluded_outcome_cells(f.cells)),
+        "persons_losing_outcome": cells(lambda f: I.lost_outcome_cells(f.cells)),
         "remaining_time": remaining_time,
         "incidence_summary": incidence_summary,
         "incidence_censored": incidence_censored,

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from spanrate.operators import disclosure as X
 from spanrate.operators import ledger as L
 from spanrate.operators import network as N
 from spanrate.operators import report as R
 from spanrate.operators import statistics as S
-from spanrate.operators.incidence import CELL, outcome_frame
+from spanrate.operators.incidence import CELL, Settings, outcome_frame
 from spanrate.plans import network_report as NR
 from spanrate.schemas import literal_frame
+from spanrate.specs import Analysis
 
 from . import definitions as D
 from .clinical import sites, table
@@ -140,15 +142,14 @@ def fill_key_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = text_rows(spark, sf_dir).drop("level", "day")
-    return N.older_layout(rows, "cohort").select("order_id", "metadata")
+    return N.older_layout(text_rows(spark, sf_dir), "cohort").select("order_id", "metadata")
 
 
 def append_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished orders, and open ones on days and priorities the finished ones lack."""
+    """Finished orders, and others on days and priorities the finished ones lack."""
     rows = site_rows(spark, sf_dir).drop(N.SITE_FILE)
     finished = rows.where("o_orderstatus = 'F'")
-    opened = rows.where("o_orderstatus = 'O'").withColumn("is_open", F.lit(1))
+    opened = rows.where("o_orderstatus <> 'F'").withColumn("is_open", F.lit(1))
     return N.append_new_rows(finished, opened, ["order_date", "o_orderpriority"])
 
 
@@ -291,8 +292,18 @@ def recovered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chosen(subgroups: range | list[int], targets: tuple[int, ...] = (TARGET, COMPARATOR)) -> Settings:
+    """The part of the study that a report reads: nothing else is built."""
+    outcomes = tuple(o.outcome_id for o in D.SETTINGS.outcomes)
+    return D.SETTINGS.chosen_by(Analysis("report", targets, tuple(subgroups), (TAR,), outcomes))
+
+
+POOLED = chosen(range(21, 100), (TARGET,))
+STANDARDISED = chosen(ADULTS)
+
+
 def pooled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    results = summary_by_site(spark, sf_dir)
+    results = summary_by_site(spark, sf_dir, POOLED)
     return results, NR.meta_analysis(results, [TARGET], [TAR], [201, 202, 203, 204])
 
 
@@ -304,7 +315,7 @@ def pool_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = X.min_cell(summary_by_site(spark, sf_dir))
+    results = X.min_cell(summary_by_site(spark, sf_dir, STANDARDISED))
     return S.standardised_strata(results, [TARGET], [COMPARATOR], [TAR], ADULTS)
 
 
@@ -321,7 +332,7 @@ def sir_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool_sir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = X.min_cell(summary_by_site(spark, sf_dir))
+    results = X.min_cell(summary_by_site(spark, sf_dir, STANDARDISED))
     return rounded(NR.ratio_analysis(results, [TARGET], [COMPARATOR], [TAR], ADULTS)[1])
 
 
@@ -339,7 +350,7 @@ def stack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pivot_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = summary_by_site(spark, sf_dir)
+    results = summary_by_site(spark, sf_dir, POOLED)
     cells = S.recovered_events(results).where(
         (F.col("target_cohort_definition_id") == TARGET)
         & (F.col("time_at_risk_id") == TAR)
@@ -407,17 +418,20 @@ def ranked_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
         "outcome_name", F.concat(F.lit("[NC] "), "outcome_name", F.lit("?"))
     )
     cleaned = R.clean_names(pooled_ratios, "outcome_name", R.NAME_CLEANUP)
-    order = F.struct((-F.col("sir")).alias("s"), "outcome_name")
-    ranked = R.ranked_ratios(cleaned).select("outcome_name", "sir", "num_studies")
-    # Four outcomes: the whole ranking is one small row.
-    return ranked.agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(order)), lambda x: x["outcome_name"]), ">"
-        ).alias("ranking"),
-        F.sum("num_studies").alias("studies"),
+    # Outcomes are settings, so their ranking is small.
+    place = F.row_number().over(W.orderBy(F.col("sir").desc_nulls_last(), "outcome_name"))
+    return R.ranked_ratios(cleaned).select(
+        "outcome_name", F.round("sir", 6).alias("sir"), "num_studies", place.cast("long").alias("place")
     )
 
 
+def pooled_site_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest frame of all sites with the pooled ratio as summary row."""
+    own = ratios(spark, sf_dir)
+    frame = R.forest_frame(own.select("database_name", "outcome_name", *RATIO_COLUMNS), S.pool_ratios(own))
+    return rounded(frame).select("outcome_name", "name", "plot_rr", "plot_lower", "plot_upper", "label")
+
+
 def queries() -> dict[str, Query]:
     return {
         "ledger_required": ledger_required,
@@ -451,5 +465,6 @@ def queries() -> dict[str, Query]:
         "sentinel_except": sentinel_except,
         "forest_frame": forest_frame,
         "pooled_forest": pooled_forest,
+        "pooled_site_forest": pooled_site_forest,
         "ranked_ratios": ranked_ratios,
     }

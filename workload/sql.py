@@ -86,3 +86,24 @@ def eras(source: str, keys: str, strict: bool = True, pad: int = 0) -> str:
         f" ON {same} AND (b.s < a.s OR (b.s = a.s AND b.e <= a.e))"
         f" GROUP BY {own}, a.s, a.e) GROUP BY {keys}, opened"
     )
+
+
+# One row per age and sex subgroup, from the bands and the two sexes.
+GRID = """
+  SELECT 10 * band.id + sex.id AS subgroup_id, band.low, band.high, sex.concept_id,
+         'Persons aged ' || band.low || ' to ' || band.high || ' with gender = ' || sex.label AS name
+  FROM (SELECT unnest([{'id': 1, 'concept_id': 8532, 'label': 'Female'},
+                       {'id': 2, 'concept_id': 8507, 'label': 'Male'}], recursive := true)) sex,
+       (SELECT unnest(range(2, 13)) AS id,
+               unnest([0, 6, 18, 35, 55, 65, 75, 85, 0, 5, 12]) AS low,
+               unnest([5, 17, 34, 54, 64, 74, 84, 114, 4, 11, 17]) AS high) band"""
+# A person is in a band from the year in which they reach its lowest age to the end of the year
+# in which they have its highest, as far as they are observed.
+MEMBER = """
+  SELECT subgroup_id, subject_id, s, e FROM (
+    SELECT grid.subgroup_id, person_id AS subject_id,
+           greatest(op_start, make_date(year_of_birth + grid.low, 1, 1)) AS s,
+           least(op_end, make_date(year_of_birth + grid.high, 12, 31)) AS e
+    FROM person JOIN op USING (person_id), grid
+    WHERE grid.concept_id = gender_concept_id)
+  WHERE s <= e"""
