@@ -312,7 +312,7 @@ def oracles() -> dict[str, str]:
         "SELECT CAST(subgroup_id AS BIGINT) AS cohort_definition_id, subject_id,"
         f" s AS cohort_start_date, e AS cohort_end_date FROM ({MEMBER})"
     )
-    return {
+    sql = {
         "concept_set_resolve": statement(FIXTURES, resolve + ")"),
         "criterion_condition": events_sql(C1, coded("cond", 2, "s > DATE '1997-06-30'")),
         "criterion_measurement": events_sql(low_a, B),
@@ -424,3 +424,14 @@ FROM grid g LEFT JOIN (
   FROM member GROUP BY cohort_definition_id) m ON m.cohort_definition_id = g.subgroup_id""",
         ),
     }
+    # Cohorts read from JSON are the cohorts themselves.
+    names = [
+        "clean_windows",
+        "visit_condition",
+        "earliest_event",
+        "earliest_confirmed",
+        "calendar_days",
+        "low_value",
+        "ruled",
+    ]
+    return {**sql, **{f"json_{n}": sql[f"cohort_{n}"] for n in names}}

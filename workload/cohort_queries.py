@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from spanrate.operators.incidence import subgroup_frame
 from spanrate.operators.subgroups import age_sex_subgroups, subgroup_specs
 from spanrate.operators.vocabulary import resolve_concept_sets
 from spanrate.sources.durable import durable
+from spanrate.sources.settings import cohort_from_json
 from spanrate.specs import (
     CohortSpec,
     Comparison,
@@ -134,6 +136,17 @@ def inclusion_of_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.inclusion_stats(none, len(D.RULES), [D.RULED.cohort_id])
 
 
+def json_query(*specs: CohortSpec) -> Query:
+    """The same cohorts from their definitions in the exchange format."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = {s.cohort_id: json.dumps(D.exchange_form(s)) for s in specs}
+        read = [cohort_from_json(i, text) for i, text in texts.items()]
+        return C.build_cohorts(clinical(spark, sf_dir), read)
+
+    return run
+
+
 def ruled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec, batch = batch_for(spark, sf_dir, D.RULED)
     return C.events_with_mask(batch, spec)
@@ -259,6 +272,13 @@ def queries() -> dict[str, Query]:
         "cohort_calendar_days": cohort_query(D.TARGET_CALENDAR),
         "cohort_low_value": cohort_query(D.LOW_VALUE),
         "cohort_union": cohort_union,
+        "json_clean_windows": json_query(*D.OUTCOMES),
+        "json_visit_condition": json_query(D.VISIT_OUTCOME),
+        "json_earliest_event": json_query(D.INFECTION),
+        "json_earliest_confirmed": json_query(D.CONFIRMED),
+        "json_calendar_days": json_query(D.TARGET_CALENDAR),
+        "json_low_value": json_query(D.LOW_VALUE),
+        "json_ruled": json_query(D.RULED),
         "subgroup_membership": subgroup_membership,
         "subgroup_sizes": subgroup_sizes,
     }

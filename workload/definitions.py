@@ -160,3 +160,97 @@ SETTINGS = Settings(
     ],
 )
 STANDARD_SUBGROUPS = [10 * a + g for a in range(2, 10) for g in (1, 2)]
+
+
+# The exchange format of a cohort, written out for the reader to take back.
+
+_TABLES = {
+    "condition": "ConditionOccurrence",
+    "measurement": "Measurement",
+    "visit": "VisitOccurrence",
+    "observation_period": "ObservationPeriod",
+}
+_KINDS = {"exactly": 0, "at_most": 1, "at_least": 2}
+
+
+def _comparison_form(c: Comparison | None) -> dict | None:
+    if c is None:
+        return None
+    return {"Op": c.op, "Value": c.value, "Extent": c.extent}
+
+
+def _concept_form(ids: tuple[int, ...]) -> list[dict]:
+    return [{"CONCEPT_ID": i} for i in ids]
+
+
+def _criterion_form(c: Criterion) -> dict:
+    body = {
+        "CodesetId": c.codeset_id,
+        "OccurrenceStartDate": _comparison_form(c.start),
+        "ValueAsNumber": _comparison_form(c.value),
+        "RangeLow": _comparison_form(c.range_low),
+        "Unit": _concept_form(c.units),
+        "ValueAsConcept": _concept_form(c.value_concepts),
+        "UserDefinedPeriod": dict(zip(("StartDate", "EndDate"), c.on_dates, strict=True)) if c.on_dates else None,
+        "CorrelatedCriteria": _group_form(c.nested) if c.nested else None,
+    }
+    return {_TABLES[c.domain]: {k: v for k, v in body.items() if v not in (None, [])}}
+
+
+def _edge_form(days: int | None, open_sign: int) -> dict:
+    if days is None:
+        return {"Coeff": open_sign}
+    return {"Days": abs(days), "Coeff": -1 if days < 0 else 1}
+
+
+def _window_form(w: Window | None, on_end: bool) -> dict | None:
+    if w is None:
+        return None
+    return {"Start": _edge_form(w.start, -1), "End": _edge_form(w.end, 1), "UseEventEnd": on_end}
+
+
+def _group_form(g: Group) -> dict:
+    tests = [
+        {
+            "Criteria": _criterion_form(t.criterion),
+            "StartWindow": _window_form(t.window, False),
+            "EndWindow": _window_form(t.end_window, True),
+            "Occurrence": {"Type": _KINDS[t.kind], "Count": t.count},
+            "IgnoreObservationPeriod": t.ignore_observation_period,
+        }
+        for t in g.criteria
+    ]
+    return {"Type": g.kind, "CriteriaList": tests, "Groups": [_group_form(x) for x in g.groups]}
+
+
+def exchange_form(spec: CohortSpec) -> dict:
+    sets = [
+        {
+            "id": s.codeset_id,
+            "expression": {
+                "items": [
+                    {
+                        "concept": {"CONCEPT_ID": i.concept_id},
+                        "includeDescendants": i.descendants,
+                        "isExcluded": i.excluded,
+                    }
+                    for i in s.items
+                ]
+            },
+        }
+        for s in spec.concept_sets
+    ]
+    return {
+        "ConceptSets": sets,
+        "PrimaryCriteria": {
+            "CriteriaList": [_criterion_form(c) for c in spec.primary],
+            "ObservationWindow": {"PriorDays": spec.prior_days, "PostDays": spec.post_days},
+            "PrimaryCriteriaLimit": {"Type": spec.primary_limit},
+        },
+        "AdditionalCriteria": _group_form(spec.additional) if spec.additional else None,
+        "QualifiedLimit": {"Type": spec.qualified_limit},
+        "InclusionRules": [{"name": r.name, "expression": _group_form(r.group)} for r in spec.rules],
+        "ExpressionLimit": {"Type": spec.inclusion_limit},
+        "EndStrategy": {"DateOffset": {"DateField": "StartDate", "Offset": spec.exit_offset}},
+        "CollapseSettings": {"EraPad": spec.era_pad},
+    }

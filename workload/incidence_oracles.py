@@ -252,6 +252,18 @@ USING (t, tar)"""
         "incidence_summary": ask(
             f"SELECT * REPLACE ({RATES}) FROM summary"
         ),
+        "incidence_two_analyses": ask(
+            f"SELECT * REPLACE ({RATES}) FROM summary WHERE"
+            " (target_cohort_definition_id = 101 AND time_at_risk_id IN (6, 7)"
+            " AND subgroup_cohort_definition_id IN (0, 41, 42) AND outcome_id IN (201, 203))"
+            " OR (target_cohort_definition_id = 102 AND time_at_risk_id = 1"
+            " AND subgroup_cohort_definition_id IN (0, 51, 52) AND outcome_id = 202)"
+        ),
+        "study_twice": ask(
+            f"SELECT * REPLACE ({RATES}) FROM summary WHERE target_cohort_definition_id = 102"
+            " AND time_at_risk_id = 7 AND outcome_id = 201"
+            " AND subgroup_cohort_definition_id IN (0, 41, 42)"
+        ),
         "incidence_censored": ask(
             f"SELECT {DIMENSIONS}, {CENSORED}, person_years_pre_exclude, person_years, {RATES}"
             " FROM summary",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from spanrate.operators.cohort import build_cohorts
 from spanrate.operators.disclosure import censored_share, min_cell
 from spanrate.operators.intervals import interval_union
 from spanrate.operators.subgroups import age_sex_subgroups
-from spanrate.plans.study import database_metadata
-from spanrate.sources.durable import durable
+from spanrate.plans.study import database_metadata, incidence_of_analyses, run_study
+from spanrate.sources.durable import durable, work_dir
+from spanrate.specs import Analysis, SubgroupSpec
 
 from . import definitions as D
 from .clinical import clinical, sites, table
@@ -166,8 +168,57 @@ def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return database_metadata(cdm, "db1", "Database one", "All customers")
 
 
+ANALYSES = [
+    Analysis("urgent", (101,), (0, 41, 42), (6, 7), (201, 203)),
+    Analysis("calendar", (102,), (51, 52), (1,), (202,)),
+]
+
+
+def two_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two analyses of one study, stacked as in its results table."""
+    targets, outcomes, subgroups = study_cohorts(spark, sf_dir)
+    cdm = clinical(spark, sf_dir)
+    out = incidence_of_analyses(
+        cdm, targets, outcomes, subgroups, with_all(D.SETTINGS), ANALYSES, "all"
+    )
+    return rounded(out)
+
+
+def with_all(settings: I.Settings) -> I.Settings:
+    """Subgroup 0, everybody, is always reported and may be named in an analysis."""
+    everybody = SubgroupSpec(0, "All")
+    return I.Settings(
+        settings.targets, settings.tars, [everybody, *settings.subgroups], settings.outcomes
+    )
+
+
+def study_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary that a whole study leaves when it is run again on the same folder."""
+    folder = f"{work_dir(spark)}/study-{uuid.uuid4().hex}"
+    settings = I.Settings(
+        D.SETTINGS.targets[1:], [D.TARS[6]], D.SETTINGS.subgroups[4:6], D.SETTINGS.outcomes[:1]
+    )
+    subgroups = tuple(s.subgroup_cohort_definition_id for s in settings.subgroups)
+    analysis = Analysis("again", (102,), subgroups, (7,), (201,))
+    for _ in range(2):
+        run_study(
+            clinical(spark, sf_dir),
+            [D.TARGET_CALENDAR],
+            [D.OUTCOMES[0]],
+            settings,
+            [analysis],
+            folder,
+            "all",
+            "all",
+            work_dir=work_dir(spark),
+        )
+    return rounded(spark.read.parquet(f"{folder}/summary"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "incidence_two_analyses": two_analyses,
+        "study_twice": study_twice,
         "tar_windows": tar_windows,
         "interval_union": at_risk_eras,
         "event_day_eras": event_day_eras,
