@@ -7,10 +7,9 @@
 3. In each bucket the class with the smallest number leads. Of the leaders a class met, the
    ``LEADERS`` most alike by the collision-corrected estimate are confirmed on full sets. That
    joins almost every group at a cost in proportion to its members: no group emits its pairs.
-4. Buckets that still hold several components are settled exactly: members of the smaller
-   component are compared with all of the larger one, in blocks of bounded size, and one link is
-   returned per member. Single classes are compared only if the estimate, less seven standard
-   deviations, leaves a chance.
+4. Buckets that still hold several components are settled exactly: members outside the bucket's
+   largest component are compared with all of that one, and with each other, in blocks of bounded
+   size. A block returns one link per member and component, never its pairs.
 
 Two texts at exactly the threshold share no bucket with a chance of 3e-6, more similar ones less.
 
@@ -159,20 +158,20 @@ def estimate(a: Column, b: Column) -> Column:
     return (equal / PERMUTATIONS - chance) / (1 - chance)
 
 
-def _confirmer(percent: int, every: bool):
-    """Links of the queries of a block to its members: all, or the first of each query."""
+def _confirmer(percent: int):
+    """Of each query of a block, one link to each part among the block's members but its own."""
 
     def confirm(frame: pd.DataFrame) -> pd.DataFrame:
-        members = frame[~frame["query"]]
+        members, queries = frame[~frame["query"]], frame[frame["query"]]
         found_x, found_y = [], []
         if len(members):
             sets = [np.frombuffer(x, np.uint64) for x in members["shingles"]]
             sizes = np.array([len(x) for x in sets])
             values, place = np.unique(np.concatenate(sets), return_inverse=True)
             begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            nodes = members["node"].to_numpy()
+            nodes, parts = members["node"].to_numpy(), members["part"].to_numpy()
             held = np.zeros(len(values), bool)
-            for x, raw in zip(frame["node"][frame["query"]], frame["shingles"][frame["query"]], strict=True):
+            for x, part, raw in zip(queries["node"], queries["part"], queries["shingles"], strict=True):
                 own = np.frombuffer(raw, np.uint64)
                 at = np.minimum(np.searchsorted(values, own), len(values) - 1)
                 at = at[values[at] == own]
@@ -180,87 +179,109 @@ def _confirmer(percent: int, every: bool):
                 shared = np.add.reduceat(held[place].astype(np.int64), begin)
                 held[at] = False
                 linked = 100 * shared >= percent * (len(own) + sizes - shared)
-                linked = nodes[linked & (nodes != x)]
-                linked = linked if every else linked[:1]
-                found_x += [x] * len(linked)
-                found_y += linked.tolist()
+                linked = np.flatnonzero(linked & (parts != part))
+                _, first = np.unique(parts[linked], return_index=True)
+                found_x += [x] * len(first)
+                found_y += nodes[linked[first]].tolist()
         return pd.DataFrame({"a": np.array(found_x, np.int64), "b": np.array(found_y, np.int64)})
 
     return confirm
 
 
-def _confirm(sides: DataFrame, sets: DataFrame, percent: int, every: bool) -> DataFrame:
-    """``sides``: (grp, block, q_block, node, query)."""
-    rows = sides.join(sets, "node").select("grp", "block", "q_block", "node", "query", "shingles")
-    return rows.groupBy("grp", "block", "q_block").applyInPandas(
-        _confirmer(percent, every), "a long, b long"
+def _confirm(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the ``queries`` and ``members`` (grp, node, part) of equal groups.
+
+    Both sides of a group are dealt to blocks, and every query meets every member in one of them.
+    """
+    n = queries.groupBy("grp").agg(F.count("*").alias("n_x")).join(
+        members.groupBy("grp").agg(F.count("*").alias("n_y")), "grp"
+    )
+    n = n.select(
+        "grp",
+        F.ceil(F.col("n_x") / QUERY_BLOCK).cast("int").alias("n_q"),
+        F.ceil(F.col("n_y") / MEMBER_BLOCK).cast("int").alias("n_b"),
+    )
+    n = keep(n, "block-counts")
+    asked = queries.join(n, "grp").select(
+        "grp",
+        F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)).alias("block"),
+        F.pmod(F.xxhash64("node"), F.col("n_q")).cast("int").alias("q_block"),
+        "node",
+        "part",
+        F.lit(True).alias("query"),
     )
+    answers = members.join(n, "grp").select(
+        "grp",
+        F.pmod(F.xxhash64("node"), F.col("n_b")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("q_block"),
+        "node",
+        "part",
+        F.lit(False).alias("query"),
+    )
+    rows = asked.union(answers).join(sets, "node")
+    return rows.groupBy("grp", "block", "q_block").applyInPandas(_confirmer(percent), "a long, b long")
 
 
 def _star_pairs(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """(node, lead): the leaders that a class resembles most."""
     pairs = members.where(F.col("node") != F.col("lead")).select("node", "lead").distinct()
-    own = classes.select("node", F.col("n").alias("n_a"), F.col("planes").alias("p_a"))
-    other = classes.select(F.col("node").alias("lead"), F.col("n").alias("n_b"), F.col("planes").alias("p_b"))
-    close = pairs.join(own, "node").join(other, "lead").where(_may_link(threshold))
+    close = _estimated(pairs, "lead", classes).where(_may_link(threshold))
     rank = F.struct(F.round(estimate(F.col("p_a"), F.col("p_b")), 6).alias("e"), (-F.col("lead")).alias("l"))
     best = close.groupBy("node").agg(F.collect_list(rank).alias("all"))
     best = best.select("node", F.slice(F.sort_array("all", asc=False), 1, LEADERS).alias("best"))
     return best.select("node", F.explode("best").alias("r")).select("node", (-F.col("r.l")).alias("lead"))
 
 
+def _estimated(pairs: DataFrame, other: str, classes: DataFrame) -> DataFrame:
+    """``pairs`` of node and ``other`` with the sizes and planes of both."""
+    own = classes.select("node", F.col("n").alias("n_a"), F.col("planes").alias("p_a"))
+    theirs = classes.select(F.col("node").alias(other), F.col("n").alias("n_b"), F.col("planes").alias("p_b"))
+    return pairs.join(own, "node").join(theirs, other)
+
+
 def _may_link(threshold: float) -> Column:
     sizes = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
     return sizes & (estimate(F.col("p_a"), F.col("p_b")) >= threshold - MARGIN)
 
 
-def _open_queries(members: DataFrame, parts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(x, part): classes to be compared with all of a larger component that shares a bucket."""
+def _open_members(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, node, part, main, alone): members of buckets that hold several components, without
+    those of the largest one, ``main``; ``alone`` if that is a single class."""
     sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
     placed = members.join(parts.join(sizes, "part"), "node").select("key", "node", "part", "size")
-    spread = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    open_keys = keep(spread.where(F.col("low") != F.col("high")).select("key"), "open-buckets")
-    placed = keep(placed.join(open_keys, "key"), "open-members")
-    present = placed.select("key", F.col("part").alias("to"), F.col("size").alias("to_size")).distinct()
-    tied = (F.col("size") == F.col("to_size")) & (F.col("part") < F.col("to"))
-    order = (F.col("size") < F.col("to_size")) | tied
-    asked = placed.join(present, "key").where(order).select(
-        F.col("node").alias("x"), F.col("to").alias("part"), F.col("to_size").alias("size")
+    largest = F.max(F.struct("size", "part"))
+    spread = placed.groupBy("key").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), largest.alias("largest")
     )
-    asked = keep(asked.distinct(), "asked")
-    single = asked.where(F.col("size") == 1).join(parts.withColumnRenamed("node", "y"), "part")
-    own = classes.select(F.col("node").alias("x"), F.col("n").alias("n_a"), F.col("planes").alias("p_a"))
-    other = classes.select(F.col("node").alias("y"), F.col("n").alias("n_b"), F.col("planes").alias("p_b"))
-    single = single.join(own, "x").join(other, "y").where(_may_link(threshold))
-    return asked.where(F.col("size") > 1).select("x", "part").union(single.select("x", "part"))
-
-
-def _blocks(asked: DataFrame, parts: DataFrame) -> DataFrame:
-    """Queries and members of each component, dealt to blocks; every query meets every member."""
-    n = asked.groupBy("part").agg(F.count("*").alias("n_x")).join(
-        parts.groupBy("part").agg(F.count("*").alias("n_y")), "part"
+    spread = spread.where(F.col("low") != F.col("high")).select(
+        "key", F.col("largest.part").alias("main"), (F.col("largest.size") == 1).alias("alone")
     )
-    n = n.select(
-        "part",
-        F.ceil(F.col("n_x") / QUERY_BLOCK).cast("int").alias("n_q"),
-        F.ceil(F.col("n_y") / MEMBER_BLOCK).cast("int").alias("n_b"),
-    )
-    n = keep(n, "block-counts")
-    queries = asked.join(n, "part").select(
-        F.col("part").alias("grp"),
-        F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)).alias("block"),
-        F.pmod(F.xxhash64("x"), F.col("n_q")).cast("int").alias("q_block"),
-        F.col("x").alias("node"),
-        F.lit(True).alias("query"),
-    )
-    answers = parts.join(n, "part").select(
-        F.col("part").alias("grp"),
-        F.pmod(F.xxhash64("node"), F.col("n_b")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("q_block"),
-        "node",
-        F.lit(False).alias("query"),
-    )
-    return queries.union(answers)
+    placed = placed.join(keep(spread, "open-buckets"), "key")
+    rest = placed.where(F.col("part") != F.col("main")).select("key", "node", "part", "main", "alone")
+    return keep(rest, "open-members")
+
+
+def _settle(
+    members: DataFrame, parts: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
+) -> DataFrame:
+    """The links between components that share a bucket.
+
+    Members of smaller components are compared with all of the bucket's largest, once however
+    many buckets they share, and with each other bucket by bucket. Where the largest is a single
+    class too, the estimate must leave a chance.
+    """
+    rest = _open_members(members, parts)
+    asked = rest.select(F.col("main").alias("grp"), "node", "part", "alone").distinct()
+    single = _estimated(asked.where("alone"), "grp", classes).where(_may_link(percent / 100))
+    single = single.select("grp", "node", "part")
+    asked = keep(asked.where("NOT alone").select("grp", "node", "part").union(single), "asked")
+    mains = parts.join(asked.select(F.col("grp").alias("part")).distinct(), "part", "left_semi")
+    mains = mains.select(F.col("part").alias("grp"), "node", "part")
+    several = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    several = several.where(F.col("low") != F.col("high")).select("key")
+    among = keep(rest.join(several, "key").select(F.col("key").alias("grp"), "node", "part"), "among")
+    links = _confirm(asked, mains, sets, percent)
+    return keep(links.union(_confirm(among, among, sets, percent)), "more-links")
 
 
 def near_duplicates(
@@ -298,23 +319,11 @@ def near_duplicates(
     texts = texts.select(F.col("__node").alias("node"), "text", F.col("__class").alias("class"))
     sets = keep(texts.mapInArrow(_set_maker(width), "node long, shingles binary"), "sets")
     star = keep(_star_pairs(members, classes, threshold), "stars")
-    block = F.pmod(F.xxhash64("node"), F.col("n_b")).cast("int")
-    n = star.groupBy("lead").agg(F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("n_b"))
-    n = keep(n, "star-blocks")
-    leads = n.select(
-        F.col("lead").alias("grp"),
-        F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)).alias("block"),
-        F.lit(0).alias("q_block"),
-        F.col("lead").alias("node"),
-        F.lit(True).alias("query"),
-    )
-    followers = star.join(n, "lead").select(
-        F.col("lead").alias("grp"), block.alias("block"), F.lit(0).alias("q_block"), "node", F.lit(False).alias("query")
-    )
-    links = keep(_confirm(leads.union(followers), sets, percent, every=True), "star-links")
+    leads = star.select(F.col("lead").alias("grp"), F.col("lead").alias("node"), F.col("lead").alias("part"))
+    followers = star.select(F.col("lead").alias("grp"), "node", F.col("node").alias("part"))
+    links = keep(_confirm(leads.distinct(), followers, sets, percent), "star-links")
     parts = _parts(members, connected_components(links))
-    asked = keep(_open_queries(members, parts, classes, threshold), "queries")
-    more = keep(_confirm(_blocks(asked, parts), sets, percent, every=False), "block-links")
+    more = _settle(members, parts, classes, sets, percent)
     parts = connected_components(links.union(more))
     placed = classes.join(parts, "node", "left").select(
         "class", "doc_id", F.coalesce("part", "node").alias("part")
