@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanrate.llm.work import keep, new_path
+from spanrate.llm.work import keep, new_path, send_package
 
 SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
@@ -135,6 +135,7 @@ def write_monolithic(
     pages: DataFrame, folder: str, id_col: str, url_col: str, html_col: str, file_bytes: int
 ) -> DataFrame:
     """Write the archives; (file, ordinal, page_id, url, payload_bytes, digest) per record."""
+    send_package(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
@@ -260,7 +261,14 @@ def normalise(written: DataFrame, source: str, target: str, level: int = 6) -> D
         F.col("holder.file").alias("holder_file"),
         F.col("holder.ordinal").alias("holder_ordinal"),
     )
-    return keep(rows.groupBy("file").applyInPandas(_normaliser(source, target, level), INDEXED), "index")
+    groups = by_file(rows).groupBy("file")
+    return keep(groups.applyInPandas(_normaliser(source, target, level), INDEXED), "index")
+
+
+def by_file(rows: DataFrame) -> DataFrame:
+    """A partition per archive: its rows are few, its bytes are not, so none may be put together."""
+    files = rows.select("file").distinct().count()
+    return rows.repartition(max(1, files), "file")
 
 
 def parse_member(data: bytes) -> dict:
@@ -330,11 +338,12 @@ def _reader(folder: str, names: list[str]):
 
 def read_records(index: DataFrame, folder: str, columns: list[str] | None = None) -> DataFrame:
     """The records that ``index`` names; ``payload`` is null for revisits."""
+    send_package(index.sparkSession)
     wanted = [x.strip().split(" ") for x in RECORDS.split(",")]
     names = columns or [n for n, _ in wanted]
     schema = ", ".join(f"{n} {k}" for n, k in wanted if n in names)
     names = [n for n, _ in wanted if n in names]
-    rows = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    rows = by_file(index.select("file", "offset", "length")).sortWithinPartitions("file", "offset")
     return rows.mapInArrow(_reader(folder, names), schema)
 
 
