@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from spanrate.llm import textbytes
 from spanrate.llm.components import connected_components
-from spanrate.llm.work import keep
+from spanrate.llm.work import keep, send_package
 
 PERMUTATIONS = 256
 ROWS = 6
@@ -292,6 +292,7 @@ def near_duplicates(
     percent: int = 80,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
+    send_package(docs.sparkSession)
     threshold = percent / 100
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = keep(rows.mapInArrow(_signer(width), SIGNATURES), "signatures")

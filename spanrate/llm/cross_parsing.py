@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from spanrate.llm import textbytes
 from spanrate.llm.text import text_key
-from spanrate.llm.work import keep
+from spanrate.llm.work import keep, send_package
 
 STRETCH = 512
 UNKNOWN = "und"
@@ -177,6 +177,7 @@ def _predictor(samples, carried: list[str]):
 
 def predicted(docs: DataFrame, samples, text_col: str, columns: list[str] | None = None) -> DataFrame:
     """``columns`` (or all) of ``docs`` with lang_pred and score, which replace columns so named."""
+    send_package(docs.sparkSession)
     carried = [c for c in columns or docs.columns if c not in ("lang_pred", "score")]
     schema = T.StructType(
         [f for f in docs.schema.fields if f.name in carried]

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanrate.llm import textbytes
+from spanrate.llm.work import send_package
 
 ROUNDS = 10
 FIRST_DAY = dt.date(1900, 1, 1).toordinal()
@@ -283,6 +284,7 @@ def pseudonyms(
     docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, text, spans) per row: spans are (kind, start, end) in the text as given."""
+    send_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(
         _replacer(key),

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from spanrate.llm import textbytes
 from spanrate.llm.text import text_key
+from spanrate.llm.work import send_package
 
 SPACE = "▁"
 MAX_STATES = 120_000
@@ -381,6 +382,7 @@ def count_tokens(
     """(doc_id, n_bytes, n_tokens) per row of ``docs``."""
     if chunk < 64:
         raise ValueError("chunks must be longer than the longest token")
+    send_package(docs.sparkSession)
     text = F.col("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumns(
         {"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")}

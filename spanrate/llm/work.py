@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_sent_to: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Have Spark send this package to the executors, once for an application.
+
+    Tasks import it, so that what they compile stays in their process from task to task.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _sent_to:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = f"{tempfile.mkdtemp()}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(archive)
+    _sent_to.add(context.applicationId)
+
 
 def work_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset, one inside the warehouse."""

@@ -5,10 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import gzip
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -318,3 +322,21 @@ def test_mined_rules_equal_brute_force(spark):
         if found[i]["rule"] is None:
             fired = [(*x, v == "block", v) for (part, v), x in kept.items() if set(part) <= own]
             assert found[i]["verdict"] == (max(fired)[3] if fired else "allow")
+
+
+def test_tasks_get_the_package_wherever_the_driver_runs(tmp_path):
+    """A session started in a folder from which the package cannot be imported."""
+    root = Path(token_transducer.__file__).resolve().parents[2]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+from spanrate.llm.feistel import pseudonyms
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.createDataFrame([(1, "some.person@b.org")], "doc_id long, text string")
+assert pseudonyms(docs, b"k").first()["text"] != "some.person@b.org"
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
