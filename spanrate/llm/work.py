@@ -21,7 +21,7 @@ def send_package(spark: SparkSession) -> None:
     if context.applicationId in _sent_to:
         return
     package = Path(__file__).resolve().parents[1]
-    archive = f"{tempfile.mkdtemp()}/{package.name}.zip"
+    archive = f"{Path(tempfile.mkdtemp()).resolve()}/{package.name}.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))
