@@ -38,6 +38,18 @@ DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
 
+#: Letters and digits permuted as one number; longer values go in linked blocks.
+BLOCK = 512
+#: 8 to 15 digits behind the plus, in groups of any size, one of them in brackets or none.
+_NUMBER = "|".join(
+    [
+        rf"\d{{{c}}}[ .-]?\(\d{{{a}}}\)(?:[ .-]?\d){{{8 - c - a},{15 - c - a}}}"
+        for c in (3, 2, 1)
+        for a in (4, 3, 2, 1)
+    ]
+    + [r"\d(?:[ .-]?\d){7,14}"]
+)
+
 #: Kinds in the order in which they claim text.
 PATTERNS = [
     ("secret", re.compile(r"\bAKIA([0-9A-Z]{16})\b")),
@@ -45,12 +57,12 @@ PATTERNS = [
         "secret",
         re.compile(
             r"(?i)\b(?:password|passwd|secret|token|api[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
-            r"([A-Za-z0-9_+/.\-]{6,512})"
+            r"([A-Za-z0-9_+/.\-]{6,})"
         ),
     ),
-    ("email", re.compile(r"(?<![\w.+-])([A-Za-z0-9][\w.+-]{0,63})@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+")),
+    ("email", re.compile(r"(?<![\w.+-])([A-Za-z0-9][\w.+-]*+)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")),
     ("iban", re.compile(r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b")),
-    ("phone", re.compile(r"(?<![\w+])(\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5})(?!\w)")),
+    ("phone", re.compile(rf"(?<![\w+])(\+(?:{_NUMBER}))(?!\w)")),
     ("ip", re.compile(r"(?<![\w.])(\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)")),
     ("date", re.compile(r"(?<![\w/.-])(\d{4}-\d{2}-\d{2}|\d{1,2}([/.])\d{1,2}\2\d{4})(?![\w/-]|\.\d)")),
     ("ssn", re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])")),
@@ -96,7 +108,27 @@ class Feistel:
                 return value
 
     def letters(self, text: str, tweak: str, back: bool = False) -> str:
-        """Digits, small and capital letters permuted together, each within its kind."""
+        """Digits, small and capital letters permuted together, each within its kind.
+
+        Values of more than ``BLOCK`` characters go in blocks, forwards and then backwards; each
+        block's permutation is chosen by the blocks before it, so that all depend on all.
+        """
+        if len(text) <= BLOCK:
+            return self._block(text, tweak, back)
+        n = -(-len(text) // BLOCK)
+        cuts = [len(text) * i // n for i in range(n + 1)]
+        parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        ways = [("forth", range(n)), ("back", range(n - 1, -1, -1))]
+        for way, order in reversed(ways) if back else ways:
+            chain = f"{tweak}|{way}|{len(text)}".encode()
+            for i in order:
+                chain = hashlib.blake2b(chain, digest_size=16).digest()
+                own = self._block(parts[i], f"{tweak}|{chain.hex()}", back)
+                chain += (parts[i] if back else own).encode()
+                parts[i] = own
+        return "".join(parts)
+
+    def _block(self, text: str, tweak: str, back: bool) -> str:
         kinds = [next((k for k in (DIGITS, LOWER, UPPER) if c in k), c) for c in text]
         size = math.prod(len(k) for k in kinds)
         value = 0

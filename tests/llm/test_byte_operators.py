@@ -190,6 +190,39 @@ def test_what_fails_its_check_is_left_alone():
         assert find_and_replace(Feistel(b"k"), text) == (text, [])
 
 
+@pytest.mark.parametrize(
+    ("kind", "value", "before", "behind"),
+    [
+        ("secret", "".join("aZ9_-"[i * i % 5] + "xY3."[i * i % 4] for i in range(1000)), "token=", " ok"),
+        ("secret", "k7" * 300, 'api_key: "', '"'),
+        ("email", "long.name" * 20, "mail ", "@mail.example.com now"),
+        ("phone", "+33 1 23 45 67 89", "call ", " now"),
+        ("phone", "+49 (30) 9 01 82 01 23", "call ", ", or"),
+    ],
+)
+def test_values_are_replaced_from_end_to_end(kind, value, before, behind):
+    f = Feistel(b"k")
+    text = before + value + behind
+    out, spans = find_and_replace(f, text)
+    assert spans == [(kind, len(before), len(before) + len(value))]
+    own = out[len(before) : len(out) - len(behind)]
+    assert out.startswith(before) and out.endswith(behind) and len(own) == len(value)
+    at = range(0, len(value) - 20, 20) if len(value) > 40 else [0]
+    assert all(own[i : i + 20] != value[i : i + 20] for i in at)
+    assert find_and_replace(f, out, back=True)[0] == text
+
+
+def test_blocks_of_long_values_depend_on_each_other():
+    f = Feistel(b"k")
+    a = "abcdefghij" * 150
+    own = f.letters(a, "secret")
+    for other in (a[:-1] + "x", "x" + a[1:]):
+        its = f.letters(other, "secret")
+        assert f.letters(its, "secret", back=True) == other
+        for i in range(0, 1500, 500):
+            assert its[i : i + 500] != own[i : i + 500]
+
+
 def test_equal_values_stay_linked_across_punctuation_and_documents(make_docs, odd_rows):
     rows = [*odd_rows, (50, "a 4111 1111 1111 1111 b", "en", "a"), (51, "4111-1111-1111-1111", "en", "a"), (52, "x 4111111111111111", "en", "a")]
     found = pseudonyms(make_docs(rows), b"k").collect()
