@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from spanrate.llm import textbytes
 from spanrate.llm.components import connected_components
+from spanrate.llm.text import text_key
 from spanrate.llm.work import keep, send_package
 
 PERMUTATIONS = 256
@@ -49,7 +50,7 @@ _FACTORS = _random.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32
 _SHIFTS = _random.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 _BAND_FACTORS = _random.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
-SIGNATURES = "doc_id long, n_shingles long, class binary, planes array<long>, bands array<long>"
+SIGNATURES = "n_shingles long, class binary, planes array<long>, bands array<long>"
 
 
 def shingle_sets(
@@ -113,15 +114,16 @@ def _signer(width: int):
                     classes.append(None)
                     planes.append(none)
                     bands.append(none)
+            names = [name for name in ("doc_id", "version") if name in block.schema.names]
             yield pa.RecordBatch.from_arrays(
                 [
-                    block.column("doc_id"),
+                    *[block.column(name) for name in names],
                     pa.array(sizes, pa.int64()),
                     pa.array(classes, pa.binary()),
                     _lists(planes),
                     _lists(bands),
                 ],
-                names=["doc_id", "n_shingles", "class", "planes", "bands"],
+                names=[*names, "n_shingles", "class", "planes", "bands"],
             )
 
     return sign
@@ -292,10 +294,18 @@ def near_duplicates(
     percent: int = 80,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
-    send_package(docs.sparkSession)
-    threshold = percent / 100
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = keep(rows.mapInArrow(_signer(width), SIGNATURES), "signatures")
+    return _grouped(rows, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, part, component_id, kept) per row of (doc_id, text), with its version
+    if the rows have one; ``part`` tells groups apart whose smallest ids are equal."""
+    send_package(rows.sparkSession)
+    threshold = percent / 100
+    named = ["doc_id", "version"] if "version" in rows.columns else ["doc_id"]
+    schema = ", ".join(f"{name} long" for name in named) + ", " + SIGNATURES
+    signed = keep(rows.mapInArrow(_signer(width), schema), "signatures")
     filled = signed.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     # One doc_id may have several texts, so classes get numbers of their own.
     groups = filled.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
@@ -330,12 +340,12 @@ def near_duplicates(
         "class", "doc_id", F.coalesce("part", "node").alias("part")
     )
     names = placed.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    placed = keep(placed.join(names, "part").select("class", "component_id"), "components")
+    placed = keep(placed.join(names, "part").select("class", "part", "component_id"), "components")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return (
-        signed.select("doc_id", "n_shingles", "class")
+        signed.select(*named, "n_shingles", "class")
         .join(placed, "class", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
+        .select(*named, "n_shingles", "part", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
@@ -351,12 +361,49 @@ def _parts(members: DataFrame, found: DataFrame) -> DataFrame:
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
-    """``docs`` with one row of each group: the smallest id; of an id's repeats, one row."""
-    found = near_duplicates(docs, id_col, text_col, width, percent)
-    removed = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    rows = docs.join(keep(removed, "removed"), F.col(id_col) == F.col("__gone"), "left_anti")
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    repeated = keep(repeated.select(F.col(id_col).alias("__twice")), "repeated-ids")
-    once = rows.join(repeated, F.col(id_col) == F.col("__twice"), "left_anti")
-    more = rows.join(repeated, F.col(id_col) == F.col("__twice"), "left_semi").dropDuplicates([id_col])
+    """``docs`` with one row of each group: the smallest id; of an id's repeats, one row.
+
+    Rows are told apart by id and text. Where an id stands for several groups, the ones it does not
+    stay for go to their next id that is not taken.
+    """
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("version")
+    ).where(F.col("doc_id").isNotNull())
+    found = _grouped(rows, width, percent).groupBy("doc_id", "version").agg(
+        F.min("part").alias("part"), F.min("kept").alias("kept"), F.count("*").alias("n")
+    )
+    found = keep(found, "grouped-rows")
+    chosen = _one_version_each(found)
+    removed = found.join(chosen.select("doc_id", "version"), ["doc_id", "version"], "left_anti")
+    removed = keep(removed.select(F.col("doc_id").alias("__gone"), F.col("version").alias("__version")), "removed")
+    key = text_key(F.col(text_col))
+    gone = (F.col(id_col) == F.col("__gone")) & (key == F.col("__version"))
+    left = docs.join(removed, gone, "left_anti")
+    repeated = found.where("n > 1").select(F.col("doc_id").alias("__twice")).distinct()
+    repeated = keep(repeated, "repeated-ids")
+    once = left.join(repeated, F.col(id_col) == F.col("__twice"), "left_anti")
+    more = left.join(repeated, F.col(id_col) == F.col("__twice"), "left_semi").dropDuplicates([id_col])
     return once.unionByName(more)
+
+
+def _one_version_each(found: DataFrame) -> DataFrame:
+    """(doc_id, version, part) of the rows that stay: each id once, rows with words before empty ones."""
+    stay = found.where("kept")
+    first = F.min(F.struct(F.col("part").isNull(), "version", "part")).alias("first")
+    chosen = stay.groupBy("doc_id").agg(first).select("doc_id", "first.version", "first.part")
+    chosen = keep(chosen, "chosen")
+    lost = stay.select("part").distinct().join(chosen.select("part").distinct(), "part", "left_anti")
+    lost = keep(lost.where(F.col("part").isNotNull()), "groups-without-row")
+    if lost.isEmpty():
+        return chosen
+    members = keep(found.join(lost, "part").select("doc_id", "version", "part"), "members-without-row")
+    while True:
+        # Ids and groups that are settled leave; each round settles at least one more.
+        members = members.join(chosen.select("doc_id"), "doc_id", "left_anti")
+        members = members.join(chosen.select("part").distinct(), "part", "left_anti")
+        best = members.groupBy("part").agg(F.min(F.struct("doc_id", "version")).alias("row"))
+        best = best.groupBy("row.doc_id").agg(F.min(F.struct("part", "row.version")).alias("own"))
+        best = keep(best.select("doc_id", "own.version", "own.part"), "stand-ins")
+        if best.isEmpty():
+            return chosen
+        chosen = keep(chosen.union(best), "chosen")

@@ -203,6 +203,21 @@ def test_near_duplicates_on_odd_rows(make_docs, odd_rows):
     assert 2 not in ids and 3 not in ids and ids.count(13) == 1 and None in ids
 
 
+def test_dropping_near_duplicates_tells_rows_of_an_id_apart(make_docs, words):
+    draw = random.Random(21)
+    a, b, c, d = ([draw.choice(words) for _ in range(90)] for _ in range(4))
+    near = lambda text: " ".join([*text[:-1], "changed"])
+    a, b, c, d = (" ".join(x) for x in (a, b, c, d))
+    rows = [(3, a), (7, near(a.split())), (7, b), (9, near(b.split())), (9, near(b.split())), (None, a)]
+    out = drop_near_duplicates(make_docs([(i, t, "en", "a") for i, t in rows]))
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(3, a), (7, b), (None, a)])
+    # One id leads two groups: the other group goes to its next id.
+    rows = [(1, c), (1, d), (2, near(c.split())), (4, near(d.split())), (4, near(d.split()))]
+    out = drop_near_duplicates(make_docs([(i, t, "en", "a") for i, t in rows])).collect()
+    assert len(out) == 2 and len({r["doc_id"] for r in out}) == 2
+    assert {r["text"].split()[0] for r in out} == {c.split()[0], d.split()[0]}
+
+
 def test_estimate_is_corrected_for_chance(spark):
     import numpy as np
 
