@@ -279,6 +279,20 @@ def test_language_on_odd_rows(make_docs, odd_rows):
     assert {4, 5, 6, 12}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def test_text_in_no_learned_language_is_dropped_and_unlabelled_text_is_not(make_docs, words):
+    draw = random.Random(17)
+    clean = [(i, " ".join(draw.choices(words, k=60)), "en", "a") for i in range(300)]
+    noise = [(1000 + i, "".join(draw.choice("klmnopqrstuvwxyz ") for _ in range(300)), None, "a") for i in range(5)]
+    noise.append((1100, "Съешь же ещё этих мягких французских булок да выпей чаю. " * 4, None, "a"))
+    empty = [(1200, None, None, "a"), (1201, "12 34 !", None, "a")]
+    short = [(1300, words[0], None, "a")]
+    kept = {r["doc_id"] for r in drop_unidentified(make_docs(clean + noise + empty + short)).collect()}
+    assert kept == {*range(300), 1300}
+    bare = [(i, t, None, s) for i, t, _, s in clean[:20] + noise + empty]
+    kept = {r["doc_id"] for r in drop_unidentified(make_docs(bare)).collect()}
+    assert kept == {*range(20), *(r[0] for r in noise)}
+
+
 def test_pipeline_equals_brute_force(spark, make_docs, odd_rows, words, tmp_path):
     passage = " ".join(words[200:240])
     rows = [r for r in odd_rows if r[0] is not None]
