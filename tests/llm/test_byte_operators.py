@@ -135,6 +135,18 @@ def test_quality_rejects_junk_and_keeps_clean(make_docs, odd_rows):
     assert judge_quality(make_docs([])).count() == 0
 
 
+def test_copies_of_one_text_do_not_narrow_the_band(make_docs, words):
+    draw = random.Random(6)
+    others = [(i, " ".join(draw.choices(words, k=80)), "fr", "a") for i in range(100)]
+    copies = [(1000 + i, others[0][1], "fr", "a") for i in range(700)]
+    same = [(3000 + i, " ".join(draw.sample(words[:30], 30)), "de", "a") for i in range(20)]
+    rows = others + copies + same
+    draw.shuffle(rows)
+    found = judge_quality(make_docs(rows).repartition(7)).collect()
+    assert all(r["kept"] for r in found)
+    assert len({r["perplexity"] for r in found if r["doc_id"] >= 1000 and r["doc_id"] < 3000}) == 1
+
+
 def test_counts_cover_all_rows(make_docs, odd_rows):
     docs = make_docs(odd_rows).select("lang", F.coalesce("text", F.lit("")).alias("text"))
     models = kneser_ney.train(docs.repartition(5))
