@@ -147,6 +147,14 @@ def test_copies_of_one_text_do_not_narrow_the_band(make_docs, words):
     assert len({r["perplexity"] for r in found if r["doc_id"] >= 1000 and r["doc_id"] < 3000}) == 1
 
 
+def test_bands_tell_labelled_bad_texts_from_good_ones(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    judged = judge_quality(spark.read.parquet(f"{folder}/documents.parquet")).where("NOT base_failed").collect()
+    kept = {q: [r["kept"] for r in judged if labels.get(r["doc_id"]) == q] for q in (0, 1)}
+    assert sum(kept[0]) < 0.5 * len(kept[0]) and sum(kept[1]) > 0.95 * len(kept[1])
+
+
 def test_counts_cover_all_rows(make_docs, odd_rows):
     docs = make_docs(odd_rows).select("lang", F.coalesce("text", F.lit("")).alias("text"))
     models = kneser_ney.train(docs.repartition(5))
