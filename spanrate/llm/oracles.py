@@ -130,6 +130,93 @@ joined AS (
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM docs JOIN joined USING (r)
 """
 
+OP11 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents
+),
+windows AS (
+  SELECT r, doc_id, s, array_to_string(w[s : s + 19], ' ') AS words
+  FROM (SELECT *, unnest(generate_series(1, len(w) - 19)) AS s FROM docs WHERE len(w) >= 20)
+),
+judged AS (
+  SELECT r, s, row_number() OVER (PARTITION BY words ORDER BY doc_id, s) > 1 AS later FROM windows
+),
+gone AS (
+  SELECT DISTINCT r, unnest(generate_series(s, s + 19)) AS pos FROM judged WHERE later
+),
+words AS (
+  SELECT r, unnest(generate_series(1, len(w))) AS pos, unnest(w) AS word FROM docs
+),
+kept AS (
+  SELECT r, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS words
+  FROM words ANTI JOIN gone USING (r, pos) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(words, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+#: CRC-32 of the id's digits, bit by bit: every digit is mixed in with the first of its eight shifts.
+_CRC = """xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+      lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda state, x: xor(xor(state, x) >> 1, CASE WHEN xor(state, x) % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)))"""
+
+OP12 = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') || chr(0) || coalesce(text, '') AS said,
+         len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS n_words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS nth
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (SELECT conv_id, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, nth AS pos, said, n_words
+  FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND nth <= h
+  UNION ALL
+  SELECT conv_id, 10 + nth, said, n_words FROM convs JOIN turns USING (conv_id) WHERE nth > h
+),
+lists AS (
+  SELECT conv_id, coalesce(list(said ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS way,
+         coalesce(list(n_words ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS sizes
+  FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+),
+steps AS (
+  SELECT conv_id, way, sizes, len(way) AS n, unnest(generate_series(0, len(way))) AS depth FROM lists
+),
+paths AS (
+  SELECT conv_id, depth, n, sha256(array_to_string(way[1 : depth], chr(1))) AS node,
+         CASE WHEN depth > 0 THEN sha256(array_to_string(way[1 : depth - 1], chr(1))) END AS above,
+         CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END AS n_words
+  FROM steps
+),
+nodes AS (
+  SELECT depth, node, above, min(conv_id) AS conv_id, count(*) AS n_convs, max(n_words) AS n_words,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = n), ''))
+           AS ends_sha256
+  FROM paths GROUP BY depth, node, above
+),
+children AS (
+  SELECT depth - 1 AS depth, above AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+),
+below AS (
+  SELECT DISTINCT u.depth, u.node, d.depth AS low_depth, d.node AS low
+  FROM paths u JOIN paths d ON u.conv_id = d.conv_id AND d.depth >= u.depth
+),
+totals AS (
+  SELECT b.depth, b.node, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves,
+         sum((n.n_convs - 1) * n.n_words) AS saved_tokens
+  FROM below b JOIN nodes n ON n.depth = low_depth AND n.node = low
+  LEFT JOIN children c ON c.depth = low_depth AND c.node = low
+  GROUP BY b.depth, b.node
+)
+SELECT nodes.conv_id, nodes.depth, up.conv_id AS parent_conv_id, nodes.n_convs,
+       coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+       nodes.ends_sha256
+FROM nodes JOIN totals USING (depth, node) LEFT JOIN children USING (depth, node)
+LEFT JOIN nodes up ON up.depth = nodes.depth - 1 AND up.node = nodes.above
+"""
+
 
 def oracles() -> dict[str, str]:
     return {
@@ -137,4 +224,6 @@ def oracles() -> dict[str, str]:
         "op4_warc": OP4,
         "op7_mixing": OP7,
         "op8_line_dedup": OP8,
+        "op11_substring_dedup": OP11,
+        "op12_prefix_trie": OP12,
     }

@@ -14,8 +14,11 @@ from spanrate.llm.feistel import pseudonyms
 from spanrate.llm.kneser_ney import judge_quality
 from spanrate.llm.line_bitmaps import line_bitmaps
 from spanrate.llm.positional_index import contamination
+from spanrate.llm.prefix_trie import conversation_prefixes, prefix_trie
+from spanrate.llm.suffix_shards import repeated_spans
 from spanrate.llm.systematic_mix import systematic_copies
-from spanrate.llm.text import index_words, text_key
+from spanrate.llm.text import index_words, space_words, text_key
+from spanrate.llm.token_alignment import align_tokens
 from spanrate.llm.token_transducer import count_tokens
 from spanrate.llm.url_rules import UrlRule, judge_urls
 from spanrate.llm.warc_normaliser import archive_pages, read_records
@@ -106,6 +109,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(_table(spark, sf_dir, "documents"))
+    kept = F.array_join(space_words(F.col("kept_text")), " ")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(conversation_prefixes(_table(spark, sf_dir, "conversations"), rebuild=True))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align_tokens(_table(spark, sf_dir, "documents"), *paths)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_token_counts,
@@ -118,5 +136,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_dedup,
         op9_pii,
         op10_quality,
+        op11_substring_dedup,
+        op12_prefix_trie,
+        op13_token_alignment,
     ]
     return {f.__name__: f for f in found}
