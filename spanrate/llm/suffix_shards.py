@@ -325,7 +325,8 @@ def repeated_windows(
     send_package(docs.sparkSession)
     docs = _documents(docs, id_col, text_col)
     counts = _anchor_counts(docs, width, anchor).groupBy("anchor").agg(F.sum("n").alias("n"))
-    repeated = counts.where("n > 1").select("anchor")
+    # Tables of their own: a join of plain shuffles splits a hot anchor, one with an aggregate does not.
+    repeated = keep(counts.where("n > 1").select("anchor"), "repeated-anchors")
     places = keep(_places(docs, width, anchor).join(repeated, "anchor"), "passages")
     place = F.struct("doc", "version", "start")
     firsts = places.groupBy("anchor", "passage").agg(
@@ -341,17 +342,18 @@ def repeated_windows(
     judged = firsts.select("anchor", "passage", place.alias("first")).join(
         gone, ["anchor", "passage"], "left"
     )
-    judged = places.join(judged, ["anchor", "passage"])
+    judged = keep(judged, "judged-passages")
+    rows = places.join(judged, ["anchor", "passage"])
     run = lambda first, last: F.struct(first.alias("first"), last.alias("last"))
     at = F.col("start")
     later = F.array(run(at, at + F.col("n") - 1))  # a later place repeats every window of the first
     own = F.transform("gone", lambda i: run(at + i, at + i))
-    rows = judged.select(
+    rows = rows.select(
         "doc", "version", F.explode(F.when(F.col("first") == place, own).otherwise(later)).alias("run")
     )
     found = rows.groupBy("doc", "version").agg(F.collect_set("run").alias("windows"))
     found = keep(found, "repeated-windows")
-    discard(docs.sparkSession, places, firsts, hot, units, gone)
+    discard(docs.sparkSession, repeated, places, firsts, hot, units, gone, judged)
     return found
 
 
