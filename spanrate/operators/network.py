@@ -37,25 +37,37 @@ SPARK_TYPES = {
 }
 
 
-def _spark_type(field: FieldSpec) -> str:
+def spark_type(field: FieldSpec) -> str:
     return SPARK_TYPES[field.type.lower().split("(")[0]]
 
 
 def check_columns(df: DataFrame, spec: Sequence[FieldSpec], label: str = "table") -> DataFrame:
     """Fail unless the columns are those of the specification; optional ones may be absent."""
-    observed = sorted(c for c in df.columns if c != SITE_FILE)
+    check_names([c for c in df.columns if c != SITE_FILE], spec, label)
+    return df
+
+
+def check_names(names: Sequence[str], spec: Sequence[FieldSpec], label: str) -> None:
+    observed = sorted(names)
     expected = sorted(f.name for f in spec if not f.optional or f.name in observed)
     if observed != expected:
         raise ColumnMismatch(
             f"columns of {label} are {', '.join(observed)}; expected {', '.join(expected)}"
         )
-    return df
+
+
+def all_fields(df: DataFrame, spec: Sequence[FieldSpec]) -> DataFrame:
+    """Exactly the specified columns, NULL where ``df`` has none."""
+    have = set(df.columns)
+    return df.select(
+        *[F.col(f.name) if f.name in have else F.lit(None).cast(spark_type(f)).alias(f.name) for f in spec]
+    )
 
 
 def coerce_types(df: DataFrame, spec: Sequence[FieldSpec]) -> DataFrame:
     """Convert every field to its specified type; a value that does not convert is NULL."""
     casts = {
-        f.name: F.col(f.name).try_cast(_spark_type(f)) for f in spec if f.name in df.columns
+        f.name: F.col(f.name).try_cast(spark_type(f)) for f in spec if f.name in df.columns
     }
     return df.withColumns(casts)
 
@@ -64,7 +76,7 @@ def coercion_failures(df: DataFrame, spec: Sequence[FieldSpec]) -> DataFrame:
     """Per field, how many values would not convert."""
     names = [f.name for f in spec if f.name in df.columns]
     failed = [
-        F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(_spark_type(f)).isNull()).alias(
+        F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(spark_type(f)).isNull()).alias(
             f.name
         )
         for f in spec
@@ -136,8 +148,8 @@ def merge_sites(files: Iterable[tuple[str, DataFrame]], spec: Sequence[FieldSpec
 def fill_key_nulls(df: DataFrame, spec: Sequence[FieldSpec]) -> DataFrame:
     """Empty text and zero for NULLs in fields that may not be missing."""
     strict = [f for f in spec if not f.empty_is_na and f.name in df.columns]
-    text = {f.name: "" for f in strict if _spark_type(f) == "string"}
-    number = {f.name: 0 for f in strict if _spark_type(f) in ("long", "double", "int")}
+    text = {f.name: "" for f in strict if spark_type(f) == "string"}
+    number = {f.name: 0 for f in strict if spark_type(f) in ("long", "double", "int")}
     filled = {**text, **number}
     return df.fillna(filled) if filled else df
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import json
+from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
 
@@ -27,12 +28,29 @@ from ..specs import (
     TarSpec,
     Window,
 )
+from .durable import read_text
 
 
 def read_settings(path: str | Path) -> list[dict[str, str | None]]:
     """Rows of a settings CSV, by column name; empty fields are None."""
     with open(path, newline="", encoding="utf-8") as f:
-        return [{k: (v or None) for k, v in row.items()} for row in csv.DictReader(f)]
+        return parse_settings(f)
+
+
+def parse_settings(lines: Iterable[str]) -> list[dict[str, str | None]]:
+    return [{k: (v or None) for k, v in row.items()} for row in csv.DictReader(lines)]
+
+
+def settings_text(spark: SparkSession, path: str) -> str:
+    """A settings file in any file system that Spark reads."""
+    text = read_text(spark, path)
+    if text is None:
+        raise FileNotFoundError(path)
+    return text
+
+
+def settings_rows(spark: SparkSession, path: str) -> list[dict[str, str | None]]:
+    return parse_settings(settings_text(spark, path).splitlines())
 
 
 def read_settings_frame(spark: SparkSession, path: str, ddl: str) -> DataFrame:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.network import (
     SITE_FILE,
+    ColumnMismatch,
     FieldSpec,
+    all_fields,
     check_columns,
+    check_names,
     coerce_types,
     drop_duplicate_keys,
     fill_key_nulls,
@@ -18,10 +22,11 @@ from ..operators.network import (
     primary_key,
     split_conflicts,
 )
+from ..operators.ledger import keyed_replace
 from ..schemas import COHORT_DDL, IR_SUMMARY_DDL, conform, rename_all, snake_case, struct_type
-from .durable import exists, swap_table
+from .durable import exists, settle_table, swap_table
+from .record_files import SITE_LINE, csv_files, record_files
 
-SITE_LINE = "site_line"
 COHORT_PARTITION = "cohort_definition_id"
 
 
@@ -89,6 +94,7 @@ def write_summary(df: DataFrame, path: str) -> None:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     """The tasks that earlier runs recorded, or None before the first."""
+    settle_table(spark, path)
     return spark.read.parquet(path) if exists(spark, path) else None
 
 
@@ -97,46 +103,44 @@ def write_csv(df: DataFrame, path: str) -> None:
     rename_all(df, snake_case).write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table of ``write_csv`` back under the names and types it had."""
+    stored = T.StructType([T.StructField(snake_case(f.name), f.dataType) for f in schema])
+    return spark.read.option("header", True).schema(stored).csv(path).toDF(*schema.names)
+
+
+def save_incremental(df: DataFrame, path: str, key: Sequence[str]) -> None:
+    """Put the rows of ``df`` in place of those of the same key in an exported CSV table.
+
+    The new table is complete before the old one goes, and the same call again changes nothing.
+    """
+    spark = df.sparkSession
+    settle_table(spark, path)
+    before = read_csv(spark, path, df.schema) if exists(spark, path) else None
+    swap_table(df if before is None else keyed_replace(before, df, key), path, write_csv)
+
+
 def read_site_files(
     spark: SparkSession, pattern: str, spec: Sequence[FieldSpec]
 ) -> DataFrame:
-    """All sites' CSV files of one table, every field as text, with file and line number.
+    """All sites' CSV files of one table, every field as text, with file and record number.
 
     Types are the specification's business (``coerce_types``), so nothing is guessed.  Each
-    file's own header decides its columns; optional columns a file lacks are NULL.  Files with
-    equal headers are read by one scan, so there is a scan per layout, not per file.
+    file's own header decides its columns; optional columns a file lacks are NULL.  A file is
+    one partition of a ``RecordFiles`` scan, which keeps quoted line breaks.
     """
-    lines = (
-        spark.read.option("pathGlobFilter", "*.csv")
-        .text(pattern)
-        .select("value", F.col("_metadata.file_path").alias("path"), _position().alias("at"))
-    )
-    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
-    layouts = first.groupBy("header").agg(F.min("path").alias("example")).orderBy("header").collect()
-    if not layouts:
+    files = csv_files(spark, pattern)
+    if not files:
         raise FileNotFoundError(pattern)
-    merged = None
+    headers = record_files(spark, files, [], headers=True)
+    layouts = headers.groupBy("header").agg(F.min("path").alias("example")).orderBy("example").collect()
+    names: list[str] = []
     for header, example in layouts:
-        parsed = spark.read.option("header", True).csv(example)
-        check_columns(parsed, spec, example)
-        ddl = ", ".join(f"`{c}` STRING" for c in parsed.columns)
-        own = lines.join(first.where(F.col("header") == header).select("path"), "path")
-        start = own.groupBy("path").agg(F.min("at").alias("start"))
-        own = own.join(start, "path").where(F.col("at") > F.col("start"))
-        row = F.from_csv("value", ddl).alias("row")
-        frame = own.select(row, F.col("path").alias(SITE_FILE), F.col("at").alias(SITE_LINE))
-        frame = frame.select("row.*", SITE_FILE, SITE_LINE)
-        merged = (
-            frame if merged is None else merged.unionByName(frame, allowMissingColumns=True)
-        )
-    return merged
-
-
-def _position() -> Column:
-    """Order of a line in its file: the block it is in, then the row within the scan task."""
-    return F.struct(
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
-    )
+        check_names(header, spec, example)
+        names += [c for c in header if c not in names]
+    rows = record_files(spark, files, names)
+    first = layouts[0].header if layouts else []
+    return rows.select(*first, SITE_FILE, SITE_LINE, *[c for c in names if c not in first])
 
 
 def merge_site_files(
@@ -153,21 +157,25 @@ def merge_site_files(
 def append_results(
     new: DataFrame, path: str, spec: Sequence[FieldSpec], overwrite: bool | None = None
 ) -> None:
-    """Add rows to a result table; keys both sides have are settled by ``split_conflicts``.
+    """Add rows to a plain result table; keys both sides have are settled by ``split_conflicts``.
 
     Old rows that must give way make a rewrite necessary, after which the tables are swapped;
-    otherwise this appends.  ``replace_site`` rewrites only the partitions of its databases.
+    otherwise this appends.  All columns of the specification are kept, those that one side
+    lacks as NULL; a stored column outside the specification is an error.  ``append_keyed`` does
+    the same for tables laid out by key, of which it rewrites only what changes.
     """
     spark = new.sparkSession
     key = primary_key(spec)
     rows = fill_key_nulls(coerce_types(check_columns(new, spec), spec), spec)
     order = [c for c in (SITE_FILE, SITE_LINE) if c in new.columns]
-    rows = drop_duplicate_keys(rows, key, order)
-    names = [f.name for f in spec if f.name in rows.columns]
-    existing = spark.read.parquet(path).select(*names)
-    kept, added = split_conflicts(existing, rows.select(*names), key, overwrite)
+    rows = all_fields(drop_duplicate_keys(rows, key, order), spec)
+    settle_table(spark, path)
+    existing = spark.read.parquet(path)
+    if unknown := sorted(set(existing.columns) - {f.name for f in spec}):
+        raise ColumnMismatch(f"{path} holds columns outside the specification: {', '.join(unknown)}")
+    kept, added = split_conflicts(all_fields(existing, spec), rows, key, overwrite)
     replaces = "database_id" in key if overwrite is None else overwrite
-    if replaces:
+    if replaces or len(existing.columns) < len(spec):  # files of fewer columns would hide the new ones
         swap_table(kept.unionByName(added), path)
     else:
         added.write.mode("append").parquet(path)

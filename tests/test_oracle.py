@@ -18,14 +18,14 @@ from spanrate.operators import cohort, events, incidence
 from spanrate.operators.events import with_codes
 from spanrate.plans import study
 from spanrate.sources import durable as durable_module
-from workload import cohort_queries, incidence_queries, report_queries
+from workload import cohort_queries, incidence_queries, report_queries, site_queries
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 WRITERS = (cohort, events, incidence, study, cohort_queries, incidence_queries)
 
 
 def own_queries():
-    modules = (cohort_queries, incidence_queries, report_queries)
+    modules = (cohort_queries, incidence_queries, report_queries, site_queries)
     return {name: query for m in modules for name, query in m.queries().items()}
 
 
@@ -64,7 +64,7 @@ def plans():
                 kept[key] = build(spark, sf_dir, settings)
             return kept[key]
 
-        for module in (incidence_queries, report_queries):
+        for module in (incidence_queries, report_queries, site_queries):
             patch.setattr(module, "summary_by_site", by_site)
         yield seen
 

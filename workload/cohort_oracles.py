@@ -220,6 +220,8 @@ def visited(events: str) -> str:
 
 
 VISIT_INDEX = having(f"({index_of(C2)})", VISITS, DURING, "n >= 1")
+HALF_YEAR_INDEX = having(f"({index_of(C3)})", VISITS, DURING, "n >= 1")
+HALF_YEAR_COHORT = having(HALF_YEAR_INDEX, visited(C3), between(-183, -1, False), "n = 0")
 VISIT_COHORT = having(VISIT_INDEX, visited(C2), between(-365, -1, False), "n = 0")
 
 
@@ -230,9 +232,8 @@ def first_day(days: str) -> str:
     )
 
 
-def infection(confirmed: bool) -> dict[str, str]:
+def infection(when: str, confirmed: bool = False) -> dict[str, str]:
     tests = 13 if confirmed else 11
-    when = "s BETWEEN DATE '1996-06-30' AND DATE '2000-06-30'" if confirmed else "s > DATE '1996-06-30'"
     positive = coded("meas", tests, "value_as_concept_id IN (1)")
     negative = coded("meas", tests, "value_as_concept_id IN (3)")
     entry_test = coded("meas", tests, f"value_as_concept_id IN (1) AND {when}")
@@ -387,9 +388,15 @@ def oracles() -> dict[str, str]:
             "SELECT CAST(301 AS BIGINT) AS cohort_definition_id, COUNT(*) AS base_count,"
             " COUNT(*) FILTER (WHERE met0 AND met1 AND met2) AS final_count FROM best"
         ),
-        "inclusion_of_nothing": "SELECT CAST(301 AS BIGINT) AS cohort_definition_id,"
-        " CAST(n AS INTEGER) AS rule_sequence, CAST(0 AS BIGINT) AS person_count,"
-        " CAST(0 AS BIGINT) AS gain_count, CAST(0 AS BIGINT) AS person_total FROM range(3) r(n)",
+        "inclusion_with_empty_cohort": ruled_sql(
+            " UNION ALL ".join(
+                f"SELECT CAST(301 AS BIGINT) AS cohort_definition_id, CAST({n} AS INTEGER) AS rule_sequence,"
+                f" COUNT(*) FILTER (WHERE met{n}) AS person_count,"
+                f" COUNT(*) FILTER (WHERE mask = {7 - 2**n}) AS gain_count, COUNT(*) AS person_total FROM masked"
+                f" UNION ALL SELECT 302, {n}, 0, 0, 0"
+                for n in range(3)
+            )
+        ),
         "best_event": ruled_sql(
             "SELECT person_id, id AS event_id, s AS start_date, mask AS rule_mask FROM best"
         ),
@@ -407,8 +414,12 @@ def oracles() -> dict[str, str]:
         ),
         "cohort_clean_windows": built(OUTCOME_PARTS),
         "cohort_visit_condition": built([(205, VISIT_COHORT, 1)]),
-        "cohort_earliest_event": built([(103, "chosen", 3)], infection(False)),
-        "cohort_earliest_confirmed": built([(104, "chosen", 3)], infection(True)),
+        "cohort_earliest_event": built([(103, "chosen", 3)], infection("s > DATE '1996-06-30'")),
+        "cohort_earliest_in_period": built(
+            [(105, "chosen", 3)], infection("s BETWEEN DATE '1997-03-01' AND DATE '1999-09-30'")
+        ),
+        "cohort_visit_half_year": built([(207, HALF_YEAR_COHORT, 1)]),
+        "cohort_earliest_confirmed": built([(104, "chosen", 3)], infection("s BETWEEN DATE '1996-06-30' AND DATE '2000-06-30'", True)),
         "cohort_calendar_days": built([(102, CALENDAR, 0)]),
         "cohort_low_value": built([(206, "chosen", 1)], low_value()),
         "cohort_union": built(STUDY_PARTS),
@@ -428,7 +439,9 @@ FROM grid g LEFT JOIN (
     names = [
         "clean_windows",
         "visit_condition",
+        "visit_half_year",
         "earliest_event",
+        "earliest_in_period",
         "earliest_confirmed",
         "calendar_days",
         "low_value",

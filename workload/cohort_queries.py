@@ -129,11 +129,12 @@ def inclusion_summary_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.inclusion_summary(best, len(D.RULES), [D.RULED.cohort_id])
 
 
-def inclusion_of_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cohort that no event enters still has a row for each rule, all zero."""
-    spec, batch = batch_for(spark, sf_dir, D.RULED)
-    none = C.events_with_mask(batch, spec).where(F.col("person_id").isNull())
-    return C.inclusion_stats(none, len(D.RULES), [D.RULED.cohort_id])
+def inclusion_with_empty_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two cohorts under the same rules; the one no event enters has its rows too, all zero."""
+    specs = [D.RULED, D.RULED_EMPTY]
+    events = [C.events_with_mask(b, s) for s, b in C.batches(clinical(spark, sf_dir), specs)]
+    both = events[0] if len(events) == 1 else events[0].unionByName(events[1])
+    return C.inclusion_stats(both, len(D.RULES), [s.cohort_id for s in specs])
 
 
 def json_query(*specs: CohortSpec) -> Query:
@@ -259,7 +260,7 @@ def queries() -> dict[str, Query]:
         "inclusion_summary": inclusion_summary,
         "inclusion_result_person": inclusion_result_person,
         "inclusion_summary_person": inclusion_summary_person,
-        "inclusion_of_nothing": inclusion_of_nothing,
+        "inclusion_with_empty_cohort": inclusion_with_empty_cohort,
         "best_event": best_event,
         "best_event_gain": best_event_gain,
         "cohort_exit": cohort_exit,
@@ -267,6 +268,8 @@ def queries() -> dict[str, Query]:
         "cohort_era_collapse": era_collapse,
         "cohort_clean_windows": cohort_query(*D.OUTCOMES),
         "cohort_visit_condition": cohort_query(D.VISIT_OUTCOME),
+        "cohort_visit_half_year": cohort_query(D.VISIT_OUTCOME_HALF_YEAR),
+        "cohort_earliest_in_period": cohort_query(D.INFECTION_IN_PERIOD),
         "cohort_earliest_event": cohort_query(D.INFECTION),
         "cohort_earliest_confirmed": cohort_query(D.CONFIRMED),
         "cohort_calendar_days": cohort_query(D.TARGET_CALENDAR),
@@ -274,6 +277,8 @@ def queries() -> dict[str, Query]:
         "cohort_union": cohort_union,
         "json_clean_windows": json_query(*D.OUTCOMES),
         "json_visit_condition": json_query(D.VISIT_OUTCOME),
+        "json_visit_half_year": json_query(D.VISIT_OUTCOME_HALF_YEAR),
+        "json_earliest_in_period": json_query(D.INFECTION_IN_PERIOD),
         "json_earliest_event": json_query(D.INFECTION),
         "json_earliest_confirmed": json_query(D.CONFIRMED),
         "json_calendar_days": json_query(D.TARGET_CALENDAR),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from spanrate.operators.incidence import Settings
 from spanrate.operators.subgroups import subgroup_specs
 from spanrate.plans.recipes import (
@@ -99,6 +101,8 @@ RULED = CohortSpec(
     rules=RULES,
     exit_offset=5,
 )
+#: The same rules for a cohort whose codes occur nowhere.
+RULED_EMPTY = replace(RULED, cohort_id=302, concept_sets=(ConceptSet(1, priority(77)), *SETS[1:2], ConceptSet(3, priority(78)), *SETS[3:]))
 
 CALENDAR = ("1997-01-01", "1998-01-01", "1999-01-01")
 TARGET_EVENTS = CohortSpec(
@@ -113,6 +117,7 @@ OUTCOMES = (
 )
 INPATIENT = concepts(9201, 262, descendants=False)
 VISIT_OUTCOME = clean_condition_during_visit(205, "Visited", priority(2), INPATIENT, 365)
+VISIT_OUTCOME_HALF_YEAR = clean_condition_during_visit(207, "Visited, 183 days", priority(3), INPATIENT, 183)
 POSITIVE, NEGATIVE = (1,), (3,)
 INFECTION = earliest_infection(
     103,
@@ -133,6 +138,15 @@ CONFIRMED = earliest_infection(
     Comparison("bt", "1996-06-30", "2000-06-30"),
     confirmed=True,
 )
+INFECTION_IN_PERIOD = earliest_infection(
+    105,
+    "Earliest in a period",
+    BRANDS_A,
+    priority(1),
+    POSITIVE,
+    NEGATIVE,
+    Comparison("bt", "1997-03-01", "1999-09-30"),
+)
 LOW_VALUE = condition_with_low_value(
     206,
     "Two part",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +16,6 @@ from spanrate.operators import statistics as S
 from spanrate.operators.incidence import CELL, Settings, outcome_frame
 from spanrate.plans import network_report as NR
 from spanrate.schemas import literal_frame
-from spanrate.sources.durable import work_dir
-from spanrate.sources.tables import append_results, merge_site_files
 from spanrate.specs import Analysis
 
 from . import definitions as D
@@ -169,44 +166,6 @@ def key_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-APPEND_SPEC = [
-    N.FieldSpec("o_custkey", "bigint", primary_key=True),
-    N.FieldSpec("o_orderpriority", "varchar(20)", primary_key=True),
-    N.FieldSpec("o_orderstatus", "varchar(1)"),
-    N.FieldSpec("n", "bigint"),
-]
-
-
-def appended(overwrite: bool) -> Query:
-    """Open orders per customer and priority added to a table of the finished ones."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        counts = table(spark, sf_dir, "orders").groupBy(
-            "o_custkey", "o_orderpriority", "o_orderstatus"
-        ).agg(F.count("*").alias("n"))
-        path = f"{work_dir(spark)}/results-{uuid.uuid4().hex}"
-        counts.where("o_orderstatus = 'F'").write.parquet(path)
-        append_results(counts.where("o_orderstatus = 'O'"), path, APPEND_SPEC, overwrite)
-        return spark.read.parquet(path)
-
-    return run
-
-
-def file_first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One CSV file per order status; the first file, and in it the first line, of a key wins."""
-    folder = f"{work_dir(spark)}/files-{uuid.uuid4().hex}"
-    rows = table(spark, sf_dir, "orders").select(
-        "o_custkey", "o_orderpriority", "o_orderstatus", F.col("o_orderkey").alias("n")
-    )
-    for status in ("F", "O", "P"):
-        # One sorted file: the order of its lines is the subject of the query.
-        part = rows.where(F.col("o_orderstatus") == status).orderBy(F.desc("n")).coalesce(1)
-        part.write.option("header", True).csv(f"{folder}/{status}")
-    return merge_site_files(spark, f"{folder}/*", APPEND_SPEC, unique=True).select(
-        "o_custkey", "o_orderpriority", "o_orderstatus", "n"
-    )
-
-
 # Censoring and labels.
 
 
@@ -486,9 +445,6 @@ def queries() -> dict[str, Query]:
         "fill_key_nulls": fill_key_nulls,
         "row_to_json": row_to_json,
         "append_new_rows": append_new_rows,
-        "append_results_replace": appended(True),
-        "append_results_keep": appended(False),
-        "file_first_row": file_first_row,
         "key_conflicts": key_conflicts,
         "censor_matrix_unpivot": censor_matrix,
         "censor_apply": censor_apply,
