@@ -170,7 +170,7 @@ def counted(
         )
     for i, test in boxes.items():
         mine, candidates = of({i: test})
-        window = test.window
+        window = test.end_window
         bounded = isinstance(window.start, int) and isinstance(window.end, int)
         results.append(
             count_in_boxes(
@@ -182,7 +182,7 @@ def counted(
                 "end_date",
                 _bounds(test),
                 _end_bounds(test),
-                max(32, window.end - window.start + 1) if bounded else 36525,
+                max(1, window.end - window.start + 1) if bounded else None,
                 "n",
             )
         )

@@ -8,6 +8,7 @@ tasks; what reaches a window afterwards is bounded by the calendar and not by th
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import FIRST_DAY, LAST_DAY, slot_of, slots_of
 
 SLOT_DAYS = 366
+CALENDAR_DAYS = (date.fromisoformat(LAST_DAY) - date.fromisoformat(FIRST_DAY)).days + 1
 
 
 def interval_union(
@@ -176,6 +178,23 @@ def latest_end_before(
     )
 
 
+def _dyadic_nodes(levels: int) -> Column:
+    """(level, node) of the fewest dyadic stretches of days that make up ``_from <= day < _to``.
+
+    A node n of level k stands for the days n * 2^k to (n + 1) * 2^k - 1.  Per level at most one
+    node at either end is left over for it; the top level takes what lies between.
+    """
+    up = "shiftright(_from + shiftleft(1, k) - 1, k)"
+    down = "shiftright(_to, k)"
+    ends = (
+        f"filter(array(IF({up} & 1 = 1, {up}, NULL), IF({down} & 1 = 1, {down} - 1, NULL)), n -> n IS NOT NULL)"
+    )
+    whole = f"sequence({up}, {down} - 1)"
+    nodes = f"IF({up} >= {down}, array(), IF(k = {levels}, {whole}, array_distinct({ends})))"
+    per_level = f"transform({nodes}, n -> struct(k AS level, n AS node))"
+    return F.expr(f"flatten(transform(sequence(0, {levels}), k -> {per_level}))")
+
+
 def count_in_boxes(
     anchors: DataFrame,
     events: DataFrame,
@@ -185,34 +204,56 @@ def count_in_boxes(
     end: str,
     start_window: tuple[Column, Column],
     end_window: tuple[Column, Column],
-    width: int = 36525,
+    end_days: int | None = None,
     weight: str | None = None,
 ) -> DataFrame:
     """Per anchor (distinct rows), events whose start lies in one window and whose end in another.
 
-    Both sides are reduced to distinct days with a count before they meet.
+    Two-dimensional counting without pairs: a window of end days is a few dyadic stretches of the
+    calendar, an event's end day lies in one stretch per level, and within a stretch the events of
+    a window of start days are a difference of running totals (``count_in_windows``).  Rows grow by
+    the number of levels, and the levels of one key are sorted apart, so that they spread over tasks.
+    ``end_days`` states the longest window of end days if all are closed: fewer levels are needed.
     """
     keys, anchor_columns = list(keys), list(anchor_columns)
-    first, last = F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")
     number = F.sum(weight) if weight else F.count("*")
     totals = events.groupBy(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).agg(
         number.alias("_n")
     )
-    boxes = (
-        anchors.select(*keys, *anchor_columns)
-        .withColumn("_s_low", F.coalesce(start_window[0], first))
-        .withColumn("_s_high", F.coalesce(start_window[1], last))
-        .withColumn("_e_low", F.coalesce(end_window[0], first))
-        .withColumn("_e_high", F.coalesce(end_window[1], last))
-    )
-    hits = (
-        match_points(totals, boxes, keys, "_s", "_s_low", "_s_high", width)
-        .where(F.col("_e").between(F.col("_e_low"), F.col("_e_high")))
-        .groupBy(*keys, *anchor_columns)
-        .agg(F.sum("_n").alias("n_events"))
+    levels = (end_days or CALENDAR_DAYS).bit_length()
+    day = lambda c: F.date_diff(c, F.lit(FIRST_DAY).cast("date"))
+    first, last = (F.lit(d).cast("date") for d in (FIRST_DAY, LAST_DAY))
+    placed = totals.where(F.col("_e").between(first, last)).withColumn("_day", day(F.col("_e")))
+    placed = placed.select(
+        *keys,
+        "_s",
+        "_n",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(levels)),
+                lambda k: F.struct(k.alias("level"), F.call_function("shiftright", "_day", k).alias("node")),
+            )
+        ).alias("_node"),
     )
-    return (
-        boxes.select(*keys, *anchor_columns)
-        .join(hits, [*keys, *anchor_columns], "left")
-        .withColumn("n_events", F.coalesce("n_events", F.lit(0)))
+    boxes = anchors.select(*keys, *anchor_columns).distinct()
+    asked = boxes.withColumns(
+        {
+            "_s_low": start_window[0],
+            "_s_high": start_window[1],
+            "_from": day(F.greatest(F.coalesce(end_window[0], first), first)),
+            "_to": day(F.least(F.coalesce(end_window[1], last), last)) + 1,
+        }
+    ).withColumn("_node", F.explode(_dyadic_nodes(levels)))
+    found = count_in_windows(
+        asked,
+        placed,
+        [*keys, "_node"],
+        anchor_columns,
+        "_s",
+        F.col("_s_low"),
+        F.col("_s_high"),
+        "_n",
     )
+    none = boxes.withColumn("n_events", F.lit(0).cast("long"))
+    both = found.select(*keys, *anchor_columns, "n_events").unionByName(none)
+    return both.groupBy(*keys, *anchor_columns).agg(F.sum("n_events").alias("n_events"))

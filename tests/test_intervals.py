@@ -180,3 +180,49 @@ def test_latest_end_and_boxes_equal_brute_force(spark):
     )
     for _, at, n in plain(boxes):
         assert n == sum(at - 10 <= s <= at + 10 and x >= at + 5 for _, s, x in events)
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_boxes_of_any_width_equal_brute_force(spark, closed):
+    events = [(k, *s) for k in (1, 2) for s in random_spans(k, 80, 200, 150)] + [(1, 5, 5)] * 4
+    anchors = [(k, d) for k in (1, 2, 3) for d in range(1, 200, 9)]
+    a = frame(spark, anchors, "k long, at date").withColumn("own", F.lit(7))
+    e = frame(spark, events, SPAN).withColumn("n", F.lit(2))
+    for low, high in ((-30, 1), (0, 0), (3, 40), (5, 2)):
+        bound = F.date_add("at", high) if closed else F.lit(None).cast("date")
+        found = count_in_boxes(
+            a,
+            e,
+            ["k"],
+            ["at", "own"],
+            "start_date",
+            "end_date",
+            (F.lit(None).cast("date"), F.date_add("at", 3)),
+            (F.date_add("at", low), bound),
+            max(1, high - low + 1) if closed else None,
+            "n",
+        )
+        rows = plain(found, "k", "at", "n_events")
+        assert len(rows) == len(anchors)
+        for k, at, n in rows:
+            own = [(s, x) for key, s, x in events if key == k]
+            assert n == 2 * sum(s <= at + 3 and at + low <= x and (not closed or x <= at + high) for s, x in own)
+
+
+def test_a_person_with_very_many_days_is_counted_without_pairs(spark):
+    """100,000 events with 20,000 index days in one key: rows grow by levels, not by pairs."""
+    events = spark.range(100_000).selectExpr(
+        "1L AS k", "date_add(DATE '1900-01-01', CAST(id % 36525 AS INT)) AS start_date",
+        "date_add(DATE '1900-01-01', CAST(id % 36525 + id % 97 AS INT)) AS end_date",
+    )
+    anchors = spark.range(20_000).selectExpr("1L AS k", "date_add(DATE '1900-01-01', CAST(id AS INT)) AS at")
+    windows = (F.date_add("at", -3000), F.date_add("at", 3000)), (F.date_add("at", -2500), F.date_add("at", 2900))
+    found = count_in_boxes(anchors, events, ["k"], ["at"], "start_date", "end_date", *windows, 5401)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    day = lambda c: f"datediff({c}, DATE '1900-01-01')"
+    for at in (5000, 17_654):
+        expected = events.where(
+            f"abs({day('start_date')} - {at}) <= 3000 AND {day('end_date')} BETWEEN {at - 2500} AND {at + 2900}"
+        ).count()
+        assert found.where(f"{day('at')} = {at}").collect()[0].n_events == expected
