@@ -53,6 +53,55 @@ class Settings:
         )
 
 
+#: Analyses that one build can serve: the bits of a long, without its sign.
+SHARED_ANALYSES = 63
+
+
+class Membership:
+    """Which of several analyses a row serves, as bits of a long.
+
+    An analysis is a product of target, window, subgroup and outcome lists, so the bits of a row are
+    the common bits of its ids, looked up in literals.  Subgroup 0, everybody, serves all.
+    """
+
+    def __init__(self, analyses: Sequence[Analysis]):
+        if not 0 < len(analyses) <= SHARED_ANALYSES:
+            raise ValueError(f"one build serves 1 to {SHARED_ANALYSES} analyses, not {len(analyses)}")
+        self.n = len(analyses)
+        lists = {
+            "target_cohort_definition_id": [a.target_ids for a in analyses],
+            "time_at_risk_id": [a.time_at_risk_ids for a in analyses],
+            "subgroup_cohort_definition_id": [(0, *a.subgroup_ids) for a in analyses],
+            "outcome_id": [a.outcome_ids for a in analyses],
+        }
+        self.bits: dict[str, dict[int, int]] = {}
+        for column, of_each in lists.items():
+            found = self.bits.setdefault(column, {})
+            for at, ids in enumerate(of_each):
+                for i in set(ids):
+                    found[i] = found.get(i, 0) | 1 << at
+
+    def of(self, *columns: str) -> Column:
+        common = F.lit((1 << self.n) - 1).cast("long")
+        for column in columns:
+            pairs = [F.lit(x).cast("long") for pair in sorted(self.bits[column].items()) for x in pair]
+            own = F.try_element_at(F.create_map(*pairs), F.col(column).cast("long"))
+            common = common.bitwiseAND(F.coalesce(own, F.lit(0).cast("long")))
+        return common
+
+    def used(self, df: DataFrame, *columns: str) -> DataFrame:
+        """Rows that some analysis needs."""
+        return df.where(self.of(*columns) != 0)
+
+    def dealt(self, cells: DataFrame) -> DataFrame:
+        """Every cell once per analysis that reports it."""
+        served = F.filter(
+            F.sequence(F.lit(0), F.lit(self.n - 1)),
+            lambda i: F.getbit(self.of(*self.bits), i) == 1,
+        )
+        return cells.withColumn("_analysis", F.explode(served)).drop("_analysis")
+
+
 # Settings as rows.  They are driver-side lists, so their size is known.
 
 
@@ -212,7 +261,9 @@ def excluded_periods(cohorts: DataFrame, outcomes: Sequence[OutcomeSpec]) -> Dat
     return clean.unionByName(named)
 
 
-def excluded_at_risk(excluded: DataFrame, eras: DataFrame) -> DataFrame:
+def excluded_at_risk(
+    excluded: DataFrame, eras: DataFrame, membership: Membership | None = None
+) -> DataFrame:
     """Excluded periods cut to the at-risk eras and merged per person and outcome."""
     distinct = excluded.distinct()
     cut = interval_intersect(
@@ -222,6 +273,7 @@ def excluded_at_risk(excluded: DataFrame, eras: DataFrame) -> DataFrame:
         ("start_date", "end_date"),
         ("era_start", "era_end"),
     )
+    cut = membership.used(cut, *DESIGN, "outcome_id") if membership else cut
     return interval_union(cut, [*PERSON, "outcome_id"])
 
 
@@ -420,6 +472,8 @@ class Study:
     """The person-level frames of one analysis, each composed when first asked for.
 
     ``sites`` (subject_id, database_name) runs the analysis of all databases at once.
+    ``analyses`` builds several at once: ``settings`` is then what they choose from, every frame
+    holds what any of them needs, and the summary has each analysis' cells.
     ``keep`` writes the frames that several measures read to the shared folder.
     """
 
@@ -433,6 +487,7 @@ class Study:
         database_name: str = "",
         sites: DataFrame | None = None,
         keep: bool = True,
+        analyses: Sequence[Analysis] | None = None,
     ):
         self.observation_period = observation_period
         self.targets = targets
@@ -441,13 +496,18 @@ class Study:
         self.settings = settings
         self.database_name = database_name
         self.sites = sites
+        self.membership = Membership(analyses) if analyses else None
         self._hold = durable if keep else (lambda df: df)
 
+    def _used(self, df: DataFrame, *columns: str) -> DataFrame:
+        return self.membership.used(df, *columns) if self.membership else df
+
     @cached_property
     def windows(self) -> DataFrame:
         ids = [t.target_cohort_definition_id for t in self.settings.targets]
         chosen = self.targets.where(F.col("cohort_definition_id").isin(*ids))
-        return time_at_risk(chosen, self.observation_period, self.settings.tars)
+        windows = time_at_risk(chosen, self.observation_period, self.settings.tars)
+        return self._used(windows, *DESIGN)
 
     @cached_property
     def eras(self) -> DataFrame:
@@ -457,7 +517,7 @@ class Study:
     def tagged(self) -> DataFrame:
         ids = [s.subgroup_cohort_definition_id for s in self.settings.subgroups]
         chosen = self.subgroups.where(F.col("cohort_definition_id").isin(*ids))
-        return in_subgroups(self.eras, chosen)
+        return self._used(in_subgroups(self.eras, chosen), *DESIGN, "subgroup_cohort_definition_id")
 
     @cached_property
     def days(self) -> DataFrame:
@@ -466,7 +526,7 @@ class Study:
     @cached_property
     def excluded(self) -> DataFrame:
         periods = excluded_periods(self.outcomes, self.settings.outcomes)
-        return self._hold(excluded_at_risk(periods, self.eras))
+        return self._hold(excluded_at_risk(periods, self.eras, self.membership))
 
     @cached_property
     def within(self) -> DataFrame:
@@ -479,11 +539,11 @@ class Study:
     @cached_property
     def per_outcome(self) -> DataFrame:
         measures = [
-            era_outcomes(self.eras, self.days),
+            self._used(era_outcomes(self.eras, self.days), *DESIGN, "outcome_id"),
             era_excluded_days(self.within),
             era_excluded_outcomes(self.within, self.days),
         ]
-        return self._hold(person_outcomes(self.tagged, measures))
+        return self._hold(self._used(person_outcomes(self.tagged, measures), *CELL[1:]))
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -495,13 +555,14 @@ class Study:
             databases = one.select(F.lit(self.database_name).alias("database_name"))
         else:
             databases = self.sites.select("database_name").distinct()
-        return reference_cube(databases, self.settings)
+        return self._used(reference_cube(databases, self.settings), *CELL[1:])
 
     def summary(self, exact_years: bool = False) -> DataFrame:
         at_risk = at_risk_cells(self.per_person)
-        return summary(self.cube(), at_risk, self.cells, exact_years)
+        cells = summary(self.cube(), at_risk, self.cells, exact_years)
+        return self.membership.dealt(cells) if self.membership else cells
 
 
 def incidence(*args, **kwargs) -> DataFrame:
-    """The incidence summary of one analysis, one row per cell of the reference cube."""
+    """The incidence summary, one row per cell of the reference cube of each analysis."""
     return Study(*args, **kwargs).summary()

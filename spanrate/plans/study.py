@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cohort import build_cohorts
 from ..operators.disclosure import MIN_CELL_COUNT, min_cell
-from ..operators.incidence import Settings, incidence
+from ..operators.incidence import SHARED_ANALYSES, Settings, incidence
 from ..operators.ledger import check_ledger, record_tasks, required_tasks
 from ..operators.subgroups import age_sex_subgroups, subgroup_specs
 from ..schemas import literal_frame
@@ -79,7 +79,10 @@ def incidence_of_analyses(
     database_name: str = "",
     sites: DataFrame | None = None,
 ) -> DataFrame:
-    """The summaries of all analyses, one after the other as in a results table."""
+    """The summaries of all analyses as in a results table: a cell that two report is there twice.
+
+    They are built at once (``Study``), so that a further analysis costs its own cells only.
+    """
     for analysis in analyses:
         missing = [
             n
@@ -90,20 +93,32 @@ def incidence_of_analyses(
         ]
         if missing:
             raise ValueError(f"analysis {analysis.name!r}: {'; '.join(missing)}")
-    frames = [
-        durable(
-            incidence(
-                cdm.observation_period,
-                targets,
-                outcomes,
-                subgroups,
-                settings.chosen_by(a),
-                database_name,
-                sites,
+    shared = [
+        list(analyses[i : i + SHARED_ANALYSES]) for i in range(0, len(analyses), SHARED_ANALYSES)
+    ]
+    frames = []
+    for some in shared:
+        merged = Analysis(
+            "all",
+            *(
+                tuple(dict.fromkeys(i for a in some for i in getattr(a, ids)))
+                for ids in ("target_ids", "subgroup_ids", "time_at_risk_ids", "outcome_ids")
+            ),
+        )
+        frames.append(
+            durable(
+                incidence(
+                    cdm.observation_period,
+                    targets,
+                    outcomes,
+                    subgroups,
+                    settings.chosen_by(merged),
+                    database_name,
+                    sites,
+                    analyses=some,
+                )
             )
         )
-        for a in analyses
-    ]
     return reduce(DataFrame.unionByName, frames)
 
 

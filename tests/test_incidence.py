@@ -189,3 +189,31 @@ def test_a_person_without_exactly_one_site_stops_the_run(spark, rows):
     s.sites = literal_frame(spark, rows, "subject_id long, database_name string")
     with pytest.raises(Exception, match="not exactly one site for person 3"):
         s.summary().collect()
+
+
+def test_analyses_built_at_once_equal_each_alone(spark):
+    targets = [(t, p, 10 * p, 10 * p + 3) for t in (1, 2) for p in range(1, 9)]
+    outcomes = [(o, p, 10 * p + o, 10 * p + o + 1) for o in (5, 6, 7) for p in range(1, 9) if (p + o) % 3]
+    groups = [(20 + p % 3, p, 1, 200) for p in range(1, 9)]
+    settings = I.Settings(
+        [TargetSpec(1, "T"), TargetSpec(2, "U")],
+        [TarSpec(i, i, 0, 40, 0) for i in (1, 2, 3)],
+        [SubgroupSpec(i, f"S{i}") for i in (20, 21, 22)],
+        [OutcomeSpec(i, i, f"O{i}", 30) for i in (5, 6, 7)],
+    )
+    persons = frame(spark, [(p, p, 1, 200) for p in range(1, 9)], PERIOD)
+    frames = [frame(spark, rows, COHORT_DDL) for rows in (targets, outcomes, groups)]
+    analyses = [
+        Analysis("a", (1,), (20, 21), (1, 2), (5, 6)),
+        Analysis("b", (2,), (22,), (2, 3), (7,)),
+        Analysis("c", (1, 2), (), (2,), (6,)),
+    ]
+    alone = [I.incidence(persons, *frames, settings.chosen_by(a), "db") for a in analyses]
+    expected = sorted((tuple(r) for f in alone for r in f.collect()), key=str)
+    at_once = I.Study(persons, *frames, settings, "db", analyses=analyses)
+    assert sorted((tuple(r) for r in at_once.summary().collect()), key=str) == expected
+    # Only what an analysis needs is built: no target 2 with window 1, no target 1 with window 3.
+    designs = {(r.target_cohort_definition_id, r.time_at_risk_id) for r in at_once.eras.collect()}
+    assert designs == {(1, 1), (1, 2), (2, 2), (2, 3)}
+    with pytest.raises(ValueError, match="serves 1 to 63"):
+        I.Membership(analyses * 30)
