@@ -26,6 +26,7 @@ from ..operators.ledger import keyed_replace
 from ..schemas import COHORT_DDL, IR_SUMMARY_DDL, conform, rename_all, snake_case, struct_type
 from .durable import exists, settle_table, swap_table
 from .record_files import SITE_LINE, csv_files, record_files
+from .reuse import reused
 
 COHORT_PARTITION = "cohort_definition_id"
 
@@ -154,6 +155,19 @@ def merge_site_files(
     return rows.drop(SITE_LINE)
 
 
+def merged_sites(
+    spark: SparkSession, pattern: str, spec: Sequence[FieldSpec], unique: bool = False
+) -> DataFrame:
+    """``merge_site_files``, merged once for as long as files and specification stay the same."""
+    files = csv_files(spark, pattern)
+    if not files:
+        raise FileNotFoundError(pattern)
+    definition = ["merged", [repr(f) for f in spec], unique]
+    return reused(
+        "sites", [spark.read.text(files)], definition, lambda: merge_site_files(spark, pattern, spec, unique)
+    )
+
+
 def append_results(
     new: DataFrame, path: str, spec: Sequence[FieldSpec], overwrite: bool | None = None
 ) -> None:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from days import plain
 from spanrate.operators import network as N
 from spanrate.schemas import literal_frame, struct_type
-from spanrate.sources import durable, keyed_tables
+from spanrate.sources import durable, keyed_tables, reuse
 from spanrate.sources.keyed_tables import DuplicateKeys, append_keyed, create_results, read_results, replace_sites
-from spanrate.sources.tables import append_results, merge_site_files, read_csv, read_ledger, save_incremental
+from spanrate.sources.tables import append_results, merge_site_files, merged_sites, read_csv, read_ledger, save_incremental
 
 SPEC = [
     N.FieldSpec("database_id", "varchar(20)", primary_key=True, empty_is_na=False),
@@ -227,3 +227,44 @@ def test_one_call_empties_the_work_folder(spark, tmp_path, monkeypatch):
     durable.durable(spark.range(3))
     durable.clear_work_dir(spark)
     assert not [p for p in tmp_path.iterdir() if not p.name.startswith(".")]
+
+
+def test_results_are_built_once_for_the_same_files_and_definition(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reuse, "work_dir", lambda _: str(tmp_path / "work"))
+    source = str(tmp_path / "in put")
+    built = []
+
+    def query(definition):
+        def build():
+            built.append(definition)
+            return spark.read.parquet(source).selectExpr("count(*) AS n")
+
+        return reuse.reused("n", [spark.read.parquet(source)], definition, build).collect()[0].n
+
+    spark.range(5).write.parquet(source)
+    assert [query({"a": 1}), query({"a": 1}), query({"a": 2})] == [5, 5, 5] and built == [{"a": 1}, {"a": 2}]
+    spark.range(3).write.mode("append").parquet(source)
+    assert query({"a": 1}) == 8 and len(built) == 3
+    monkeypatch.setattr(reuse, "_code", lambda: "other")
+    assert query({"a": 1}) == 8 and len(built) == 4
+    assert reuse.forget(spark, older_than_days=1) == [] and len(reuse.forget(spark)) == 4
+    assert query({"a": 1}) == 8 and len(built) == 5
+
+
+def test_a_result_that_was_never_finished_is_built_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reuse, "work_dir", lambda _: str(tmp_path / "work"))
+    source = str(tmp_path / "in")
+    spark.range(5).write.parquet(source)
+    frame = spark.read.parquet(source)
+    broken = frame.select(F.raise_error(F.lit("broken")).cast("int").alias("n"))
+    with pytest.raises(Exception, match="broken"):
+        reuse.reused("n", [frame], "d", lambda: broken).collect()
+    assert reuse.reused("n", [frame], "d", lambda: frame).count() == 5
+
+
+def test_merged_sites_are_merged_again_when_a_file_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reuse, "work_dir", lambda _: str(tmp_path / "work"))
+    (tmp_path / "a.csv").write_text('id,text\n1,"x\ny"\n')
+    assert merged_sites(spark, str(tmp_path), TEXTS).count() == 1
+    (tmp_path / "b.csv").write_text("id,text\n2,z\n")
+    assert plain(merged_sites(spark, str(tmp_path), TEXTS), "id") == [(1,), (2,)]

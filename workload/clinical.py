@@ -18,8 +18,8 @@ BRAND_BASE = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        # The warehouse is shared too; used only where the session names no other folder.
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local"):
+        # On one machine every folder is shared; on a cluster the session must name one.
         use_work_dir(spark, spark.conf.get("spark.sql.warehouse.dir") + "/_work")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -133,6 +133,12 @@ def _views(spark: SparkSession, sf_dir: str) -> ClinicalTables:
     )
 
 
+def raw_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The tables the clinical views are made of, and the sites."""
+    names = ("orders", "customer", "lineitem", "part", "region", "nation")
+    return [table(spark, sf_dir, name) for name in names]
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subject_id, database_name): the region a customer lives in."""
     return (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +14,12 @@ from spanrate.operators.disclosure import censored_share, min_cell
 from spanrate.operators.intervals import interval_union
 from spanrate.operators.subgroups import age_sex_subgroups
 from spanrate.plans.study import database_metadata, incidence_of_analyses, run_study
-from spanrate.sources.durable import durable, work_dir
+from spanrate.sources.durable import new_folder, work_dir
+from spanrate.sources.reuse import reused
 from spanrate.specs import Analysis, SubgroupSpec
 
 from . import definitions as D
-from .clinical import clinical, sites, table
+from .clinical import clinical, raw_tables, sites, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +27,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def study_cohorts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Target, outcome and subgroup cohorts."""
     cdm = clinical(spark, sf_dir)
-    built = durable(build_cohorts(cdm, [D.TARGET_EVENTS, D.TARGET_CALENDAR, *D.OUTCOMES]))
+    specs = [D.TARGET_EVENTS, D.TARGET_CALENDAR, *D.OUTCOMES]
+    definition = [s.checksum() for s in specs]
+    built = reused("cohorts", raw_tables(spark, sf_dir), definition, lambda: build_cohorts(cdm, specs))
     is_target = F.col("cohort_definition_id").isin(101, 102)
     subgroups = age_sex_subgroups(cdm.person, cdm.observation_period)
     return built.where(is_target), built.where(~is_target), subgroups
@@ -43,17 +45,14 @@ def summary_by_site(
     spark: SparkSession, sf_dir: str, settings: I.Settings = D.SETTINGS
 ) -> DataFrame:
     """The results table of all sites, written as a site would write it."""
-    targets, outcomes, subgroups = study_cohorts(spark, sf_dir)
-    return durable(
-        I.incidence(
-            clinical(spark, sf_dir).observation_period,
-            targets,
-            outcomes,
-            subgroups,
-            settings,
-            sites=sites(spark, sf_dir),
-        )
-    )
+
+    def build() -> DataFrame:
+        cohorts = study_cohorts(spark, sf_dir)
+        period = clinical(spark, sf_dir).observation_period
+        return I.incidence(period, *cohorts, settings, sites=sites(spark, sf_dir))
+
+    specs = [s.checksum() for s in (D.TARGET_EVENTS, D.TARGET_CALENDAR, *D.OUTCOMES)]
+    return reused("site-summary", raw_tables(spark, sf_dir), [repr(settings), specs], build)
 
 
 def incidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +193,7 @@ def with_all(settings: I.Settings) -> I.Settings:
 
 def study_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary that a whole study leaves when it is run again on the same folder."""
-    folder = f"{work_dir(spark)}/study-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "study")
     settings = I.Settings(
         D.SETTINGS.targets[1:], [D.TARS[6]], D.SETTINGS.subgroups[4:6], D.SETTINGS.outcomes[:1]
     )

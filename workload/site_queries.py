@@ -18,7 +18,7 @@ from spanrate.schemas import camel_case, literal_frame, rename_all, snake_case
 from spanrate.sources import settings as T
 from spanrate.sources.durable import new_folder, write_text
 from spanrate.sources.keyed_tables import append_keyed, create_results, read_results, replace_sites
-from spanrate.sources.tables import merge_site_files, read_csv, read_site_files, save_incremental
+from spanrate.sources.tables import merged_sites, read_csv, read_site_files, save_incremental
 
 from . import definitions as D
 from .clinical import clinical, sites, table
@@ -106,7 +106,7 @@ def file_first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = rows.where(F.col("o_orderstatus") == status)
         part = part.repartitionByRange(F.desc("n")).sortWithinPartitions(F.desc("n"))
         part.write.option("header", True).csv(f"{folder}/{status}")
-    return merge_site_files(spark, f"{folder}/*", FILE_SPEC, unique=True).select(
+    return merged_sites(spark, f"{folder}/*", FILE_SPEC, unique=True).select(
         "o_custkey", "o_orderpriority", "o_orderstatus", "n"
     )
 
