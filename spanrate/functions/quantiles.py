@@ -1,21 +1,20 @@
-"""Chi-square and Student t quantiles, vectorised over Arrow batches.
+"""Chi-square and Student t quantiles.
 
-Only reports use them, on one row per site and outcome or per pooled group.
+Reports use them as column expressions, on one row per site and outcome or per pooled group; the
+array versions state the same and serve as their check.
 """
 
 from __future__ import annotations
 
-import sys
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The functions travel with the plan, so executors need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 NORMAL_975 = 1.959963984540054
+#: Newton's method doubles the digits; the cube-root start has three of them from one event on.
+NEWTON_STEPS, FEW_EVENTS_STEPS = 7, 20
 
 
 def _gamma_log(a: np.ndarray) -> np.ndarray:
@@ -135,17 +134,95 @@ def t_quantile(p: float, df: int) -> float:
     return float((low + high) / 2.0)
 
 
-def chi_square_quantile(p: float, df):
-    """Column of chi-square quantiles; NULL where ``df`` is NULL or negative."""
+# The same as column expressions: loops are folds over sequences, values are bound by ``_with``.
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _fold(n: Column, start: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]]) -> Column:
+    """The state after steps 1 to n."""
+    state = F.struct(*[v.cast("double").alias(k) for k, v in start.items()])
+    return F.aggregate(
+        F.sequence(F.lit(1), n),
+        state,
+        lambda s, i: F.struct(*[v.cast("double").alias(k) for k, v in step(s, i.cast("double")).items()]),
+    )
+
+
+def _gamma_log_column(a: Column) -> Column:
+    """Stirling's series at a + 10, taken back by ten factors."""
+    shift = F.lit(0.0)
+    for k in range(10):
+        shift = shift + F.log(a + k)
+
+    def series(x: Column) -> Column:
+        inv = 1.0 / x
+        square = inv * inv
+        terms = inv * (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square / 1680)))
+        return (x - 0.5) * F.log(x) - x + 0.5 * float(np.log(2 * np.pi)) + terms
+
+    return _with(a + 10.0, series) - shift
+
+
+def _gamma_cdf_column(a: Column, x: Column, gamma_log: Column) -> Column:
+    """Regularised lower incomplete gamma function for a > 0 and x > 0."""
+    front = F.exp(-x + a * F.log(x) - gamma_log)
+    # Terms shrink like a normal density around a, so their number grows with its root.
+    steps = (40 + 10 * F.sqrt(a)).cast("int")
+    tiny = 1e-300
+
+    def grow(s: Column, n: Column) -> dict[str, Column]:
+        term = s["term"] * x / (a + n)
+        return {"term": term, "total": s["total"] + term}
+
+    def fraction(s: Column, n: Column) -> dict[str, Column]:
+        an, b = -n * (n - a), s["b"] + 2.0
+        safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+        d = 1.0 / safe(an * s["d"] + b)
+        c = safe(b + an / s["c"])
+        return {"b": b, "c": c, "d": d, "h": s["h"] * d * c}
+
+    series = _fold(steps, {"term": 1.0 / a, "total": 1.0 / a}, grow)["total"]
+    first = x + 1.0 - a
+    start = {"b": first, "c": F.lit(1.0 / tiny), "d": 1.0 / first, "h": 1.0 / first}
+    return F.when(x < a + 1.0, front * series).otherwise(1.0 - front * _fold(steps, start, fraction)["h"])
+
+
+def chi_square_quantile(p: float, df: Column) -> Column:
+    """Column of chi-square quantiles; 0 at 0 degrees, NULL where ``df`` is NULL or negative.
+
+    Newton steps from a cube-root normal start, kept inside a shrinking bracket.
+    """
+    z = -NORMAL_975 if p < 0.5 else NORMAL_975
+
+    def solve(a: Column, gamma_log: Column) -> Column:
+        root = F.greatest(1 - 1 / (9 * a) + z / (3 * F.sqrt(a)), F.lit(0.05))
+
+        def step(s: Column, _: Column) -> dict[str, Column]:
+            x = s["x"]
+
+            def moved(miss: Column) -> Column:
+                low = F.when(miss < 0, x).otherwise(s["low"])
+                high = F.when(miss < 0, s["high"]).otherwise(x)
+                slope = F.exp((a - 1) * F.log(x) - x - gamma_log)
+                newton = x - miss / F.greatest(slope, F.lit(1e-300))
+                inside = (newton > low) & (newton < high)
+                after = F.when(miss == 0, x).when(inside, newton).otherwise((low + high) / 2.0)
+                return F.struct(after.alias("x"), low.alias("low"), high.alias("high"))
+
+            state = _with(_gamma_cdf_column(a, x, gamma_log) - p, moved)
+            return {name: state[name] for name in ("x", "low", "high")}
 
-    @F.pandas_udf("double")
-    def quantile(degrees: pd.Series) -> pd.Series:
-        # Equal degrees are worked out once per batch.
-        values, where = np.unique(degrees.fillna(-1).to_numpy(float), return_inverse=True)
-        found = chi_square_quantiles(p, values)[where]
-        return pd.Series(np.where(np.isnan(found), None, found), dtype="object").astype("Float64")
+        start = {"x": a * root * root * root, "low": F.lit(0.0), "high": a + 20.0 * F.sqrt(a) + 20.0}
+        n = F.when(a >= 1, NEWTON_STEPS).otherwise(FEW_EVENTS_STEPS)
+        return 2.0 * _fold(n, start, step)["x"]
 
-    return quantile(df.cast("double"))
+    half = df.cast("double") / 2.0
+    found = _with(half, lambda a: _with(_gamma_log_column(a), lambda g: solve(a, g)))
+    return F.when(df == 0, 0.0).when(df > 0, found)
 
 
 #: Degrees of freedom whose quantiles are literals of the plan; groups are databases, so few.

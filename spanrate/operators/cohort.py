@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -120,23 +120,88 @@ def events_with_mask(batch: CohortBatch, spec: CohortSpec) -> DataFrame:
     return events.join(rule_masks(batch, anchors, spec.rules), [*OWNER, *ANCHOR])
 
 
+def _best_first() -> Column:
+    """The order in which a person's events count as best."""
+    rest = ("first_rule", "start_date", "part", "event_id", "op_start")
+    return F.struct((-F.col("n_rules")).alias("_few"), *rest)
+
+
 def best_event_per_person(events: DataFrame) -> DataFrame:
     """The event with the most rules, then the smallest first rule, then the earliest."""
-    order = F.struct(
-        (-F.col("n_rules")).alias("_few"),
-        "first_rule",
-        "start_date",
-        "part",
-        "event_id",
-        "op_start",
-    )
     return (
         events.groupBy(*OWNER)
-        .agg(F.min_by(F.struct(*[c for c in events.columns if c not in OWNER]), order).alias("_b"))
+        .agg(F.min_by(F.struct(*[c for c in events.columns if c not in OWNER]), _best_first()).alias("_b"))
         .select(*OWNER, "_b.*")
     )
 
 
+def inclusion_counts(events: DataFrame) -> DataFrame:
+    """(mode, cohort, mask, n): events per mask, and persons by the mask of their best event.
+
+    One aggregate of grouping sets; ``mask`` is NULL in the totals.  Events are first counted per
+    person and mask, so that what the best event of a person is found among is at most every mask.
+    """
+    per_mask = events.groupBy(*OWNER, "rule_mask").agg(
+        F.count("*").alias("_n"), F.min(_best_first()).alias("_order")
+    )
+    best = F.min("_order").over(W.partitionBy(*OWNER))
+    modes = F.array(
+        F.struct(F.lit("event").alias("mode"), F.col("_n").alias("n")),
+        F.struct(F.lit("person").alias("mode"), (F.col("_order") == best).cast("long").alias("n")),
+    )
+    rows = per_mask.select("cohort_definition_id", F.col("rule_mask").alias("mask"), modes.alias("_modes"))
+    rows = rows.select("cohort_definition_id", "mask", F.inline("_modes")).where("n > 0")
+    whole = ["mode", "cohort_definition_id"]
+    return rows.groupingSets([[*whole, "mask"], whole], *whole, "mask").agg(F.sum("n").alias("n"))
+
+
+def inclusion_tables(events: DataFrame, n_rules: int, cohort_ids: Sequence[int]) -> DataFrame:
+    """Results, rules and summaries of all cohorts for both modes, from one pass over the events.
+
+    (mode, table, cohort_definition_id, item, person_count, gain_count, person_total): item is the
+    mask of a result row, the rule of a rule row and 0 in a summary, whose person_count meets all
+    rules.  A rule's counts are sums over the masks that hold it; cohorts without events have their
+    zeros from the same sum.
+    """
+    full = (1 << n_rules) - 1
+    total, n, zero = F.col("mask").isNull(), F.col("n"), F.lit(0).cast("long")
+
+    def row(table: str, item: Column, met: Column, gain: Column, base: Column) -> Column:
+        names = ("table", "item", "person_count", "gain_count", "person_total")
+        values = (F.lit(table), item.cast("long"), met, gain, base)
+        return F.struct(*[v.alias(c) for v, c in zip(values, names, strict=True)])
+
+    def count(when: Column) -> Column:
+        return F.when(when, n).otherwise(zero)
+
+    mask = F.coalesce("mask", F.lit(-1).cast("long"))
+    of_rules = [
+        row(
+            "rule",
+            F.lit(i),
+            count(~total & (mask.bitwiseAND(F.lit(1 << i)) != 0)),
+            count(mask == (full ^ 1 << i)),
+            count(total),
+        )
+        for i in range(n_rules)
+    ]
+    parts = [row("result", mask, count(~total), zero, zero), *of_rules]
+    parts.append(row("summary", F.lit(0), count(mask == full), zero, count(total)))
+    counted = inclusion_counts(events).select("mode", "cohort_definition_id", F.inline(F.array(*parts)))
+    items = [("rule", i) for i in range(n_rules)] + [("summary", 0)]
+    empty = [(m, t, c, i, 0, 0, 0) for m in ("event", "person") for c in cohort_ids for t, i in items]
+    listed = literal_frame(
+        events.sparkSession,
+        empty,
+        "mode string, table string, cohort_definition_id long, item long,"
+        " person_count long, gain_count long, person_total long",
+    )
+    key = ["mode", "table", "cohort_definition_id", "item"]
+    sums = [F.sum(c).alias(c) for c in ("person_count", "gain_count", "person_total")]
+    summed = counted.where("table <> 'result' OR item >= 0").unionByName(listed).groupBy(*key).agg(*sums)
+    return summed
+
+
 def inclusion_result(events: DataFrame) -> DataFrame:
     """Events per rule mask."""
     return events.groupBy("cohort_definition_id", F.col("rule_mask").alias("inclusion_rule_mask")).agg(

@@ -210,9 +210,12 @@ def exact_ratios(totals: DataFrame) -> DataFrame:
     An expectation of 0 gives no ratio.
     """
     expected, observed = F.col("expected"), F.col("observed")
-    known = totals.withColumn(
-        "_lower", chi_square_quantile(0.025, F.lit(2.0) * observed)
-    ).withColumn("_upper", chi_square_quantile(0.975, F.lit(2.0) * (observed + 1.0)))
+    limits = F.struct(
+        chi_square_quantile(0.025, F.lit(2.0) * observed).alias("_lower"),
+        chi_square_quantile(0.975, F.lit(2.0) * (observed + 1.0)).alias("_upper"),
+    )
+    # A generator's row: later filters and columns read the limits instead of working them out again.
+    known = totals.select("*", F.inline_outer(F.array(limits)))
 
     def over(column: Column, times: float) -> Column:
         return F.when(expected > 0, column / (F.lit(times) * expected))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from days import plain
 from spanrate.functions import labels
 from spanrate.operators import report as R
+from spanrate.operators.ranking import with_places
 from spanrate.schemas import literal_frame
 
 
@@ -117,3 +118,17 @@ def test_sort_order_keeps_unknown_outcomes(spark):
 def test_ranking_is_descending(spark):
     df = literal_frame(spark, [("a", 1.0), ("b", None), ("c", 3.0)], "outcome_name string, sir double")
     assert [r.outcome_name for r in R.ranked_ratios(df).collect()] == ["c", "a", "b"]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_places_equal_a_global_row_number(spark, partitions):
+    rows = spark.range(0, 5000, 1, partitions).selectExpr("id", "id * 7919 % 613 AS score")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    placed = with_places(rows, [F.desc("score"), "id"])
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and spark.conf.get("spark.sql.shuffle.partitions") == before
+    expected = sorted(((r.id, r.score) for r in rows.collect()), key=lambda r: (-r[1], r[0]))
+    assert [(r.id, r.place) for r in placed.orderBy("place").collect()] == [
+        (i, at) for at, (i, _) in enumerate(expected, 1)
+    ]
+    assert with_places(rows.limit(0), ["id"]).count() == 0

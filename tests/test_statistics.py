@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from spanrate.functions.quantiles import chi_square_quantiles, t_quantile
+from spanrate.functions.quantiles import chi_square_quantile, chi_square_quantiles, t_quantile
 from spanrate.operators import statistics as S
 from spanrate.schemas import literal_frame
 
@@ -115,3 +115,18 @@ def test_halves_round_to_even(spark):
     )
     found = {r.person_years: r.uncensored_outcomes for r in S.recovered_events(df).collect()}
     assert found == {250: 2.0, 350: 4.0}
+
+
+def test_quantile_columns_equal_the_arrays(spark):
+    degrees = [0.0, 0.5, 1.0, 2.0, 3.0, 4.0, 11.0, 34.0, 90.0, 240.0, 1801.0, 20_000.0, 300_000.0]
+    df = literal_frame(spark, [(d,) for d in [*degrees, -1.0, None]], "d double")
+    from pyspark.sql import functions as F
+
+    found = df.select("d", *[chi_square_quantile(p, F.col("d")).alias(n) for p, n in ((0.025, "low"), (0.975, "high"))])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    rows = {r.d: r for r in found.collect()}
+    for p, name in ((0.025, "low"), (0.975, "high")):
+        for d, expected in zip(degrees, chi_square_quantiles(p, np.array(degrees)), strict=True):
+            assert rows[d][name] == pytest.approx(expected, rel=1e-11, abs=1e-14)
+    assert rows[-1.0].low is None and rows[None].high is None

@@ -179,6 +179,26 @@ def gain_sql(source: str) -> str:
     return ruled_sql(" UNION ALL ".join(parts))
 
 
+def inclusion_tables_sql() -> str:
+    """Both modes' results, rules and summary of the cohort with events, zeros of the other."""
+    parts = []
+    for mode, source in (("event", "masked"), ("person", "best")):
+        head = f"SELECT '{mode}' AS mode, '{{}}' AS \"table\", CAST({{}} AS BIGINT) AS cohort_definition_id"
+        parts.append(
+            head.format("result", 301) + ", CAST(mask AS BIGINT) AS item, COUNT(*) AS person_count,"
+            f" CAST(0 AS BIGINT) AS gain_count, CAST(0 AS BIGINT) AS person_total FROM {source} GROUP BY mask"
+        )
+        for n in range(3):
+            parts.append(
+                head.format("rule", 301) + f", {n}, COUNT(*) FILTER (WHERE met{n}),"
+                f" COUNT(*) FILTER (WHERE mask = {7 - 2**n}), COUNT(*) FROM {source}"
+            )
+            parts.append(head.format("rule", 302) + f", {n}, 0, 0, 0")
+        parts.append(head.format("summary", 301) + f", 0, COUNT(*) FILTER (WHERE mask = 7), 0, COUNT(*) FROM {source}")
+        parts.append(head.format("summary", 302) + ", 0, 0, 0, 0")
+    return ruled_sql(" UNION ALL ".join(parts))
+
+
 def cohort_sql(*parts: tuple[int, str, int]) -> tuple[dict[str, str], str]:
     """(cohort id, index days, exit offset) per cohort: CTEs and the select of their eras."""
     ctes, selects = {}, []
@@ -397,6 +417,7 @@ def oracles() -> dict[str, str]:
                 for n in range(3)
             )
         ),
+        "inclusion_tables": inclusion_tables_sql(),
         "best_event": ruled_sql(
             "SELECT person_id, id AS event_id, s AS start_date, mask AS rule_mask FROM best"
         ),

@@ -137,6 +137,14 @@ def inclusion_with_empty_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.inclusion_stats(both, len(D.RULES), [s.cohort_id for s in specs])
 
 
+def inclusion_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All inclusion tables of both cohorts and modes from one pass over their events."""
+    specs = [D.RULED, D.RULED_EMPTY]
+    events = [C.events_with_mask(b, s) for s, b in C.batches(clinical(spark, sf_dir), specs)]
+    both = events[0] if len(events) == 1 else events[0].unionByName(events[1])
+    return C.inclusion_tables(both, len(D.RULES), [s.cohort_id for s in specs])
+
+
 def json_query(*specs: CohortSpec) -> Query:
     """The same cohorts from their definitions in the exchange format."""
 
@@ -261,6 +269,7 @@ def queries() -> dict[str, Query]:
         "inclusion_result_person": inclusion_result_person,
         "inclusion_summary_person": inclusion_summary_person,
         "inclusion_with_empty_cohort": inclusion_with_empty_cohort,
+        "inclusion_tables": inclusion_tables,
         "best_event": best_event,
         "best_event_gain": best_event_gain,
         "cohort_exit": cohort_exit,

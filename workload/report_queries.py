@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from spanrate.operators import disclosure as X
 from spanrate.operators import ledger as L
@@ -14,6 +13,7 @@ from spanrate.operators import network as N
 from spanrate.operators import report as R
 from spanrate.operators import statistics as S
 from spanrate.operators.incidence import CELL, Settings, outcome_frame
+from spanrate.operators.ranking import with_places
 from spanrate.plans import network_report as NR
 from spanrate.schemas import literal_frame
 from spanrate.specs import Analysis
@@ -418,11 +418,15 @@ def ranked_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
         "outcome_name", F.concat(F.lit("[NC] "), "outcome_name", F.lit("?"))
     )
     cleaned = R.clean_names(pooled_ratios, "outcome_name", R.NAME_CLEANUP)
-    # Outcomes are settings, so their ranking is small.
-    place = F.row_number().over(W.orderBy(F.col("sir").desc_nulls_last(), "outcome_name"))
-    return R.ranked_ratios(cleaned).select(
-        "outcome_name", F.round("sir", 6).alias("sir"), "num_studies", place.cast("long").alias("place")
-    )
+    ranked = with_places(cleaned, [F.col("sir").desc_nulls_last(), "outcome_name"])
+    return ranked.select("outcome_name", F.round("sir", 6).alias("sir"), "num_studies", "place")
+
+
+def ranked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every cell of all sites by outcomes, then persons at risk."""
+    order = [F.desc("num_outcomes"), F.desc("num_persons_at_risk"), *CELL]
+    ranked = with_places(summary_by_site(spark, sf_dir), order)
+    return ranked.select(*CELL, "num_outcomes", "num_persons_at_risk", "place")
 
 
 def pooled_site_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,4 +471,5 @@ def queries() -> dict[str, Query]:
         "pooled_forest": pooled_forest,
         "pooled_site_forest": pooled_site_forest,
         "ranked_ratios": ranked_ratios,
+        "ranked_cells": ranked_cells,
     }
