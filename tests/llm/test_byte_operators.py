@@ -10,6 +10,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -382,6 +383,7 @@ def test_tasks_get_the_package_wherever_the_driver_runs(tmp_path):
     root = Path(token_transducer.__file__).resolve().parents[2]
     code = f"""
 import sys
+import time
 sys.path.insert(0, {str(root)!r})
 from pyspark.sql import SparkSession
 from spanrate.llm.feistel import pseudonyms
@@ -393,3 +395,24 @@ spark.stop()
     env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_long_urls_and_hosts_are_mined_as_one_item(spark):
+    words = "/".join(f"word{i}x" for i in range(200))
+    rows = [(i, f"http://a{i % 3}.example.net/en/p{i}") for i in range(20)]
+    rows += [(100, f"http://long.net/{words}"), (101, f"http://other.org/de/{words}"), (102, "http://" + "a." * 10_000 + "net/x")]
+    rows += [(103, "http://far.org/word7x/unknown"), (104, "http://far.org/word7/unknown")]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    begin = time.monotonic()
+    found = {r["page_id"]: r for r in judge_urls(frame, RULES).collect()}
+    assert time.monotonic() - begin < 60
+    assert found[100]["verdict"] == found[102]["verdict"] == "block"
+    # Any word of the long blocked URL meets its item.
+    assert [found[i]["verdict"] for i in (101, 103, 104)] == ["block", "block", "allow"]
+
+
+def test_no_pages_and_no_labels(spark):
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert judge_urls(empty, RULES).count() == 0
+    plain = spark.createDataFrame([(1, "http://a.de/x"), (2, None)], "page_id long, url string")
+    assert {r["verdict"] for r in judge_urls(plain, RULES).collect()} == {"allow"}
