@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from spanrate.llm import textbytes
 from spanrate.llm.components import connected_components
-from spanrate.llm.text import text_key
+from spanrate.llm.text import put_back, set_apart, text_key
 from spanrate.llm.work import keep, send_package
 
 PERMUTATIONS = 256
@@ -375,15 +375,16 @@ def drop_near_duplicates(
     found = keep(found, "grouped-rows")
     chosen = _one_version_each(found)
     removed = found.join(chosen.select("doc_id", "version"), ["doc_id", "version"], "left_anti")
-    removed = keep(removed.select(F.col("doc_id").alias("__gone"), F.col("version").alias("__version")), "removed")
-    key = text_key(F.col(text_col))
-    gone = (F.col(id_col) == F.col("__gone")) & (key == F.col("__version"))
-    left = docs.join(removed, gone, "left_anti")
-    repeated = found.where("n > 1").select(F.col("doc_id").alias("__twice")).distinct()
+    removed = keep(removed.select(F.col("doc_id").alias("gone"), F.col("version").alias("gone_version")), "removed")
+    names = {"doc_id": id_col, "text": text_col}
+    kept = set_apart(docs, **names)
+    gone = (F.col("doc_id") == F.col("gone")) & (text_key(F.col("text")) == F.col("gone_version"))
+    left = kept.join(removed, gone, "left_anti")
+    repeated = found.where("n > 1").select(F.col("doc_id").alias("twice")).distinct()
     repeated = keep(repeated, "repeated-ids")
-    once = left.join(repeated, F.col(id_col) == F.col("__twice"), "left_anti")
-    more = left.join(repeated, F.col(id_col) == F.col("__twice"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(more)
+    once = left.join(repeated, F.col("doc_id") == F.col("twice"), "left_anti")
+    more = left.join(repeated, F.col("doc_id") == F.col("twice"), "left_semi").dropDuplicates(["doc_id"])
+    return put_back(once.unionByName(more), docs.columns, **names)
 
 
 def _one_version_each(found: DataFrame) -> DataFrame:

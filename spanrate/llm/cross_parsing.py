@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanrate.llm import textbytes
-from spanrate.llm.text import text_key
+from spanrate.llm.text import put_back, set_apart, text_key
 from spanrate.llm.work import keep, send_package
 
 STRETCH = 512
@@ -273,8 +273,9 @@ def drop_unidentified(
     if not samples:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
     limits = phrase_limits(known, samples, text_col, lang_col, texts)
-    found = predicted(docs, samples, text_col, measures=True).where(F.col("lang_pred") != UNKNOWN)
+    rows = set_apart(docs, text=text_col)
+    found = predicted(rows, samples, "text", measures=True).where(F.col("lang_pred") != UNKNOWN)
     for lang, limit in sorted(limits.items()):
         most = limit * F.col("__size") + SLACK
         found = found.where((F.col("lang_pred") != lang) | (F.col("__phrases") <= most))
-    return found.select(*docs.columns)
+    return put_back(found, docs.columns, text=text_col)

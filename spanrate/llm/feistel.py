@@ -21,6 +21,7 @@ import datetime as dt
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -270,7 +271,7 @@ REPLACERS = {
 def find_and_replace(f: Feistel, text: str, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms and the spans (kind, start, end) of the values in the given text."""
     has_digit = any(map(text.__contains__, DIGITS))
-    spans: list[tuple[int, int, str, str]] = []
+    spans: list[tuple[int, int, str, str]] = []  # sorted and apart from each other
     for kind, pattern in PATTERNS:
         if kind == "email" and "@" not in text:
             continue
@@ -278,12 +279,12 @@ def find_and_replace(f: Feistel, text: str, back: bool = False) -> tuple[str, li
             continue
         for m in pattern.finditer(text):
             a, b = m.span(1)
-            if any(a < y and x < b for x, y, _, _ in spans):
+            place = bisect_left(spans, (b,))  # of those that begin before b the last ends last
+            if place and spans[place - 1][1] > a:
                 continue
             own = REPLACERS[kind](f, m[1], back)
             if own is not None:
-                spans.append((a, b, kind, own))
-    spans.sort()
+                spans.insert(place, (a, b, kind, own))
     out, at = [], 0
     for a, b, _, own in spans:
         out += [text[at:a], own]

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanrate.llm.text import SPACES, ascii_lower, text_key
+from spanrate.llm.text import SPACES, ascii_lower, put_back, set_apart, text_key
 from spanrate.llm.work import keep
 
 SALTS = 64
@@ -148,7 +148,9 @@ def drop_lines(
     min_docs: int = 3,
 ) -> DataFrame:
     """``docs`` with the text of the kept lines; untouched texts (null too) stay as they are."""
-    dropped = dropped_lines(docs, id_col, text_col, min_chars, min_docs)
-    rows = _with_runs(docs, id_col, text_col, dropped)
-    text = F.when(F.col("__n_dropped") > 0, _joined("__runs", "__lines")).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).select(*docs.columns)
+    names = {"doc_id": id_col, "text": text_col}
+    rows = set_apart(docs, **names)
+    dropped = dropped_lines(rows, "doc_id", "text", min_chars, min_docs)
+    rows = _with_runs(rows, "doc_id", "text", dropped)
+    text = F.when(F.col("__n_dropped") > 0, _joined("__runs", "__lines")).otherwise(F.col("text"))
+    return put_back(rows.withColumn("text", text), docs.columns, **names)

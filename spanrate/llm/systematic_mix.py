@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanrate.llm.text import id_text, space_words, text_key
+from spanrate.llm.text import id_text, put_back, set_apart, space_words, text_key
 from spanrate.llm.work import keep
 
 CELL = ["source_key", "bits", "lead", "bucket"]
@@ -111,7 +111,8 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself: ``docs`` with a row per emitted copy, numbered from 1 in ``copy_col``.
 
-    Rows equal in id, source and text are numbered among themselves, each with its own copies.
+    Rows equal in id, source and text are numbered among themselves, by their other columns, each
+    with its own copies. A column named like ``copy_col`` gives way to it.
     """
     copies = systematic_copies(docs, id_col, text_col, source_col, **options)
     counts = keep(
@@ -125,23 +126,27 @@ def mixed_documents(
         ),
         "copies",
     )
-    source = F.col(source_col).cast("string")
-    rows = docs.withColumns(
+    names = {"id": id_col, "text": text_col, "source": source_col}
+    columns = [c for c in docs.columns if c != copy_col]
+    rows = set_apart(docs.select(*[F.col(f"`{c}`") for c in columns]), **names)
+    source = F.col("source").cast("string")
+    rows = rows.withColumns(
         {
-            "__v": text_key(F.col(text_col)),
+            "__v": text_key(F.col("text")),
             "__s": F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)),
         }
     )
     same = (
-        F.col(id_col).eqNullSafe(F.col("__id"))
+        F.col("id").eqNullSafe(F.col("__id"))
         & (F.col("__v") == F.col("__version"))
         & (F.col("__s") == F.col("__source"))
     )
     single = rows.join(counts.where(F.size("__copies") == 1), same).withColumn("__n", F.lit(1))
-    among = Window.partitionBy("__id", "__version", "__source").orderBy(F.lit(0))
+    others = F.to_json("row") if "row" in rows.columns else F.lit("")
+    among = Window.partitionBy("__id", "__version", "__source").orderBy(others)
     repeated = rows.join(keep(counts.where(F.size("__copies") > 1), "repeated"), same)
     repeated = repeated.withColumn("__n", F.row_number().over(among))
     emitted = F.get(F.col("__copies"), F.col("__n") - 1).cast("int")
     out = single.unionByName(repeated).withColumn("__c", emitted).where(F.col("__c") > 0)
-    columns = [c for c in docs.columns if c != copy_col]
-    return out.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__c"))).alias(copy_col))
+    number = F.explode(F.sequence(F.lit(1), F.col("__c"))).alias(copy_col)
+    return put_back(out, columns, number, **names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -34,3 +34,20 @@ def text_key(text: Column) -> Column:
 
 def id_text(item_id: Column) -> Column:
     return F.coalesce(item_id.cast("string"), F.lit(""))
+
+
+def set_apart(docs: DataFrame, **named: str) -> DataFrame:
+    """``docs`` under the operator's own names (name=column), all other columns in one struct, ``row``.
+
+    Whatever the others are called, nothing that is joined or added beside them clashes.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in named.values()]
+    row = [F.struct(*rest).alias("row")] if rest else []
+    return docs.select(*row, *[F.col(f"`{c}`").alias(name) for name, c in named.items()])
+
+
+def put_back(rows: DataFrame, columns: list[str], *more: Column, **named: str) -> DataFrame:
+    """The columns of before, in their order, then ``more``."""
+    names = {c: name for name, c in named.items()}
+    own = [F.col(names[c]) if c in names else F.col("row").getField(c) for c in columns]
+    return rows.select(*[x.alias(c) for x, c in zip(own, columns, strict=True)], *more)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import brute
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanrate.llm import bbit_minhash
+from spanrate.llm import bbit_minhash, feistel
 from spanrate.llm.bbit_minhash import drop_near_duplicates, near_duplicates
 from spanrate.llm.components import connected_components
 from spanrate.llm.cross_parsing import drop_unidentified, identify_languages, learnable, suffix_automaton
@@ -320,3 +321,36 @@ def test_pipeline_equals_brute_force(spark, make_docs, odd_rows, words, tmp_path
     whole = corpus_pipeline.run(spark, str(tmp_path))
     key = lambda r: (r["doc_id"], r["copy_no"])
     assert sorted(map(key, whole.collect())) == sorted(map(key, results[4].collect()))
+
+
+CLASHES = "__t __v __d __none __lines __gone __runs __s __n __c __id __version __source __copies __doc __twice __size".split()
+CLASHES += "__phrases lang_pred row gone twice doc version node part kept windows".split()
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_keep_columns_named_like_their_own(spark, odd_rows, stage, tmp_path):
+    rows = [(i, t, lang, source, 0, *[f"{c}{i}" for c in CLASHES]) for i, t, lang, source in odd_rows]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, "
+    docs = spark.createDataFrame(rows, schema + ", ".join(f"{c} string" for c in CLASHES))
+    spark.createDataFrame([("b1", "none of these words is anywhere")], "item_id string, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet"
+    )
+    run = dict(corpus_pipeline.STAGES)[stage]
+    found = run(spark, docs, str(tmp_path))
+    assert found.columns[: len(names)] == names
+    kept = found.collect()
+    assert kept and all(r[c] == f"{c}{r.doc_id}" for r in kept for c in CLASHES)
+    plain = docs.select(*names[:5])
+    bare = run(spark, plain, str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(str, bare)) == sorted(str(r) for r in found.select("doc_id", "text").collect())
+    assert run(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_very_many_values_are_found_in_time():
+    f = feistel.Feistel(b"k")
+    text = " ".join(f"user{i}@example.com" for i in range(30_000))
+    begin = time.monotonic()
+    replaced, spans = feistel.find_and_replace(f, text)
+    assert time.monotonic() - begin < 20 and len(spans) == 30_000
+    assert feistel.find_and_replace(f, replaced, back=True)[0] == text
