@@ -18,10 +18,11 @@ from spanrate.operators import cohort, events, incidence
 from spanrate.operators.events import with_codes
 from spanrate.plans import study
 from spanrate.sources import durable as durable_module
+from spanrate.sources import reuse
 from workload import cohort_queries, incidence_queries, report_queries, site_queries
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-WRITERS = (cohort, events, incidence, study, cohort_queries, incidence_queries)
+WRITERS = (cohort, events, incidence, study, cohort_queries)
 
 
 def own_queries():
@@ -51,9 +52,18 @@ def plans():
         seen.append(df._jdf.queryExecution().executedPlan().toString())
         return durable_module.durable(df)
 
+    def built_once(name, inputs, definition, build):
+        def build_recorded():
+            df = build()
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
+            return df
+
+        return reuse.reused(name, inputs, definition, build_recorded)
+
     with pytest.MonkeyPatch.context() as patch:
         for module in WRITERS:
             patch.setattr(module, "durable", recorded)
+        patch.setattr(incidence_queries, "reused", built_once)
         patch.setattr(incidence_queries, "study_cohorts", cache(incidence_queries.study_cohorts))
         kept = {}
         build = incidence_queries.summary_by_site
