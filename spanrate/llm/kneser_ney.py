@@ -1,14 +1,22 @@
 """Quality rules: base measures of a text, and perplexity bands of an n-gram model.
 
-The model is a modified Kneser-Ney model of letters in context, one per language. A text becomes
-symbols of an alphabet of 32 (a to z, white space, digits, other ASCII, and three for bytes beyond
-ASCII), so that a language has at most 32^4 different n-grams of order 4, whatever the corpus: that
-bounds what is sent to the tasks. All n-grams of all different texts are counted; the tasks count
-what they read and Spark adds up by (language, n-gram).
+The model is a modified Kneser-Ney model of symbols in context, one per language. A text's symbols are
+its code points; A-Z are lower-cased, and ASCII digits, ASCII white space and other ASCII signs are one
+symbol each. Beyond ASCII nothing is folded and their number has no limit, so any script is modelled
+like Latin, and the model grows with the corpus. All n-grams of all different texts are counted: tasks count what they read, Spark adds up.
 
-Discounts come from the counts of counts; lower orders use continuation counts. The model of a
-language is one sorted array of hashes per order with logarithms of probabilities beside them, and
-of back-off weights; it is read by binary search.
+Spark derives all orders from the counts: continuation counts, discounts from counts of counts,
+back-off weights by context. No model comes to the driver and none is broadcast by hand, however
+large it is or however many languages there are; a language is a key like any other. The model is
+stored as a table of n-gram hashes and logarithms, sorted within ranges of hashes.
+
+Texts are read in blocks of about ``BLOCK_BYTES``. The different n-grams of a block are joined to the
+model, and what is found comes back to the block as one sorted array of hashes beside an array of
+logarithms, read by binary search. As the texts judged are the texts counted, all n-grams are found.
+
+A text is judged by what others say: an n-gram that only one text holds counts as unseen there and is
+read through the back-off weight of its context, or the next shorter context if that one is in no
+other text either. Otherwise junk would be its own model.
 
 The mean negative logarithm per symbol of a text is its score. A language's bands are the quartiles
 of the scores of its different texts, moved out by ``reach`` times the distance between them, which
@@ -22,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanrate.llm import textbytes
@@ -30,8 +38,13 @@ from spanrate.llm.text import text_key
 from spanrate.llm.work import keep, send_package
 
 ORDER = 4
-SYMBOLS = 32
-TOP = SYMBOLS**ORDER
+#: Bits of a code point; an n-gram is two numbers, ``hi`` and ``lo``, of two symbols each.
+BITS = 21
+LOW = 2**BITS - 1
+#: Different n-grams that a task holds before it passes them on.
+HELD = 1 << 20
+#: Bytes of text that share one look into the model.
+BLOCK_BYTES = 8 << 20
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -40,12 +53,10 @@ FINE = 2**24
 #: The distance between quartiles counts as at least this share of the median, however alike texts are.
 LEAST_DISTANCE = 0.01
 
-_SYMBOL = np.full(256, 28, np.uint32)
-_SYMBOL[textbytes.SPACE] = 0
-_SYMBOL[48:58] = 27
-_SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
-_SYMBOL[128:192] = 29 + np.arange(64) % 2
-_SYMBOL[192:256] = 31
+_FOLDED = textbytes.ASCII_LOWER.astype(np.uint64)
+_FOLDED[[i for i in range(128) if not chr(i).isalnum()]] = ord("#")
+_FOLDED[textbytes.SPACE] = ord(" ")
+_FOLDED[48:58] = ord("0")
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -58,22 +69,44 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return running[ends[1:]] - running[ends[:-1]]
 
 
-def grams(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, offsets): every n-gram of ORDER symbols inside a text, before which spaces stand.
-
-    Each text has as many n-grams as bytes: the first ones reach into the spaces before it.
+def symbols(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, offsets): the folded code points of every text."""
+    begins = (data & 0xC0) != 0x80
+    start = np.flatnonzero(begins)
+    width = np.minimum(np.diff(np.append(start, len(data))), 4)
+    code = _FOLDED[data[start]]
+    wide = np.flatnonzero(width > 1)
+    if len(wide):
+        at, size = start[wide], width[wide]
+        value = (data[at] & (0xFF >> (size + 1))).astype(np.uint64)
+        for k in (1, 2, 3):
+            more = size > k
+            value[more] = (value[more] << np.uint64(6)) | (data[at[more] + k] & 0x3F).astype(np.uint64)
+        code[wide] = value & np.uint64(LOW)
+    return code, np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])[ends]
+
+
+def grams(code: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hi, lo) of every n-gram of ORDER symbols inside a text, before which spaces stand.
+
+    Each text has as many n-grams as symbols: the first ones reach into the spaces before it.
     """
-    symbols = _SYMBOL[data]
-    code = symbols.copy()
+    before = []
     for back in range(1, ORDER):
-        earlier = np.zeros(len(symbols), np.uint32)
-        earlier[back:] = symbols[:-back]
+        earlier = np.full(len(code), ord(" "), np.uint64)
+        earlier[back:] = code[:-back]
         # Nothing is read across the beginning of a text.
         for ahead in range(back):
             at = ends[:-1][ends[:-1] + ahead < ends[1:]] + ahead
-            earlier[at] = 0
-        code += earlier * np.uint32(SYMBOLS**back)
-    return code, ends
+            earlier[at] = ord(" ")
+        before.append(earlier)
+    shift = np.uint64(BITS)
+    return (before[2] << shift) | before[1], (before[0] << shift) | code
+
+
+def gram_hashes(tongue: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """One number for a language and an n-gram."""
+    return textbytes.mixed(textbytes.mixed(textbytes.mixed(tongue) + hi) + lo)
 
 
 def base_measures(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
@@ -124,137 +157,188 @@ def _repeated_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return found
 
 
+def _block_grams(block: pa.RecordBatch):
+    """(gram, tongue, hi, lo, offsets) of every n-gram of a block of texts."""
+    code, ends = symbols(*textbytes.utf8(block.column("text")))
+    hi, lo = grams(code, ends)
+    tongue = np.repeat(block.column("tongue").to_numpy().view(np.uint64), np.diff(ends))
+    return gram_hashes(tongue, hi, lo), tongue, hi, lo, ends
+
+
+def _counted(gram, tongue, hi, lo, owner, n):
+    """One row per n-gram; ``owner`` stays the only text that holds it, or becomes 0 for several."""
+    order = np.argsort(gram)
+    gram, owner = gram[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    least, most = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+    kept = order[first]
+    n = np.add.reduceat(n[order], first)
+    return gram[first], tongue[kept], hi[kept], lo[kept], np.where(least == most, least, 0), n
+
+
 def _count_grams(batches):
-    """(lang, gram, n): what one task has read."""
-    totals: dict[str | None, np.ndarray] = {}
+    """(gram, tongue, hi, lo, owner, n): what one task has read, added up as far as it can be held."""
+    held = None
     for block in textbytes.blocks(batches, "text"):
-        data, ends = textbytes.utf8(block.column("text"))
-        codes, _ = grams(data, ends)
-        langs = np.array(block.column("lang").to_pylist(), object)
-        for lang in set(langs):
-            mine = np.flatnonzero([x == lang for x in langs])
-            parts = [codes[ends[i] : ends[i + 1]] for i in mine]
-            found, n = np.unique(np.concatenate(parts), return_counts=True)
-            if lang not in totals:
-                totals[lang] = np.zeros(TOP, np.int64)
-            totals[lang][found] += n
-    for lang, counts in totals.items():
-        found = np.flatnonzero(counts)
-        for at in range(0, len(found), 65_536):
-            part = found[at : at + 65_536]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(part), pa.string()),
-                    pa.array(part.astype(np.int32)),
-                    pa.array(counts[part]),
-                ],
-                names=["lang", "gram", "n"],
-            )
-
-
-class Model:
-    """Modified Kneser-Ney probabilities of one language in sorted hash arrays."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        self.hashes: list[np.ndarray] = []
-        self.values: list[np.ndarray] = []
-        self.contexts: list[np.ndarray] = []
-        self.weights: list[np.ndarray] = []
-        tables = {ORDER: (codes, counts)}
-        for order in range(ORDER - 1, 0, -1):
-            # How many different symbols stand before each shorter n-gram.
-            shorter, kinds = np.unique(tables[order + 1][0] % SYMBOLS**order, return_counts=True)
-            tables[order] = (shorter, kinds)
-        lower = np.full(SYMBOLS, 1.0 / SYMBOLS)
-        for order in range(1, ORDER + 1):
-            lower = self._add(order, *tables[order], lower)
-
-    def _add(self, order: int, codes: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Store one order; ``lower`` and the result give the probability of any n-gram there."""
-        n = [max(1, int((counts == k).sum())) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        discounts = np.array([0.0] + [min(k - 0.05, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)])
-        context, place = np.unique(codes // SYMBOLS, return_inverse=True)
-        total = np.bincount(place, counts)
-        off = discounts[np.minimum(counts, 3)]
-        weight = np.bincount(place, off) / total
-        value = (counts - off) / total[place] + weight[place] * lower[codes % SYMBOLS ** max(order - 1, 1)]
-        self.hashes.append(*_sorted(_gram_hash(order, codes), np.log(value), self.values))
-        self.contexts.append(*_sorted(_gram_hash(order, context), np.log(weight), self.weights))
-        whole = np.ones(SYMBOLS ** (order - 1))
-        whole[context] = weight
-        every = np.repeat(whole, SYMBOLS) * np.resize(lower, SYMBOLS**order)
-        every[codes] = value
-        return every
-
-    def log_probability(self, codes: np.ndarray) -> np.ndarray:
-        """Of each n-gram's last symbol after the ones before it."""
-        result = np.zeros(len(codes))
-        open_ = np.arange(len(codes))
-        for order in range(ORDER, 0, -1):
-            own = codes[open_] % SYMBOLS**order
-            found, at = _search(self.hashes[order - 1], _gram_hash(order, own))
-            result[open_[found]] += self.values[order - 1][at[found]]
-            open_, own = open_[~found], own[~found]
-            if not len(open_):
-                return result
-            known, at = _search(self.contexts[order - 1], _gram_hash(order, own // SYMBOLS))
-            result[open_[known]] += self.weights[order - 1][at[known]]
-        result[open_] -= np.log(SYMBOLS)
-        return result
-
-
-def _gram_hash(order: int, codes: np.ndarray) -> np.ndarray:
-    return textbytes.mixed(codes.astype(np.uint64) + np.uint64(order << 40))
-
-
-def _sorted(hashes: np.ndarray, values: np.ndarray, beside: list[np.ndarray]) -> list[np.ndarray]:
-    order = np.argsort(hashes)
-    beside.append(values[order])
-    return [hashes[order]]
+        *new, ends = _block_grams(block)
+        if not len(new[0]):
+            continue
+        owner = np.repeat(block.column("key").to_numpy(), np.diff(ends))
+        new = _counted(*new, owner, np.ones(len(owner), np.int64))
+        held = new if held is None else _counted(*[np.concatenate(x) for x in zip(held, new, strict=True)])
+        if len(held[0]) > HELD:
+            yield from _gram_batches(held)
+            held = None
+    if held is not None:
+        yield from _gram_batches(held)
+
+
+def _gram_batches(held):
+    for at in range(0, len(held[0]), 65_536):
+        part = [pa.array(x[at : at + 65_536].view(np.int64)) for x in held]
+        yield pa.RecordBatch.from_arrays(part, names=["gram", "tongue", "hi", "lo", "owner", "n"])
+
+
+def _owner(over: Window | None = None) -> Column:
+    """The only text among the owners, or 0."""
+    least, most = F.min("owner"), F.max("owner")
+    if over is not None:
+        least, most = least.over(over), most.over(over)
+    return F.when(least == most, least).otherwise(0)
+
 
+def _levels(four: DataFrame) -> list[DataFrame]:
+    """Counts (tongue, hi, lo, n, owner) by order, 1 first: below the top, how many symbols stand before."""
 
-def _search(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-    return hashes[at] == wanted, at
+    def shorter(level: DataFrame, hi: Column, lo: Column) -> DataFrame:
+        grouped = level.groupBy("tongue", hi.alias("hi"), lo.alias("lo"))
+        return grouped.agg(F.count("*").alias("n"), _owner().alias("owner"))
 
+    hi, lo, none = F.col("hi"), F.col("lo"), F.lit(0).cast("long")
+    three = keep(shorter(four, hi.bitwiseAND(LOW), lo), "grams-3")
+    two = shorter(three, none, lo)
+    return [shorter(two, none, lo.bitwiseAND(LOW)), two, three, four]
 
-def train(docs: DataFrame) -> dict[str | None, Model]:
-    """A model per language from all rows (lang, text); at most 32^4 counts of each come here."""
+
+def _discounts(levels: list[DataFrame]) -> DataFrame:
+    """(order, tongue, d1, d2, d3) from the counts of counts; a count that never occurs is taken as one."""
+    c1, c2, c3, c4 = (F.greatest(F.lit(1), F.count_if(F.col("n") == k)) for k in (1, 2, 3, 4))
+    y = c1 / (c1 + 2 * c2)
+
+    def discount(k: int, here: Column, above: Column) -> Column:
+        return F.least(F.lit(k - 0.05), F.greatest(F.lit(0.05), k - (k + 1) * y * above / here))
+
+    every = None
+    for order, level in enumerate(levels, 1):
+        own = level.groupBy("tongue").agg(
+            discount(1, c1, c2).alias("d1"), discount(2, c2, c3).alias("d2"), discount(3, c3, c4).alias("d3")
+        )
+        own = own.withColumn("order", F.lit(order))
+        every = own if every is None else every.unionByName(own)
+    return keep(every, "discounts")
+
+
+def _probabilities(levels: list[DataFrame], discounts: DataFrame) -> DataFrame:
+    """The n-grams of the top order with p, the probability of the last symbol after the others, and
+    p_others, which is the same for n-grams of several texts and the back-off's for those of one.
+
+    A context's rows are the symbols that follow it: at most as many as there are code points.
+    """
+    context = Window.partitionBy("tongue", "hi", F.shiftright("lo", BITS))
+    n = F.col("n")
+    off = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+    shares = [F.col(f"d{k}") * F.sum((n == k if k < 3 else n >= 3).cast("long")).over(context) for k in (1, 2, 3)]
+    total = F.sum("n").over(context)
+    # What follows a shorter context: without the first symbol.
+    suffixes = {
+        2: (F.lit(0).cast("long"), F.col("lo").bitwiseAND(LOW)),
+        3: (F.lit(0).cast("long"), F.col("lo")),
+        4: (F.col("hi").bitwiseAND(LOW), F.col("lo")),
+    }
+    below = None
+    for order, level in enumerate(levels, 1):
+        rows = level.join(discounts.where(F.col("order") == order).drop("order"), "tongue").select(
+            *level.columns,
+            ((n - off) / total).alias("own"),
+            ((shares[0] + shares[1] + shares[2]) / total).alias("weight"),
+            (1 / F.count("*").over(context)).alias("even"),
+            _owner(context).alias("context_owner"),
+        )
+        if below is None:
+            p_below = others_below = F.col("even")
+        else:
+            hi, lo = suffixes[order]
+            rows = rows.withColumns({"hi_b": hi, "lo_b": lo}).join(below, ["tongue", "hi_b", "lo_b"])
+            p_below, others_below = F.col("p_b"), F.col("others_b")
+        p = F.col("own") + F.col("weight") * p_below
+        unseen = F.when(F.col("context_owner") == 0, F.col("weight")).otherwise(1.0) * others_below
+        others = F.when(F.col("owner") == 0, p).otherwise(unseen)
+        rows = rows.select(*level.columns, p.alias("p"), others.alias("p_others"))
+        below = rows.select(
+            "tongue",
+            F.col("hi").alias("hi_b"),
+            F.col("lo").alias("lo_b"),
+            F.col("p").alias("p_b"),
+            F.col("p_others").alias("others_b"),
+        )
+    return rows
+
+
+def _tongue(lang: Column) -> Column:
+    return F.xxhash64(lang, lang.isNull())
+
+
+def train(docs: DataFrame) -> DataFrame:
+    """(gram, tongue, hi, lo, n, owner, p, p_others): every n-gram of all rows (lang, text, key)."""
     send_package(docs.sparkSession)
-    counted = docs.select("lang", "text").mapInArrow(_count_grams, "lang string, gram int, n long")
-    totals = keep(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    models = {}
-    for row in totals.select("lang").distinct().collect():
-        own = totals.where(F.col("lang").eqNullSafe(row["lang"])).select("gram", "n").toArrow()
-        codes = own["gram"].to_numpy().astype(np.int64)
-        order = np.argsort(codes)
-        models[row["lang"]] = Model(codes[order], own["n"].to_numpy()[order])
-    return models
-
-
-def _scorer(models):
-    def score(batches):
-        for block in textbytes.blocks(batches, "text"):
-            data, ends = textbytes.utf8(block.column("text"))
-            measures = base_measures(data, ends)
-            codes, _ = grams(data, ends)
-            langs = block.column("lang").to_pylist()
-            logs = np.zeros(len(codes))
-            for lang in set(langs):
-                mine = np.repeat([x == lang for x in langs], np.diff(ends))
-                if mine.any():
-                    found, place = np.unique(codes[mine], return_inverse=True)
-                    logs[mine] = models.value[lang].log_probability(found.astype(np.int64))[place]
-            # Sums of whole numbers: equal texts score equally wherever they stand in a batch.
-            size = np.diff(ends)
-            mean = -_sums(np.rint(logs * FINE).astype(np.int64), ends) / FINE / np.maximum(size, 1)
-            columns = [block.column("doc_id"), block.column("lang"), block.column("key")]
-            columns += [pa.array(measures[k].astype(np.int64)) for k in BASE]
-            columns.append(pa.array(mean, pa.float64(), mask=size == 0))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "key", *BASE, "score"])
-
-    return score
+    counted = docs.select(_tongue(F.col("lang")).alias("tongue"), "text", "key").mapInArrow(
+        _count_grams, "gram long, tongue long, hi long, lo long, owner long, n long"
+    )
+    added = counted.groupBy("gram", "tongue", "hi", "lo").agg(F.sum("n").alias("n"), _owner().alias("owner"))
+    four = keep(added, "grams-4")
+    levels = _levels(four)
+    return _probabilities(levels, _discounts(levels))
+
+
+def _asked(texts: pa.Table) -> pa.Table:
+    """(block, gram): the different n-grams of one block."""
+    parts = [np.zeros(0, np.uint64)]
+    for piece in textbytes.blocks(texts.to_batches(), "text"):
+        parts.append(np.unique(_block_grams(piece)[0]))
+    found = np.unique(np.concatenate(parts)).view(np.int64)
+    block = np.full(len(found), texts.column("block")[0].as_py(), np.int64)
+    return pa.table({"block": block, "gram": found})
+
+
+def _scores(texts: pa.Table, known: pa.Table) -> pa.Table:
+    """Base measures and score of one block's texts; ``known`` holds the logarithms of its n-grams."""
+    hashes = known.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    hashes, values = hashes[order], known.column("log").to_numpy()[order].astype(np.int64)
+    scored = []
+    for piece in textbytes.blocks(texts.to_batches(), "text"):
+        measures = base_measures(*textbytes.utf8(piece.column("text")))
+        gram, *_, ends = _block_grams(piece)
+        size = np.diff(ends)
+        # Sums of whole numbers: equal texts score equally wherever they stand.
+        logs = values[np.searchsorted(hashes, gram)] if len(gram) else np.zeros(0, np.int64)
+        mean = -_sums(logs, ends) / FINE / np.maximum(size, 1)
+        columns = [piece.column("doc_id"), piece.column("lang"), piece.column("key")]
+        columns += [pa.array(measures[k].astype(np.int64)) for k in BASE]
+        columns.append(pa.array(mean, pa.float64(), mask=size == 0))
+        scored.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "key", *BASE, "score"]))
+    return pa.Table.from_batches(scored)
+
+
+def _scored(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """Base measures and score of all rows. Copies of a text go to different blocks by their ids."""
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    block = F.pmod(F.xxhash64("doc_id", "key"), F.lit(size // BLOCK_BYTES + 1))
+    texts = rows.withColumns({"block": block, "tongue": _tongue(F.col("lang"))}).repartition("block")
+    asked = texts.select("block", "tongue", "text").groupBy("block").applyInArrow(_asked, "block long, gram long")
+    known = asked.join(model, "gram").select("block", "gram", "log")
+    schema = "doc_id long, lang string, key long, " + ", ".join(f"{k} long" for k in BASE) + ", score double"
+    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_scores, schema)
 
 
 def _different(rows: DataFrame) -> DataFrame:
@@ -292,10 +376,9 @@ def judge_quality(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         text_key(F.col(text_col)).alias("key"),
     )
-    spark = docs.sparkSession
-    models = spark.sparkContext.broadcast(train(_different(rows)))
-    schema = "doc_id long, lang string, key long, " + ", ".join(f"{k} long" for k in BASE) + ", score double"
-    scored = keep(rows.mapInArrow(_scorer(models), schema), "scores")
+    log = F.round(F.log("p_others") * FINE).cast("int").alias("log")
+    model = train(_different(rows)).select("gram", log).repartitionByRange("gram").sortWithinPartitions("gram")
+    scored = keep(_scored(rows, keep(model, "model")), "scores")
     bands = keep(_bands(scored, "score", reach), "bands")
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")

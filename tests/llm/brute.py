@@ -90,3 +90,65 @@ def drop_lines(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, str]]
         kept = [x for x, g in zip(lines, gone, strict=True) if not g]
         out.append((len(lines), sum(gone), "\n".join(kept)))
     return out
+
+
+def symbol(c: str) -> str:
+    """What a character counts as in the n-gram model."""
+    if c in " \t\n\x0b\x0c\r":
+        return " "
+    if c in "0123456789":
+        return "0"
+    if c.isascii():
+        return c.lower() if c.isalpha() else "#"
+    return c
+
+
+class KneserNey:
+    """Modified Kneser-Ney of order 4 over symbols, with dictionaries."""
+
+    def __init__(self, texts):
+        self.counts = {k: Counter() for k in (1, 2, 3, 4)}
+        #: Texts that hold a gram, or a context (which has a symbol behind it).
+        self.holders, self.followed = defaultdict(set), defaultdict(set)
+        for text in texts:
+            padded = [" "] * 3 + [symbol(c) for c in text]
+            own = [tuple(padded[i : i + 4]) for i in range(len(padded) - 3)]
+            self.counts[4].update(own)
+            for gram in own:
+                for k in range(4):
+                    self.holders[gram[k:]].add(text)
+                    self.followed[gram[k:-1]].add(text)
+        for k in (3, 2, 1):
+            self.counts[k].update(gram[1:] for gram in self.counts[k + 1])
+        self.alphabet = {gram[0] for gram in self.counts[1]}
+        self.after = {k: {} for k in self.counts}
+        for k, counts in self.counts.items():
+            for gram, n in counts.items():
+                self.after[k].setdefault(gram[:-1], []).append(n)
+        self.discounts = {}
+        for k, counts in self.counts.items():
+            n = [max(1, sum(x == i for x in counts.values())) for i in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1])
+            self.discounts[k] = [min(i - 0.05, max(0.05, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
+
+    def probability(self, gram):
+        if not gram:
+            return 1 / len(self.alphabet)
+        k = len(gram)
+        after = self.after[k].get(gram[:-1])
+        if after is None:
+            return self.probability(gram[1:])
+        off = lambda n: self.discounts[k][min(n, 3) - 1]
+        n = self.counts[k][gram]
+        own = n - off(n) if n else 0.0
+        return (own + sum(map(off, after)) * self.probability(gram[1:])) / sum(after)
+
+    def by_others(self, gram):
+        """The probability for the text that holds ``gram`` if no other does."""
+        if not gram or len(self.holders[gram]) > 1:
+            return self.probability(gram)
+        k, lower = len(gram), self.by_others(gram[1:])
+        if len(self.followed[gram[:-1]]) < 2:
+            return lower
+        after = self.after[k][gram[:-1]]
+        return sum(self.discounts[k][min(n, 3) - 1] for n in after) / sum(after) * lower
