@@ -10,7 +10,7 @@ back-off weights by context. No model comes to the driver and none is broadcast
 large it is or however many languages there are; a language is a key like any other. The model is
 stored as a table of n-gram hashes and logarithms, sorted within ranges of hashes.
 
-Texts are read in blocks of about ``BLOCK_BYTES``. The different n-grams of a block are joined to the
+Texts are packed, compressed, in blocks of about ``BLOCK_BYTES`` of what one task reads. The different n-grams of a block are joined to the
 model, and what is found comes back to the block as one sorted array of hashes beside an array of
 logarithms, read by binary search. As the texts judged are the texts counted, all n-grams are found.
 
@@ -30,12 +30,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanrate.llm import textbytes
 from spanrate.llm.text import text_key
-from spanrate.llm.work import keep, send_package
+from spanrate.llm.work import keep, new_path, send_package
 
 ORDER = 4
 #: Bits of a code point; an n-gram is two numbers, ``hi`` and ``lo``, of two symbols each.
@@ -45,6 +46,10 @@ LOW = 2**BITS - 1
 HELD = 1 << 20
 #: Bytes of text that share one look into the model.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that are turned into n-grams at once, and bytes of text to a bucket of blocks.
+PIECE_BYTES = 1 << 20
+BUCKET_BYTES = 16 << 20
+MAX_BUCKETS = 100_000
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -178,19 +183,22 @@ def _counted(gram, tongue, hi, lo, owner, n):
 
 def _count_grams(batches):
     """(gram, tongue, hi, lo, owner, n): what one task has read, added up as far as it can be held."""
-    held = None
-    for block in textbytes.blocks(batches, "text"):
+    held, size = [], 0
+    for block in textbytes.blocks(batches, "text", PIECE_BYTES):
         *new, ends = _block_grams(block)
         if not len(new[0]):
             continue
         owner = np.repeat(block.column("key").to_numpy(), np.diff(ends))
-        new = _counted(*new, owner, np.ones(len(owner), np.int64))
-        held = new if held is None else _counted(*[np.concatenate(x) for x in zip(held, new, strict=True)])
-        if len(held[0]) > HELD:
-            yield from _gram_batches(held)
-            held = None
-    if held is not None:
-        yield from _gram_batches(held)
+        held.append(_counted(*new, owner, np.ones(len(owner), np.int64)))
+        size += len(held[-1][0])
+        if size > 2 * HELD:
+            held = [_counted(*[np.concatenate(x) for x in zip(*held, strict=True)])]
+            size = len(held[0][0])
+            if size > HELD:
+                yield from _gram_batches(held[0])
+                held, size = [], 0
+    if held:
+        yield from _gram_batches(_counted(*[np.concatenate(x) for x in zip(*held, strict=True)]))
 
 
 def _gram_batches(held):
@@ -300,23 +308,48 @@ def train(docs: DataFrame) -> DataFrame:
     return _probabilities(levels, _discounts(levels))
 
 
-def _asked(texts: pa.Table) -> pa.Table:
-    """(block, gram): the different n-grams of one block."""
-    parts = [np.zeros(0, np.uint64)]
-    for piece in textbytes.blocks(texts.to_batches(), "text"):
-        parts.append(np.unique(_block_grams(piece)[0]))
-    found = np.unique(np.concatenate(parts)).view(np.int64)
-    block = np.full(len(found), texts.column("block")[0].as_py(), np.int64)
-    return pa.table({"block": block, "gram": found})
-
-
-def _scores(texts: pa.Table, known: pa.Table) -> pa.Table:
+def _packed(batches):
+    """(block, texts): rows in blocks, each one compressed value."""
+    first, n, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+    for piece in textbytes.blocks(batches, "text", PIECE_BYTES):
+        held.append(piece)
+        size += int(textbytes.utf8(piece.column("text"))[1][-1])
+        if size >= BLOCK_BYTES:
+            yield _pack(first + n, held)
+            n, held, size = n + 1, [], 0
+    if held:
+        yield _pack(first + n, held)
+
+
+def _pack(block: int, pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    with pa.ipc.new_stream(sink, pieces[0].schema, options=options) as out:
+        for piece in pieces:
+            out.write_batch(piece)
+    columns = [pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "texts"])
+
+
+def _asked(batches):
+    """(block, gram): the different n-grams of each block."""
+    for batch in batches:
+        for block, texts in zip(batch.column("block"), batch.column("texts"), strict=True):
+            parts = [np.zeros(0, np.uint64)]
+            for piece in pa.ipc.open_stream(texts.as_buffer()):
+                parts.append(np.unique(_block_grams(piece)[0]))
+            found = np.unique(np.concatenate(parts)).view(np.int64)
+            own = np.full(len(found), block.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(found)], names=["block", "gram"])
+
+
+def _scores(packed: pa.Table, known: pa.Table) -> pa.Table:
     """Base measures and score of one block's texts; ``known`` holds the logarithms of its n-grams."""
     hashes = known.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     hashes, values = hashes[order], known.column("log").to_numpy()[order].astype(np.int64)
     scored = []
-    for piece in textbytes.blocks(texts.to_batches(), "text"):
+    for piece in pa.ipc.open_stream(packed.column("texts")[0].as_buffer()):
         measures = base_measures(*textbytes.utf8(piece.column("text")))
         gram, *_, ends = _block_grams(piece)
         size = np.diff(ends)
@@ -331,14 +364,21 @@ def _scores(texts: pa.Table, known: pa.Table) -> pa.Table:
 
 
 def _scored(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Base measures and score of all rows. Copies of a text go to different blocks by their ids."""
+    """Base measures and score of all rows. Packed texts are stored in buckets by block and stay there:
+    what the model says about a block's n-grams comes to its bucket."""
+    spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    block = F.pmod(F.xxhash64("doc_id", "key"), F.lit(size // BLOCK_BYTES + 1))
-    texts = rows.withColumns({"block": block, "tongue": _tongue(F.col("lang"))}).repartition("block")
-    asked = texts.select("block", "tongue", "text").groupBy("block").applyInArrow(_asked, "block long, gram long")
+    rows = rows.select("doc_id", "lang", "key", _tongue(F.col("lang")).alias("tongue"), "text")
+    path = new_path(spark, "blocks")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = min(MAX_BUCKETS, size // BUCKET_BYTES + 8)
+    packed = rows.mapInArrow(_packed, "block long, texts binary")
+    packed.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    blocks = spark.table(name)
+    asked = blocks.mapInArrow(_asked, "block long, gram long")
     known = asked.join(model, "gram").select("block", "gram", "log")
     schema = "doc_id long, lang string, key long, " + ", ".join(f"{k} long" for k in BASE) + ", score double"
-    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_scores, schema)
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_scores, schema)
 
 
 def _different(rows: DataFrame) -> DataFrame:

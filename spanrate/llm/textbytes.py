@@ -33,15 +33,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``BLOCK`` bytes of text each, whole rows always."""
+def blocks(batches: Iterator[pa.RecordBatch], text_col: str, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``size`` (``BLOCK``) bytes of text each, whole rows always."""
+    size = size or BLOCK
     for batch in batches:
         if not batch.num_rows:
             continue
         _, ends = utf8(batch.column(text_col))
         start = 0
         while start < batch.num_rows:
-            stop = int(np.searchsorted(ends, ends[start] + BLOCK, "right")) - 1
+            stop = int(np.searchsorted(ends, ends[start] + size, "right")) - 1
             stop = max(start + 1, stop)
             yield batch.slice(start, stop - start)
             start = stop
