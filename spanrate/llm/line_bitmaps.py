@@ -5,9 +5,9 @@ A line's key is the line without ASCII white space at its ends, A-Z lower-cased.
 except those of the largest id that holds it.
 
 Lines become 128-bit hashes, dealt by range over (hash, salt) and sorted by document and position
-inside, so that one line held by a third of all documents still spreads over many tasks. Streaming
-over the sorted rows gives each document's first occurrence of a key; those are counted per
-(hash, salt), then per hash. The result of a document is a bitmap of its kept lines as runs.
+inside, so that one line held by a third of all documents still spreads over many tasks. The same
+stage streams over the sorted rows and marks each document's first occurrence of a key; those are
+counted per partition, then per hash. The result of a document is a bitmap of its kept lines as runs.
 
 Null text is one empty line, like empty text. Rows that repeat an id and a text are one document
 for the counts and give one result row each; an id with several texts counts once per key. Null
@@ -39,21 +39,20 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     )
     key = F.btrim(ascii_lower(F.col("line")), F.lit(SPACES))
     salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
-    return (
+    dealt = (
         lines.where(F.char_length(F.btrim("line", F.lit(SPACES))) >= min_chars)
         .select("doc", "version", "pos", F.unhex(F.md5(key)).alias("key"), salt.alias("salt"))
         .repartitionByRange("key", "salt")
-        .sortWithinPartitions("key", "salt", F.desc("doc"), "pos")
     )
+    # Partitions by range hold every row of a (key, salt): the stream needs no other shuffle.
+    stream = Window.partitionBy("key", "salt").orderBy(F.desc("doc"), "pos")
+    return dealt.withColumn("first", F.coalesce(F.lag("doc").over(stream) != F.col("doc"), F.lit(True)))
 
 
 def _repeated(occurrences: DataFrame, min_docs: int) -> DataFrame:
-    """Keys of enough documents, with the document that keeps them, once per salt."""
-    stream = Window.partitionBy("key", "salt").orderBy(F.desc("doc"), "pos")
-    first = F.lag("doc").over(stream)
+    """Keys of enough documents, with the document that keeps them."""
     return (
-        occurrences.select("key", "salt", "doc", first.alias("before"))
-        .where(F.col("before").isNull() | (F.col("before") != F.col("doc")))
+        occurrences.where("first")
         .groupBy("key")
         .agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)

@@ -15,11 +15,20 @@ from spanrate.llm import bbit_minhash, feistel
 from spanrate.llm.bbit_minhash import drop_near_duplicates, near_duplicates
 from spanrate.llm.components import connected_components
 from spanrate.llm.cross_parsing import drop_unidentified, identify_languages, learnable, suffix_automaton
-from spanrate.llm.line_bitmaps import drop_lines, line_bitmaps
+from spanrate.llm.line_bitmaps import _occurrences, drop_lines, line_bitmaps
 from spanrate.llm.positional_index import contamination, phrase_matches, proximity_matches
 from spanrate.llm.systematic_mix import mixed_documents, systematic_copies
 
 
+def test_lines_are_shuffled_once(spark, make_docs, odd_rows):
+    plan = line_plan(_occurrences(make_docs(odd_rows), "doc_id", "text", 20))
+    assert plan.count("Exchange") == 1 and "Exchange rangepartitioning(key" in plan and plan.count("Sort [") == 1
+
+
+def line_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_bitmaps_equal_brute_force(make_docs, odd_rows):
     found = Counter(
         (r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"])
