@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 NORMAL_975 = 1.959963984540054
 #: Newton's method doubles the digits; the cube-root start has three of them from one event on.
 NEWTON_STEPS, FEW_EVENTS_STEPS = 7, 20
+#: A step this small relative to the value is rounding.
+SETTLED = 1e-12
 
 
 def _gamma_log(a: np.ndarray) -> np.ndarray:
@@ -210,7 +212,9 @@ def chi_square_quantile(p: float, df: Column) -> Column:
                 slope = F.exp((a - 1) * F.log(x) - x - gamma_log)
                 newton = x - miss / F.greatest(slope, F.lit(1e-300))
                 inside = (newton > low) & (newton < high)
-                after = F.when(miss == 0, x).when(inside, newton).otherwise((low + high) / 2.0)
+                # A value that is found stays: its next step may touch the bracket by rounding.
+                found = (miss == 0) | (F.abs(newton - x) <= SETTLED * x)
+                after = F.when(found, x).when(inside, newton).otherwise((low + high) / 2.0)
                 return F.struct(after.alias("x"), low.alias("low"), high.alias("high"))
 
             state = _with(_gamma_cdf_column(a, x, gamma_log) - p, moved)

@@ -130,3 +130,15 @@ def test_quantile_columns_equal_the_arrays(spark):
         for d, expected in zip(degrees, chi_square_quantiles(p, np.array(degrees)), strict=True):
             assert rows[d][name] == pytest.approx(expected, rel=1e-11, abs=1e-14)
     assert rows[-1.0].low is None and rows[None].high is None
+
+
+def test_limits_stay_where_they_are_found(spark):
+    """115 events: a bisection after Newton's last step left the lower limit 1e-6 too low."""
+    from pyspark.sql import functions as F
+
+    degrees = list(range(2, 802, 2))
+    frame = spark.createDataFrame([(float(d),) for d in degrees], "d double")
+    for p in (0.025, 0.975):
+        found = {r.d: r.x for r in frame.select("d", chi_square_quantile(p, F.col("d")).alias("x")).collect()}
+        for d, x in zip(degrees, chi_square_quantiles(p, np.array(degrees, float)), strict=True):
+            assert abs(found[float(d)] - x) <= 1e-10 * x, (p, d)
