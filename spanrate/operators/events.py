@@ -130,17 +130,23 @@ _SCANS = {
 
 
 SALTS = 16
+#: More codes than this are never collected: a code takes some 100 bytes in every process.
+BROADCAST_CODES = 100_000
 
 
 def with_codes(scan: DataFrame, codes: DataFrame) -> DataFrame:
     """Events of the listed codes.
 
-    The few codes are repeated per salt and the events carry one by person, so a code that most
-    events have is spread over many tasks where the codes are too many to be broadcast.
+    Few codes, by their number and not by the size of a file, are sent to the events as they are.
+    Many are shuffled with the events, whatever the planner takes their size for: there they are
+    repeated per salt and the events carry one by person, so a code that most events have is
+    spread over many tasks.
     """
+    if codes.count() <= BROADCAST_CODES:
+        return scan.join(F.broadcast(codes), "concept_id")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salted = scan.withColumn("_salt", F.pmod(F.xxhash64("person_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(codes.withColumn("_salt", salts), ["concept_id", "_salt"]).drop("_salt")
+    return salted.join(codes.withColumn("_salt", salts).hint("merge"), ["concept_id", "_salt"]).drop("_salt")
 
 
 def criterion_events(batch: CohortBatch, parts: Sequence[tuple[int, Criterion]]) -> DataFrame:

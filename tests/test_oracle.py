@@ -119,3 +119,19 @@ def test_a_code_that_most_events_have_is_split(spark):
             spark.conf.set(k, v)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert sum(sizes) == 10_000 and max(sizes) < 3_000
+
+
+def test_many_codes_are_not_collected(spark, monkeypatch):
+    """Their file is small, their rows are not: above the limit they are shuffled, salted."""
+    scan = spark.range(10_000).select(
+        (F.col("id") % 1000).alias("person_id"), F.when(F.col("id") % 10 > 0, 1).otherwise(2).alias("concept_id")
+    )
+    codes = durable_module.durable(spark.range(1, 301).select(F.col("id").cast("int").alias("concept_id")))
+    few = with_codes(scan, codes)
+    assert "_salt" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(events, "BROADCAST_CODES", 299)
+    many = with_codes(scan, codes)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert many.count() == few.count() == 10_000
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
