@@ -15,8 +15,9 @@ share from each. Nothing else is bounded; every text is parsed whole.
 
 ``drop_unidentified`` also rejects what reads like no learned language: a text with more than
 ``FACTOR`` times the phrases that a text of its size in its predicted language has, and ``SLACK`` more.
-The phrases per byte of a language are the median over labelled texts outside of the sample, the
-``MEASURED`` with the next hashes; a language with fewer than ``LEAST`` of those has no such bound.
+The phrases per byte of a language are the median over all different labelled texts that the automata
+were not built from; a language with fewer than ``LEAST`` of those has no such bound. The whole corpus
+is parsed once, and that parse gives both the medians and what is kept.
 
 Null texts and texts without a letter are ``und`` with score 0, as are all texts if there is no
 labelled text. With one language the score is 1. Repeated rows are predicted alike. Only id and
@@ -44,8 +45,9 @@ UNKNOWN = "und"
 #: at 300 and all at 1,500; letters drawn evenly go at any of these sizes.
 FACTOR = 2.0
 SLACK = 3
-MEASURED = 256
 LEAST = 20
+#: Digits of phrases per byte: at most 10**DIGITS different values of a language are counted up.
+DIGITS = 6
 
 
 def normalised(text: Column) -> Column:
@@ -153,12 +155,17 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "hash").distinct().withColumn("n", F.row_number().over(by_hash))
 
 
+def sample_keys(labelled: DataFrame, text_col: str, lang_col: str, texts: int) -> DataFrame:
+    """(lang, hash) of the texts that the automata are built from."""
+    rows = _labelled(labelled, text_col, lang_col)
+    return keep(_numbered(rows).where(F.col("n") <= texts).drop("n"), "sample-keys")
+
+
 def training_sample(
-    labelled: DataFrame, text_col: str, lang_col: str, texts: int, train_bytes: int
+    labelled: DataFrame, chosen: DataFrame, text_col: str, lang_col: str, texts: int, train_bytes: int
 ) -> tuple[tuple[str, bytes], ...]:
     """(language, text) for every language, at most ``train_bytes`` bytes of each."""
     rows = _labelled(labelled, text_col, lang_col)
-    chosen = keep(_numbered(rows).where(F.col("n") <= texts).drop("n"), "sample-keys")
     # Bounded: at most ``texts`` rows of at most ``train_bytes`` characters for a language.
     share = max(1, train_bytes // texts)
     cut = F.substring(normalised(F.substring("text", 1, 4 * share)), 1, share)
@@ -169,17 +176,25 @@ def training_sample(
     return tuple((lang, b" ".join(parts)[:train_bytes]) for lang, parts in sorted(gathered.items()))
 
 
-def phrase_limits(labelled: DataFrame, samples, text_col: str, lang_col: str, texts: int) -> dict[str, float]:
-    """Phrases per byte above which a text is in none of the languages, by predicted language."""
-    rows = _labelled(labelled, text_col, lang_col)
-    outside = _numbered(rows).where((F.col("n") > texts) & (F.col("n") <= texts + MEASURED))
-    outside = keep(outside.drop("n"), "measured-keys")
-    measured = rows.join(outside, ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text"))
-    rates = predicted(measured, samples, "text", ["hash"], measures=True).groupBy("lang_pred").agg(
-        F.percentile_approx(F.col("__phrases") / F.col("__size"), 0.5, 10_000).alias("rate"),
-        F.count("*").alias("n"),
+def phrase_limits(parsed: DataFrame, chosen: DataFrame) -> dict[str, float]:
+    """Phrases per byte above which a text is in none of the languages, by predicted language.
+
+    ``parsed`` (lang, hash, lang_pred, phrases, size) holds every labelled text that may be learned from.
+    """
+    rate = F.round(F.col("phrases") / F.col("size"), DIGITS)
+    outside = parsed.join(chosen, ["lang", "hash"], "left_anti")
+    different = outside.groupBy("lang", "hash").agg(F.min(F.struct("lang_pred", rate.alias("rate"))).alias("text"))
+    counts = different.groupBy("text.lang_pred", "text.rate").agg(F.count("*").alias("n"))
+    of_language = Window.partitionBy("lang_pred")
+    placed = counts.withColumns(
+        {
+            "below": F.sum("n").over(of_language.orderBy("rate")),
+            "all": F.sum("n").over(of_language),
+        }
     )
-    return {r["lang_pred"]: FACTOR * r["rate"] for r in rates.where(F.col("n") >= LEAST).collect()}
+    upper = placed.where((F.col("all") >= LEAST) & (2 * F.col("below") >= F.col("all")))
+    medians = upper.groupBy("lang_pred").agg(F.min("rate").alias("rate"))
+    return {r["lang_pred"]: FACTOR * r["rate"] for r in medians.collect()}
 
 
 def _predictor(samples, carried: list[str], measures: bool):
@@ -242,7 +257,8 @@ def identify_languages(
     train_bytes: int = 32_768,
 ) -> DataFrame:
     """(doc_id, lang_pred, score) per row of ``docs``, learned from the rows of ``labelled``."""
-    samples = training_sample(labelled, text_col, lang_col, texts, train_bytes)
+    chosen = sample_keys(labelled, text_col, lang_col, texts)
+    samples = training_sample(labelled, chosen, text_col, lang_col, texts, train_bytes)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return predicted(rows, samples, "text", ["doc_id"])
 
@@ -269,12 +285,22 @@ def drop_unidentified(
     Without labelled text nothing tells languages, and only rows without a letter go.
     """
     known = learnable(docs, id_col)
-    samples = training_sample(known, text_col, lang_col, texts, train_bytes)
+    chosen = sample_keys(known, text_col, lang_col, texts)
+    samples = training_sample(known, chosen, text_col, lang_col, texts, train_bytes)
     if not samples:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
-    limits = phrase_limits(known, samples, text_col, lang_col, texts)
-    rows = set_apart(docs, text=text_col)
+    rows = set_apart(docs, text=text_col).withColumns(
+        {
+            "lang": F.when(~held_out(F.col("row").getField(id_col)), F.col("row").getField(lang_col)),
+            "hash": text_key(F.col("text")),
+        }
+    )
     found = predicted(rows, samples, "text", measures=True).where(F.col("lang_pred") != UNKNOWN)
+    found = keep(found, "parsed")
+    measured = found.where(F.col("lang").isNotNull()).select(
+        "lang", "hash", "lang_pred", F.col("__phrases").alias("phrases"), F.col("__size").alias("size")
+    )
+    limits = phrase_limits(measured, chosen)
     for lang, limit in sorted(limits.items()):
         most = limit * F.col("__size") + SLACK
         found = found.where((F.col("lang_pred") != lang) | (F.col("__phrases") <= most))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import brute
@@ -18,6 +19,7 @@ from spanrate.llm.cross_parsing import drop_unidentified, identify_languages, le
 from spanrate.llm.line_bitmaps import _occurrences, drop_lines, line_bitmaps
 from spanrate.llm.positional_index import contamination, phrase_matches, proximity_matches
 from spanrate.llm.systematic_mix import mixed_documents, systematic_copies
+from spanrate.llm.text import text_key
 
 
 def test_lines_are_shuffled_once(spark, make_docs, odd_rows):
@@ -303,6 +305,22 @@ def test_text_in_no_learned_language_is_dropped_and_unlabelled_text_is_not(make_
     assert kept == {*range(20), *(r[0] for r in noise)}
 
 
+def test_phrase_bound_is_measured_on_all_labelled_texts(spark, make_docs, words):
+    """Most labelled texts are dense; the 256 with the smallest hashes, measured alone, are not."""
+    draw = random.Random(23)
+    plain = [" ".join(draw.choices(words, k=60)) for _ in range(600)]
+    dense = ["".join(draw.choice("klmnopqrstuvwxyz ") for _ in range(300)) for _ in range(800)]
+    frame = spark.createDataFrame([(t,) for t in plain + dense], "text string")
+    hashes = {r[0]: r[1] for r in frame.select("text", text_key(F.col("text"))).collect()}
+    plain = sorted(plain, key=hashes.get)[:270]
+    dense = [t for t in dense if hashes[t] > hashes[plain[-1]]]
+    assert len(dense) > 330
+    learned = (i for i in range(10_000) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(i, t, "en", "a") for i, t in zip(learned, plain + dense, strict=False)]
+    kept = {r["text"] for r in drop_unidentified(make_docs(rows), texts=4).collect()}
+    assert kept == {t for _, t, *_ in rows}
+
+
 def test_pipeline_equals_brute_force(spark, make_docs, odd_rows, words, tmp_path):
     passage = " ".join(words[200:240])
     rows = [r for r in odd_rows if r[0] is not None]
