@@ -66,14 +66,15 @@ def match_points(
     """Inner join of ``points`` to the ``spans`` that hold their date.
 
     The slot of the date is part of the equi-join key: a key with many rows is divided by
-    time, and a row meets only the spans of its own slot.
+    time, and a row meets only the spans of its own slot.  Neither side is broadcast: the size of
+    a file, by which the planner would choose one, says little of its slotted rows in memory.
     """
     slotted_points = points.selectExpr("*", f"{slot_of(point, width)} AS _slot")
     slotted_spans = spans.where(f"{start} <= {end}").selectExpr(
         "*", f"explode({slots_of(start, end, width)}) AS _slot"
     )
     return (
-        slotted_points.join(slotted_spans, [*on, "_slot"])
+        slotted_points.join(slotted_spans.hint("merge"), [*on, "_slot"])
         .where(f"{point} BETWEEN {start} AND {end}")
         .drop("_slot")
     )
@@ -90,7 +91,7 @@ def interval_intersect(
     """Overlapping pairs of two tables, with the left span clipped to the common part.
 
     Both sides are slotted by time; a pair is emitted in the one slot where its common part
-    begins.
+    begins.  Neither side is broadcast, as in ``match_points``.
     """
     (ls, le), (rs, re) = left_span, right_span
 
@@ -99,7 +100,7 @@ def interval_intersect(
             "*", f"explode({slots_of(s, e, width)}) AS _slot"
         )
 
-    joined = slotted(left, ls, le).join(slotted(right, rs, re), [*on, "_slot"])
+    joined = slotted(left, ls, le).join(slotted(right, rs, re).hint("merge"), [*on, "_slot"])
     first = f"greatest({ls}, {rs})"
     rest = [c for c in joined.columns if c not in (ls, le, rs, re, "_slot")]
     return joined.where(

@@ -53,7 +53,8 @@ def age_sex_subgroups(
     """Subgroup cohorts: each person's observed time inside each age band of their sex.
 
     A person enters a band on January 1 of the year of the lowest age and leaves it on
-    December 31 of the year of the highest.  The grid is a setting, so it is broadcast.
+    December 31 of the year of the highest.  The grid is a setting, so it is broadcast; persons are
+    not, though their file may be small.
     """
     grid = literal_frame(
         person.sparkSession,
@@ -66,7 +67,7 @@ def age_sex_subgroups(
     leaves = F.make_date(born + F.col("age_high"), F.lit(12), F.lit(31))
     return (
         observation_period.select("person_id", start, end)
-        .join(person.select("person_id", "gender_concept_id", "year_of_birth"), "person_id")
+        .join(person.select("person_id", "gender_concept_id", "year_of_birth").hint("merge"), "person_id")
         .join(F.broadcast(grid), "gender_concept_id")
         .where((enters <= end) & (leaves >= start))
         .select(

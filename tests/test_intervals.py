@@ -226,3 +226,15 @@ def test_a_person_with_very_many_days_is_counted_without_pairs(spark):
             f"abs({day('start_date')} - {at}) <= 3000 AND {day('end_date')} BETWEEN {at - 2500} AND {at + 2900}"
         ).count()
         assert found.where(f"{day('at')} = {at}").collect()[0].n_events == expected
+
+
+def test_slotted_sides_are_not_broadcast(spark, tmp_path):
+    # The file is small; its rows, once per slot, are not.
+    few = frame(spark, [(1, 1, 30)], "k long, start_date date, end_date date")
+    few.write.parquet(f"{tmp_path}/few")
+    few = spark.read.parquet(f"{tmp_path}/few")
+    days = frame(spark, [(1, 5)], "k long, day date")
+    other = few.withColumnsRenamed({"start_date": "other_start", "end_date": "other_end"})
+    for joined in (match_points(days, few, ["k"], "day", "start_date", "end_date"), interval_intersect(few, other, ["k"])):
+        assert joined.count() == 1
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
