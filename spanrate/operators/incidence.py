@@ -8,6 +8,10 @@ Grains, from fine to coarse:
 * cell: database, target, time at risk, subgroup, outcome.
 
 Every step to a coarser grain is an ordinary aggregate with a map-side part.
+
+Frames of days are laid out by person (``by_person``) before they meet.  What a person holds of the
+smaller side travels as one array, so that the person is the whole key of every join: joins, windows
+and sums of persons then need no shuffle of their own, up to the sums of the cells.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from ..functions.dates import days_between, plus_days
 from ..schemas import IR_SUMMARY_DDL, REFERENCE_DDL, conform, fan_out, literal_frame
 from ..sources.durable import durable
 from ..specs import Analysis, OutcomeSpec, SubgroupSpec, TargetSpec, TarSpec
-from .intervals import interval_intersect, interval_union, match_points
+from .intervals import interval_union
 
 DAYS_PER_YEAR = 365.25
 DESIGN = ["target_cohort_definition_id", "time_at_risk_id"]
@@ -31,6 +35,7 @@ ERA = ["database_name", *DESIGN, "subject_id", "era_start", "era_end"]
 PERSON = ["database_name", *DESIGN, "subject_id"]
 STRATUM = ["database_name", *DESIGN, "subgroup_cohort_definition_id"]
 CELL = [*STRATUM, "outcome_id"]
+SUBGROUPS = "subgroups"
 
 
 @dataclass(frozen=True)
@@ -168,6 +173,11 @@ def reference_cube(databases: DataFrame, settings: Settings) -> DataFrame:
 # Person level.
 
 
+def by_person(df: DataFrame) -> DataFrame:
+    """Rows of a person in one place.  Equal days are one row before, so the calendar bounds them."""
+    return df.repartition("subject_id")
+
+
 def time_at_risk(
     targets: DataFrame, observation_period: DataFrame, tars: Sequence[TarSpec]
 ) -> DataFrame:
@@ -177,9 +187,8 @@ def time_at_risk(
         F.col("observation_period_start_date").alias("op_start"),
         F.col("observation_period_end_date").alias("op_end"),
     )
-    observed = match_points(
-        targets.distinct(), spans, ["subject_id"], "cohort_start_date", "op_start", "op_end", 1827
-    )
+    observed = by_person(targets.distinct()).join(by_person(spans).hint("merge"), "subject_id")
+    observed = observed.where(F.col("cohort_start_date").between(F.col("op_start"), F.col("op_end")))
 
     def edge(side: str) -> Column:
         anchor = F.when(
@@ -214,23 +223,53 @@ def at_risk_eras(windows: DataFrame, sites: DataFrame | None, database_name: str
     return eras.join(placed, "subject_id", "left").withColumn("database_name", one).select(*ERA)
 
 
-def in_subgroups(eras: DataFrame, subgroups: DataFrame) -> DataFrame:
-    """Each era once for 'All' (0) and once per subgroup period that holds its start."""
-    spans = subgroups.select(
-        "subject_id",
-        F.col("cohort_definition_id").cast("long").alias("subgroup_cohort_definition_id"),
-        F.col("cohort_start_date").alias("_from"),
-        F.col("cohort_end_date").alias("_to"),
+def persons_at_risk(eras: DataFrame, subgroups: DataFrame) -> DataFrame:
+    """A row per person: the eras, each with the subgroups it counts for.
+
+    These are 'All' (0) and one per subgroup period that holds the start of the era.
+    """
+    period = F.struct(
+        F.col("cohort_definition_id").cast("long").alias("id"),
+        F.col("cohort_start_date").alias("from"),
+        F.col("cohort_end_date").alias("to"),
     )
-    columns = [*ERA, "subgroup_cohort_definition_id"]
-    inside = match_points(eras, spans, ["subject_id"], "era_start", "_from", "_to", 1827)
-    return (
-        eras.withColumn("subgroup_cohort_definition_id", F.lit(0).cast("long"))
-        .select(*columns)
-        .unionByName(inside.select(*columns))
+    lasting = F.col("cohort_start_date") <= F.col("cohort_end_date")
+    spans = by_person(subgroups.where(lasting)).groupBy("subject_id")
+    spans = spans.agg(F.collect_list(period).alias("_spans"))
+    fields = [*DESIGN, "era_start", "era_end"]
+    persons = by_person(eras).groupBy("database_name", "subject_id")
+    persons = persons.agg(F.collect_list(F.struct(*fields)).alias("eras"))
+
+    def tagged(era: Column) -> Column:
+        holding = F.filter("_spans", lambda p: era["era_start"].between(p["from"], p["to"]))
+        own = F.coalesce(F.transform(holding, lambda p: p["id"]), F.array().cast("array<long>"))
+        found = F.concat(F.array(F.lit(0).cast("long")), own)
+        return F.struct(*[era[c].alias(c) for c in fields], found.alias(SUBGROUPS))
+
+    return persons.join(spans.hint("merge"), "subject_id", "left").select(
+        "database_name", "subject_id", F.transform("eras", tagged).alias("eras")
     )
 
 
+def eras_of(persons: DataFrame) -> DataFrame:
+    return persons.select("*", F.inline("eras")).select(*ERA, SUBGROUPS)
+
+
+def per_subgroup(df: DataFrame) -> DataFrame:
+    """Every row once per subgroup it counts for."""
+    rest = [c for c in df.columns if c != SUBGROUPS]
+    return df.select(*rest, F.explode(SUBGROUPS).alias("subgroup_cohort_definition_id"))
+
+
+def meet_eras(rows: DataFrame, persons: DataFrame, when) -> DataFrame:
+    """Rows of a person, once per era for which ``when`` holds; the era's columns begin with it."""
+    eras = by_person(persons).select("subject_id", F.col("database_name").alias("_site"), "eras")
+    own = [c for c in rows.columns if c not in (*ERA, SUBGROUPS)]
+    met = by_person(rows).join(eras.hint("merge"), "subject_id")
+    met = met.select("subject_id", F.col("_site").alias("database_name"), *own, F.inline(F.filter("eras", when)))
+    return met.select(*ERA, SUBGROUPS, *own)
+
+
 def excluded_periods(cohorts: DataFrame, outcomes: Sequence[OutcomeSpec]) -> DataFrame:
     """Time a person cannot count for an outcome: clean windows and exclusion cohorts.
 
@@ -262,18 +301,17 @@ def excluded_periods(cohorts: DataFrame, outcomes: Sequence[OutcomeSpec]) -> Dat
 
 
 def excluded_at_risk(
-    excluded: DataFrame, eras: DataFrame, membership: Membership | None = None
+    excluded: DataFrame, persons: DataFrame, membership: Membership | None = None
 ) -> DataFrame:
     """Excluded periods cut to the at-risk eras and merged per person and outcome."""
-    distinct = excluded.distinct()
-    cut = interval_intersect(
-        distinct,
-        eras,
-        ["subject_id"],
-        ("start_date", "end_date"),
-        ("era_start", "era_end"),
+    start, end = F.col("start_date"), F.col("end_date")
+    cut = meet_eras(
+        excluded.where(start <= end).distinct(),
+        persons,
+        lambda e: (e["era_start"] <= e["era_end"]) & (start <= e["era_end"]) & (end >= e["era_start"]),
     )
     cut = membership.used(cut, *DESIGN, "outcome_id") if membership else cut
+    cut = cut.withColumns({"start_date": F.greatest(start, "era_start"), "end_date": F.least(end, "era_end")})
     return interval_union(cut, [*PERSON, "outcome_id"])
 
 
@@ -290,38 +328,47 @@ def outcome_days(cohorts: DataFrame, outcome_ids: Sequence[int]) -> DataFrame:
     )
 
 
-def era_outcomes(eras: DataFrame, days: DataFrame) -> DataFrame:
+def era_outcomes(persons: DataFrame, days: DataFrame) -> DataFrame:
     """(era, outcome, n_outcomes): outcome starts inside each era, both ends included."""
-    hits = match_points(days, eras, ["subject_id"], "outcome_date", "era_start", "era_end")
-    return hits.groupBy(*ERA, "outcome_id").agg(F.sum("n").alias("n_outcomes"))
+    day = F.col("outcome_date")
+    hits = meet_eras(days, persons, lambda e: day.between(e["era_start"], e["era_end"]))
+    return hits.select(*ERA, SUBGROUPS, "outcome_id", F.col("n").alias("n_outcomes"))
 
 
-def era_exclusions(eras: DataFrame, excluded: DataFrame) -> DataFrame:
+def era_exclusions(persons: DataFrame, excluded: DataFrame) -> DataFrame:
     """Excluded periods with the at-risk era that contains them."""
-    inside = match_points(excluded, eras, PERSON, "start_date", "era_start", "era_end")
-    return inside.where(F.col("end_date") <= F.col("era_end")).select(
-        *ERA, "outcome_id", "start_date", "end_date"
+    start, end = F.col("start_date"), F.col("end_date")
+    target, window = (f"_{c}" for c in DESIGN)
+    inside = meet_eras(
+        excluded.withColumnsRenamed({c: f"_{c}" for c in DESIGN}),
+        persons,
+        lambda e: (e[DESIGN[1]] == F.col(window))
+        & (e[DESIGN[0]] == F.col(target))
+        & start.between(e["era_start"], e["era_end"])
+        & (end <= e["era_end"]),
     )
+    return inside.drop(target, window)
 
 
-def era_excluded_days(within: DataFrame) -> DataFrame:
-    return within.groupBy(*ERA, "outcome_id").agg(
-        F.sum(days_between("start_date", "end_date")).alias("excluded_days"),
-        F.count("*").alias("n_exclusions"),
+def excluded_with_outcomes(excluded: DataFrame, days: DataFrame) -> DataFrame:
+    """Excluded periods with the number of outcome starts inside, ``n_excluded``."""
+    day = F.struct("outcome_id", "outcome_date", "n")
+    listed = by_person(days).groupBy("subject_id").agg(F.collect_list(day).alias("_days"))
+    inside = F.filter(
+        "_days",
+        lambda d: (d["outcome_id"] == F.col("outcome_id"))
+        & d["outcome_date"].between(F.col("start_date"), F.col("end_date")),
     )
+    number = F.aggregate(inside, F.lit(0).cast("long"), lambda total, d: total + d["n"])
+    met = by_person(excluded).join(listed.hint("merge"), "subject_id", "left")
+    return met.select(*excluded.columns, F.coalesce(number, F.lit(0).cast("long")).alias("n_excluded"))
 
 
-def era_excluded_outcomes(within: DataFrame, days: DataFrame) -> DataFrame:
-    hits = match_points(
-        days, within, ["subject_id", "outcome_id"], "outcome_date", "start_date", "end_date"
-    )
-    return hits.groupBy(*ERA, "outcome_id").agg(F.sum("n").alias("n_excluded"))
-
-
-def person_time(tagged: DataFrame) -> DataFrame:
+def person_time(persons: DataFrame) -> DataFrame:
     """(person, subgroup): at-risk days with both ends counted, and day differences."""
     days = days_between("era_start", "era_end")
-    return tagged.groupBy(*PERSON, "subgroup_cohort_definition_id").agg(
+    rows = per_subgroup(eras_of(by_person(persons)))
+    return rows.groupBy(*PERSON, "subgroup_cohort_definition_id").agg(
         F.sum(days + 1).alias("days_at_risk"), F.sum(days).alias("day_span")
     )
 
@@ -329,20 +376,20 @@ def person_time(tagged: DataFrame) -> DataFrame:
 _MEASURES = ["n_outcomes", "excluded_days", "n_exclusions", "n_excluded"]
 
 
-def person_outcomes(tagged: DataFrame, era_measures: Sequence[DataFrame]) -> DataFrame:
-    """(person, subgroup, outcome): the era measures summed over the eras of the subgroup."""
-    zero = {m: F.lit(0).cast("long") for m in _MEASURES}
-    stacked = None
-    for frame in era_measures:
-        missing = {m: v for m, v in zero.items() if m not in frame.columns}
-        frame = frame.withColumns(missing) if missing else frame
-        stacked = frame if stacked is None else stacked.unionByName(frame)
-    per_era = stacked.groupBy(*ERA, "outcome_id").agg(*[F.sum(m).alias(m) for m in _MEASURES])
-    return (
-        per_era.join(tagged, ERA)
-        .groupBy(*PERSON, "subgroup_cohort_definition_id", "outcome_id")
-        .agg(*[F.sum(m).alias(m) for m in _MEASURES])
-    )
+def person_outcomes(outcomes: DataFrame, within: DataFrame) -> DataFrame:
+    """(person, subgroup, outcome): what happened in the eras of the subgroup, and their exclusions."""
+    days = days_between("start_date", "end_date")
+    spent = within.withColumns({"excluded_days": days, "n_exclusions": F.lit(1).cast("long")})
+    key = [*PERSON, SUBGROUPS, "outcome_id"]
+    sums = [F.sum(m).alias(m) for m in _MEASURES]
+    zero = F.lit(0).cast("long")
+
+    def measures(df: DataFrame) -> DataFrame:
+        rows = df.select(*key, *[F.col(m) if m in df.columns else zero.alias(m) for m in _MEASURES])
+        return rows.groupBy(*key).agg(*sums)
+
+    rows = per_subgroup(by_person(measures(outcomes).unionByName(measures(spent))))
+    return rows.groupBy(*PERSON, "subgroup_cohort_definition_id", "outcome_id").agg(*sums)
 
 
 # Cell level.
@@ -360,16 +407,31 @@ def measure_cells(per_person: DataFrame, per_outcome: DataFrame) -> DataFrame:
     A person's excluded time and outcomes count against the whole person (subgroup 0), in every
     subgroup the person has time in.
     """
-    measured = per_outcome.where(F.col("subgroup_cohort_definition_id") == 0)
-    whole = measured.select(
-        *PERSON,
-        "outcome_id",
-        F.col("excluded_days").alias("_all_days"),
-        F.col("n_exclusions").alias("_all_exclusions"),
-        F.col("n_excluded").alias("_all_excluded"),
+    subgroup = F.col("subgroup_cohort_definition_id")
+    stratum = F.struct(*DESIGN, subgroup, "day_span")
+    strata = by_person(per_person).groupBy("subject_id").agg(F.collect_list(stratum).alias("_strata"))
+
+    def whole(measure: str) -> Column:
+        return F.max(F.when(subgroup == 0, F.col(measure)))
+
+    measured = by_person(per_outcome).groupBy(*PERSON, "outcome_id").agg(
+        whole("excluded_days").alias("_all_days"),
+        whole("n_exclusions").alias("_all_exclusions"),
+        whole("n_excluded").alias("_all_excluded"),
+        F.collect_list(F.struct(subgroup, *_MEASURES)).alias("_parts"),
     )
-    key = [*PERSON, "subgroup_cohort_definition_id", "outcome_id"]
-    rows = per_person.join(whole, PERSON).join(per_outcome, key, "left")
+
+    def with_part(s: Column) -> Column:
+        name = "subgroup_cohort_definition_id"
+        part = F.get(F.filter("_parts", lambda p: p[name] == s[name]), F.lit(0))
+        return F.struct(s[name].alias(name), s["day_span"].alias("day_span"), part.alias("_part"))
+
+    own = F.filter(
+        "_strata",
+        lambda s: (s[DESIGN[0]] == F.col(DESIGN[0])) & (s[DESIGN[1]] == F.col(DESIGN[1])),
+    )
+    rows = measured.where(F.col("_all_exclusions").isNotNull()).join(strata.hint("merge"), "subject_id")
+    rows = rows.select("*", F.inline(F.transform(own, with_part))).select("*", *[F.col(f"_part.{m}").alias(m) for m in _MEASURES])
     had = F.col("n_outcomes") > 0
     no_time = (F.col("_all_exclusions") > 0) & (F.col("day_span") == F.col("_all_days"))
     lost = had & (F.col("_all_excluded") > 0) & (F.col("n_outcomes") == F.col("_all_excluded"))
@@ -474,7 +536,7 @@ class Study:
     ``sites`` (subject_id, database_name) runs the analysis of all databases at once.
     ``analyses`` builds several at once: ``settings`` is then what they choose from, every frame
     holds what any of them needs, and the summary has each analysis' cells.
-    ``keep`` writes the frames that several measures read to the shared folder.
+    ``keep`` writes the persons' eras, which several measures read, to the shared folder.
     """
 
     def __init__(
@@ -510,14 +572,16 @@ class Study:
         return self._used(windows, *DESIGN)
 
     @cached_property
-    def eras(self) -> DataFrame:
-        return self._hold(at_risk_eras(self.windows, self.sites, self.database_name))
-
-    @cached_property
-    def tagged(self) -> DataFrame:
+    def persons(self) -> DataFrame:
+        """A row per person with the eras and their subgroups."""
         ids = [s.subgroup_cohort_definition_id for s in self.settings.subgroups]
         chosen = self.subgroups.where(F.col("cohort_definition_id").isin(*ids))
-        return self._used(in_subgroups(self.eras, chosen), *DESIGN, "subgroup_cohort_definition_id")
+        eras = at_risk_eras(self.windows, self.sites, self.database_name)
+        return self._hold(persons_at_risk(eras, chosen))
+
+    @cached_property
+    def eras(self) -> DataFrame:
+        return eras_of(self.persons).drop(SUBGROUPS)
 
     @cached_property
     def days(self) -> DataFrame:
@@ -526,24 +590,21 @@ class Study:
     @cached_property
     def excluded(self) -> DataFrame:
         periods = excluded_periods(self.outcomes, self.settings.outcomes)
-        return self._hold(excluded_at_risk(periods, self.eras, self.membership))
+        return excluded_at_risk(periods, self.persons, self.membership)
 
     @cached_property
     def within(self) -> DataFrame:
-        return era_exclusions(self.eras, self.excluded)
+        return era_exclusions(self.persons, self.excluded).drop(SUBGROUPS)
 
     @cached_property
     def per_person(self) -> DataFrame:
-        return person_time(self.tagged)
+        return self._used(person_time(self.persons), *DESIGN, "subgroup_cohort_definition_id")
 
     @cached_property
     def per_outcome(self) -> DataFrame:
-        measures = [
-            self._used(era_outcomes(self.eras, self.days), *DESIGN, "outcome_id"),
-            era_excluded_days(self.within),
-            era_excluded_outcomes(self.within, self.days),
-        ]
-        return self._hold(self._used(person_outcomes(self.tagged, measures), *CELL[1:]))
+        outcomes = self._used(era_outcomes(self.persons, self.days), *DESIGN, "outcome_id")
+        within = era_exclusions(self.persons, excluded_with_outcomes(self.excluded, self.days))
+        return self._used(person_outcomes(outcomes, within), *CELL[1:])
 
     @cached_property
     def cells(self) -> DataFrame:

@@ -217,3 +217,28 @@ def test_analyses_built_at_once_equal_each_alone(spark):
     assert designs == {(1, 1), (1, 2), (2, 2), (2, 3)}
     with pytest.raises(ValueError, match="serves 1 to 63"):
         I.Membership(analyses * 30)
+
+
+def test_persons_are_moved_by_person_only(spark):
+    s = study(spark, [(1, 1, 10, 10)], [(5, 1, 20, 21)], subgroups=[(21, 1, 1, 50)])
+    plan = s.cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(database_name") == 1  # of the sums
+    assert "Exchange hashpartitioning(subject_id#" in plan and "_slot#" not in plan
+
+
+def test_zero_day_exclusions_count_in_every_era_that_touches(spark):
+    # Eras 11..20 and 20..30; the exclusions 15..20 and 20..20 of the first, 20..24 of the second.
+    s = study(
+        spark,
+        [(1, 1, 10, 10), (1, 1, 19, 19)],
+        [(6, 1, 15, 20), (6, 1, 20, 24), (5, 1, 20, 20)],
+        tars=[(1, 1, 0, 10, 0)],
+        specs=[OutcomeSpec(5, 5, "O", 0, excluded_cohort_definition_id=6)],
+        period=(1, 30),
+    )
+    eras = plain(s.eras, "era_start", "era_end")
+    found = plain(s.within, "era_start", "era_end", "start_date", "end_date")
+    assert sorted(found) == sorted(
+        (a, b, c, d) for a, b in eras for c, d in plain(s.excluded, "start_date", "end_date") if a <= c and d <= b
+    )
+    assert len(found) == len(set(found))
