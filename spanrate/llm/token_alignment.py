@@ -26,7 +26,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -71,7 +71,7 @@ class ByteTokens:
         ]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        found = self.model.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        found = self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         return [f.ids for f in found]
 
 
@@ -101,10 +101,15 @@ def tokens_of(path: str) -> ByteTokens | PieceTokens:
     return PieceTokens(path) if path.endswith(".model") else ByteTokens(path)
 
 
-def _tiled(ids: list[list[int]], lengths: np.ndarray) -> pd.DataFrame:
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, id) of all tokens."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+    return np.repeat(np.arange(len(ids)), sizes), flat
+
+
+def _tiled(doc: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> pd.DataFrame:
     """(doc, at, end, id) of all tokens, ``at`` counted over all documents."""
-    doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    flat = np.array([i for x in ids for i in x], np.int64)
     end = np.cumsum(lengths[flat])
     return pd.DataFrame({"doc": doc, "at": end - lengths[flat], "end": end, "id": flat})
 
@@ -139,6 +144,12 @@ class Stretches:
     def __init__(self, a: ByteTokens | PieceTokens, b: ByteTokens | PieceTokens):
         self.sides = a, b
         self.lengths = [np.array([len(x) for x in t.bytes]) for t in self.sides]
+        # The ids as text, with what follows: another token of the side, side b, or another group.
+        self.names = np.array(
+            [f"{i}{sign}" for t, signs in zip(self.sides, (",|", ",;"), strict=True) for sign in signs
+             for i in range(len(t.bytes))],
+            object,
+        )
         self._clear()
 
     def _clear(self) -> None:
@@ -159,29 +170,26 @@ class Stretches:
 
     def _add(self, texts: list[str]) -> None:
         a, b = self.sides
-        ids = [a.encode(texts), b.encode(texts)]
-        tiles = np.ones(len(texts), bool)
-        for at, (own_a, own_b, text) in enumerate(zip(*ids, texts, strict=True)):
-            whole = (" " + text).encode()
-            if any(b"".join(map(t.bytes.__getitem__, x)) != whole for t, x in ((a, own_a), (b, own_b))):
-                tiles[at] = False
-                own_a.clear(), own_b.clear()
-        ta, tb = (_tiled(x, n) for x, n in zip(ids, self.lengths, strict=True))
+        found = [_flat(t.encode(texts)) for t in self.sides]
+        tiles = self._tiling(texts, found)
+        found = [(doc[tiles[doc]], flat[tiles[doc]]) for doc, flat in found]
+        ta, tb = (_tiled(*x, n) for x, n in zip(found, self.lengths, strict=True))
         ga, gb = groups_of(ta, tb)
         n_groups = int(ga[-1]) + 1 if len(ga) else 0
         in_a, in_b = np.bincount(ga, minlength=n_groups), np.bincount(gb, minlength=n_groups)
         first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
         per_text = np.bincount(ta.doc.to_numpy()[first_a], minlength=len(texts))
+        n_a, n_b = (np.bincount(t.doc, minlength=len(texts)) for t in (ta, tb))
         # Every token of side a meets all tokens of its group's side b.
         per_token = in_b[ga]
         codes = np.repeat(ta.id.to_numpy() * len(b.bytes), per_token)
         codes += tb.id.to_numpy()[_ranges(first_b[ga], per_token)]
         n_links = np.bincount(ta.doc.to_numpy(), weights=per_token, minlength=len(texts)).astype(np.int64)
-        self.groups += self._spelled(ids, per_text, in_a, in_b)
+        self.groups += self._spelled((ta.id.to_numpy(), tb.id.to_numpy()), (ga, gb), (in_a, in_b), n_a + n_b)
         more = {
             "tiles": tiles,
-            "n_a": np.bincount(ta.doc, minlength=len(texts)),
-            "n_b": np.bincount(tb.doc, minlength=len(texts)),
+            "n_a": n_a,
+            "n_b": n_b,
             "n_groups": per_text,
             "n_links": n_links,
             "first_link": len(self.codes) + np.cumsum(n_links) - n_links,
@@ -190,20 +198,32 @@ class Stretches:
         for name, values in more.items():
             setattr(self, name, np.concatenate([getattr(self, name), values]))
 
-    @staticmethod
-    def _spelled(ids, per_text, in_a, in_b) -> list[str]:
-        sizes_a, sizes_b = in_a.tolist(), in_b.tolist()
-        found, group = [], 0
-        for own_a, own_b, n in zip(*ids, per_text.tolist(), strict=True):
-            own_a, own_b = list(map(str, own_a)), list(map(str, own_b))
-            parts, a, b = [], 0, 0
-            for g in range(group, group + n):
-                to_a, to_b = a + sizes_a[g], b + sizes_b[g]
-                parts.append(f"{','.join(own_a[a:to_a])}|{','.join(own_b[b:to_b])}")
-                a, b = to_a, to_b
-            group += n
-            found.append(";".join(parts))
-        return found
+    def _tiling(self, texts: list[str], found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Whether the bytes of both sides' tokens are those of the text with a space before it."""
+        wanted = np.fromiter((len(t.encode()) + 1 for t in texts), np.int64, len(texts))
+        tiles = np.ones(len(texts), bool)
+        for (doc, flat), lengths in zip(found, self.lengths, strict=True):
+            tiles &= np.bincount(doc, weights=lengths[flat], minlength=len(texts)).astype(np.int64) == wanted
+        same = np.flatnonzero(tiles)
+        whole = np.frombuffer("".join([" " + texts[i] for i in same.tolist()]).encode(), np.uint8)
+        ends, kept = np.cumsum(wanted[same]), tiles.copy()
+        for (doc, flat), side in zip(found, self.sides, strict=True):
+            own = b"".join(map(side.bytes.__getitem__, flat[kept[doc]].tolist()))
+            wrong = np.flatnonzero(np.frombuffer(own, np.uint8) != whole)
+            tiles[same[np.unique(np.searchsorted(ends, wrong, "right"))]] = False
+        return tiles
+
+    def _spelled(self, ids, groups, sizes, n_tokens: np.ndarray) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of every text: side b's tokens of a group follow side a's."""
+        (a, b), (ga, gb), (in_a, in_b) = ids, groups, sizes
+        size_a, size_b = (len(t.bytes) for t in self.sides)
+        last_a, last_b = (np.append(g[1:] != g[:-1], True)[: len(g)] for g in groups)
+        named = np.zeros(len(a) + len(b), np.int64)
+        named[np.arange(len(a)) + (np.cumsum(in_b) - in_b)[ga]] = a + size_a * last_a
+        named[np.arange(len(b)) + np.cumsum(in_a)[gb]] = 2 * size_a + b + size_b * last_b
+        spelled = self.names[named].tolist()
+        ends = np.cumsum(n_tokens)
+        return ["".join(spelled[x:y])[:-1] for x, y in zip((ends - n_tokens).tolist(), ends.tolist(), strict=True)]
 
 
 def _parts(text: str) -> Iterator[str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -279,3 +280,26 @@ def test_parts_and_forgotten_stretches_change_nothing(spark, words, monkeypatch)
 def test_alignment_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert align.align_tokens(empty, BYTES, PIECES).count() == 0
+
+
+def test_alignment_calls_do_not_grow_with_the_groups():
+    """Groups are spelled and bytes compared per batch, not by a call per group or text."""
+    stretches = align.Stretches(align.tokens_of(BYTES), align.tokens_of(PIECES))
+    joins = []
+    sys.setprofile(lambda _, event, what: joins.append(1) if event == "c_call" and what.__name__ == "join" else None)
+    try:
+        stretches.numbers([["first,second;third:" * 200]])
+    finally:
+        sys.setprofile(None)
+    assert stretches.n_groups[0] > 1000 and len(joins) < 100
+
+
+def test_alignment_of_texts_that_do_not_tile_beside_others():
+    texts = ["▁", "a word", "ﬁn", "x▁y", "café 中", "▁▁"]
+    both = align.Stretches(align.tokens_of(BYTES), align.tokens_of(PIECES))
+    both.numbers([[t] for t in texts])
+    for at, text in enumerate(texts):
+        one = align.Stretches(*both.sides)
+        one.numbers([[text]])
+        assert (one.tiles[0], one.groups[0], one.n_links[0]) == (both.tiles[at], both.groups[at], both.n_links[at])
+    assert not both.tiles[0] and both.groups[0] == "" and both.tiles[1]
