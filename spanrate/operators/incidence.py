@@ -428,7 +428,7 @@ def measure_cells(per_person: DataFrame, per_outcome: DataFrame) -> DataFrame:
 
     own = F.filter(
         "_strata",
-        lambda s: (s[DESIGN[0]] == F.col(DESIGN[0])) & (s[DESIGN[1]] == F.col(DESIGN[1])),
+        lambda s: (s[DESIGN[1]] == F.col(DESIGN[1])) & (s[DESIGN[0]] == F.col(DESIGN[0])),
     )
     rows = measured.where(F.col("_all_exclusions").isNotNull()).join(strata.hint("merge"), "subject_id")
     rows = rows.select("*", F.inline(F.transform(own, with_part))).select("*", *[F.col(f"_part.{m}").alias(m) for m in _MEASURES])
