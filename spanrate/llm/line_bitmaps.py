@@ -9,6 +9,10 @@ inside, so that one line held by a third of all documents still spreads over man
 stage streams over the sorted rows and marks each document's first occurrence of a key; those are
 counted per partition, then per hash. The result of a document is a bitmap of its kept lines as runs.
 
+Repeated hashes meet the lines again by (hash, salt), under the salts that they have, and positions
+meet their texts by document. Both grow with the corpus and are far larger in memory than as a file,
+so neither is ever broadcast.
+
 Null text is one empty line, like empty text. Rows that repeat an id and a text are one document
 for the counts and give one result row each; an id with several texts counts once per key. Null
 ids are one document that sorts below all others. Other columns are neither read nor returned by
@@ -50,16 +54,23 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 
 
 def _repeated(occurrences: DataFrame, min_docs: int) -> DataFrame:
-    """Keys of enough documents, with the document that keeps them."""
+    """Keys of enough documents, with the document that keeps them and a bit for each salt they have."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))
     return (
         occurrences.where("first")
         .groupBy("key")
-        .agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
+        .agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"), F.bit_or(bit).alias("salts"))
         .where(F.col("n_docs") >= min_docs)
-        .select("key", "keeper")
+        .select("key", "keeper", "salts")
     )
 
 
+def _salted(repeated: DataFrame) -> DataFrame:
+    """(key, keeper, salt): a row per salt that the key has, so never more rows than occurrences."""
+    had = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("salts", s) == 1)
+    return repeated.select("key", "keeper", F.explode(had).alias("salt"))
+
+
 def dropped_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -70,8 +81,7 @@ def dropped_lines(
     """(doc, version, dropped): sorted positions of the lines that go, for documents with any."""
     occurrences = keep(_occurrences(docs, id_col, text_col, min_chars), "lines")
     repeated = keep(_repeated(occurrences, min_docs), "repeated-lines")
-    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    gone = occurrences.join(salted, ["key", "salt"]).where(F.col("doc") != F.col("keeper"))
+    gone = occurrences.join(_salted(repeated).hint("merge"), ["key", "salt"]).where(F.col("doc") != F.col("keeper"))
     positions = F.array_sort(F.collect_set("pos")).alias("dropped")
     return keep(gone.groupBy("doc", "version").agg(positions), "dropped-lines")
 
@@ -101,7 +111,8 @@ def _with_runs(docs: DataFrame, id_col: str, text_col: str, dropped: DataFrame)
             "__none": F.array().cast("array<int>"),
         }
     )
-    joined = rows.join(marks, (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__v")), "left")
+    same = (F.col("__d") == F.col("__doc")) & (F.col("__t") == F.col("__v"))
+    joined = rows.join(marks.hint("merge"), same, "left")
     joined = joined.withColumns(
         {"__lines": split_lines(F.col(text_col)), "__gone": F.coalesce("__gone", "__none")}
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanrate.llm import bbit_minhash, feistel
+from spanrate.llm import line_bitmaps as line_module
 from spanrate.llm.bbit_minhash import drop_near_duplicates, near_duplicates
 from spanrate.llm.components import connected_components
 from spanrate.llm.cross_parsing import drop_unidentified, identify_languages, learnable, suffix_automaton
@@ -31,6 +32,41 @@ def line_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture()
+def common_lines():
+    """Lines in 3 and in 300 documents of 64 salts, one twice in each; ids that are null and repeated."""
+    rare, common = "a line of only three documents", "the line that every document has"
+    texts = [(i, f"{common}\nown line of the document {i}\n{common.upper()}") for i in range(300)]
+    texts += [(i, f"{rare}\n{common}\nshort") for i in (300, 301, 302, None)]
+    texts += [(7, f"{common}\nanother text of seven"), (8, texts[8][1])]
+    return [(i, t, "en", "a") for i, t in texts]
+
+
+def test_lines_are_never_broadcast(make_docs, common_lines, monkeypatch):
+    kept = {}
+    real = line_module.keep
+    monkeypatch.setattr(line_module, "keep", lambda df, name: kept.setdefault(name, (line_plan(df), real(df, name)))[1])
+    plans = [line_plan(run(make_docs(common_lines))) for run in (line_bitmaps, drop_lines)] + [kept["dropped-lines"][0]]
+    assert [("SortMergeJoin" in p, "Broadcast" in p) for p in plans] == [(True, False)] * 3
+
+
+def test_repeated_lines_have_the_salts_of_their_documents(make_docs, common_lines):
+    occurrences = _occurrences(make_docs(common_lines), "doc_id", "text", 20)
+    wanted = {(bytes(r["key"]), r["salt"]) for r in occurrences.collect()}
+    salted = line_module._salted(line_module._repeated(occurrences, 3)).collect()
+    found = [(bytes(r["key"]), r["salt"]) for r in salted]
+    per_key = Counter(key for key, _ in found)
+    assert len(found) == len(set(found)) and set(found) == {(k, s) for k, s in wanted if k in per_key}
+    assert sorted(per_key.values())[0] <= 4 and max(per_key.values()) > 60 and len(per_key) == 2
+
+
+def test_common_lines_equal_brute_force(make_docs, common_lines):
+    found = Counter((r["doc_id"], r["n_dropped"], r["kept_text"]) for r in line_bitmaps(make_docs(common_lines)).collect())
+    pairs = [(r[0], r[1]) for r in common_lines]
+    wanted = Counter((i, n, t) for (i, _), (_, n, t) in zip(pairs, brute.drop_lines(pairs), strict=True))
+    assert found == wanted
+
+
 def test_line_bitmaps_equal_brute_force(make_docs, odd_rows):
     found = Counter(
         (r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"])
