@@ -50,6 +50,14 @@ def test_lines_are_never_broadcast(make_docs, common_lines, monkeypatch):
     assert [("SortMergeJoin" in p, "Broadcast" in p) for p in plans] == [(True, False)] * 3
 
 
+def test_line_stage_broadcasts_nothing(spark, make_docs, common_lines, monkeypatch):
+    plans = []
+    real = line_module.keep
+    monkeypatch.setattr(line_module, "keep", lambda df, name: (plans.append(line_plan(df)), real(df, name))[1])
+    plans.append(line_plan(corpus_pipeline.line_dedup(spark, make_docs(common_lines), "")))
+    assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_repeated_lines_have_the_salts_of_their_documents(make_docs, common_lines):
     occurrences = _occurrences(make_docs(common_lines), "doc_id", "text", 20)
     wanted = {(bytes(r["key"]), r["salt"]) for r in occurrences.collect()}
